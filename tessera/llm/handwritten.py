@@ -84,14 +84,14 @@ def path_kind(path: Column) -> Column:
 
 def text_kind(path: Column, text: Column) -> Column:
     """generated, vendored, minified, data or null, from the text of one chunk of a source file."""
-    code = F.regexp_replace(text, r"\A\[[^\]\n]+\] ", "")
+    code = F.translate(F.regexp_replace(text, r"\A\[[^\]\n]+\] ", ""), "\u00a0", " ")
     marked = lambda marks: code.rlike(_COMMENT + _any(marks))
     long_line = F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0)
     ends = F.regexp_count(long_line, F.lit(r"[;{}]"))
     blanks = F.regexp_count(long_line, F.lit(r"[ \t]"))
     n = F.length(long_line)
     minified = (n >= 240) & (ends * 50 >= n) & (blanks * 8 <= n) & ~long_line.rlike(r"^[^;{}]{0,60}[\"'`][^\"'`]*$") & ~long_line.rlike(_COMMENT + r"\w+ \w+ \w+ ")
-    packed = F.regexp_extract(code, r"[\"'`]([A-Za-z0-9+/=_-]{160,})", 1) != ""
+    packed = code.rlike(r"[A-Za-z0-9+/=]{160}|(?:[A-Za-z0-9+/=]{40,}+(?:\\\r?\n|[\"'`][ \t]*[+,]?[ \t\r\n]*[\"'`])){3}")
     plain = F.regexp_replace(code, r"(?m)(?://|#)[^\n]*$|/\*[\s\S]*?\*/", "")
     literals = F.regexp_extract_all(plain, F.lit(_LITERAL), F.lit(0))
     covered = F.aggregate(literals, F.lit(0), lambda s, x: s + F.length(F.regexp_replace(x, r"\s", "")))
