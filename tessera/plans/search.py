@@ -14,10 +14,13 @@ RESULT = ("rank", "score", "chunk_id", "file_path", "byte_offset", "line_number"
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
-    """chunk_id from 0 in file order, then place; over the chunks of a bounded number of files."""
-    order = Window.orderBy("file_rank", "ordinal")
-    df = chunks.withColumn("chunk_id", F.row_number().over(order).cast("bigint") - 1)
-    return df.select("chunk_id", F.col("path").alias("file_path"), *[c for c in df.columns if c not in ("chunk_id", "path", "ordinal", "length", "score")])
+    """chunk_id from 0 in file order, then place: the chunks of the files before, one count per file, plus the ordinal.
+    Only the counts, one row for each of a bounded number of files, meet in a window."""
+    chunks = written(chunks)
+    counts = chunks.groupBy("file_rank").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("file_rank", F.coalesce(F.sum("n").over(Window.orderBy("file_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    df = chunks.join(F.broadcast(before), "file_rank").withColumn("chunk_id", (F.col("__before") + F.col("ordinal")).cast("bigint"))
+    return df.select("chunk_id", F.col("path").alias("file_path"), *[c for c in chunks.columns if c not in ("chunk_id", "path", "ordinal", "length", "score")])
 
 
 def select_files(files: DataFrame, spec: SearchSpec, commits: DataFrame | None = None) -> DataFrame:
@@ -56,5 +59,5 @@ class SearchEngine:
         if "length" not in files.columns:
             files = files.withColumn("length", F.octet_length("content").cast("bigint"))
         chosen = select_files(files.where(F.col("content").isNotNull()), spec, commits)
-        chunks = written(number_chunks(chunking.chunk_files(chosen, spec.chunk_size, spec.overlap)))
+        chunks = number_chunks(chunking.chunk_files(chosen, spec.chunk_size, spec.overlap))
         return rank_chunks(chunks, spec, model_dir=self.model_dir)
