@@ -133,7 +133,22 @@ def mod23(dni: str) -> bool:
     return number.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == s[-1]
 
 
+# What a text must have for a finder to be worth running.
+_DIGITS = {n: re.compile(r"\d(?:[ ./()\n-]{0,3}\d){%d}" % (n - 1)) for n in (6, 7)}
+_ADDRESS_WORDS = [
+    None,
+    ("street", "road", "rd", "ave", "drive", "lane", "ln", "boulevard", "blvd", "st.", "crescent", "parkway", "pkwy", "highway", "hwy"),
+    ("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "ring ", "damm", "ufer", "steig", "pfad"),
+    ("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz"),
+    ("rue", "avenue", "boulevard", "bd", "place", "chemin", "impasse", "allée", "quai", "route", "cours", "square"),
+    ("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carrera", "ronda"),
+    ("box", "postfach", "apartado", "postale", "casilla", "postbus", "b.p", "bp"),
+]
+
+
 def _emails(text: str):
+    if "@" not in text and not re.search(r"\b(?:at|dot)\b", text, re.I):
+        return
     for p in _EMAIL:
         for m in p.finditer(text):
             s = m.group(0)
@@ -150,6 +165,8 @@ def _ids(text: str):
         before = text[max(0, m.start() - 40) : m.start()]
         return bool(_ID_WORDS.search(before)), bool(_BAD_WORDS.search(before))
 
+    if not _DIGITS[6].search(text):
+        return
     for m in _IBAN.finditer(text):
         good, bad = around(m)
         yield m.start(), m.end(), 0.95 if good or mod97(m.group(0)) else 0.2
@@ -171,6 +188,8 @@ def _ids(text: str):
 
 
 def _phones(text: str):
+    if not _DIGITS[7].search(text):
+        return
     for base, p in _PHONES:
         for m in p.finditer(text):
             before = text[max(0, m.start() - 24) : m.start()]
@@ -188,7 +207,10 @@ def _phones(text: str):
 
 
 def _addresses(text: str):
-    for p in _ADDRESSES:
+    low = text.lower()
+    for p, words in zip(_ADDRESSES, _ADDRESS_WORDS):
+        if words and not any(w in low for w in words):
+            continue
         for m in p.finditer(text):
             yield m.start(), m.end(), 0.8
 
@@ -198,9 +220,10 @@ _LETTERS = re.compile(r"[^\W\d_]{3,}")
 
 def _people(text: str):
     any_given = any(folded(w) in GIVEN if not w.isascii() else w.lower() in GIVEN for w in set(_LETTERS.findall(text)))
+    initials = re.search(r"(?<![\w@.-])[^\W\d_]\.[ ][^\W\d_]", text) is not None
     for strict, patterns in ((True, _NAMES), (False, _LOOSE)):
         for p in patterns:
-            if not strict and not any_given and "initial" not in p.groupindex:
+            if not strict and not any_given and "initial" not in p.groupindex or "initial" in p.groupindex and not initials:
                 continue
             at = 0
             while m := p.search(text, at):
