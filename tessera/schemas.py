@@ -1,21 +1,14 @@
-"""Schemas of the tables that the operators exchange."""
+"""Schemas of the tables that the operators exchange, as DDL."""
 
-from pyspark.sql.types import StructType
-
-
-def _s(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
-FILES = _s("path string, length bigint, content string")
-CHUNKS = _s("chunk_id bigint, file_path string, byte_offset bigint, line_number int, text string, token_count int")
-GH_ISSUE = _s(
+FILES = ("path string, length bigint, content string")
+CHUNKS = ("chunk_id bigint, file_path string, byte_offset bigint, line_number int, text string, token_count int")
+GH_ISSUE = (
     "number bigint, title string, body string, state string, user struct<login: string>, assignees array<struct<login: string>>, labels array<struct<name: string>>, "
     "created_at string, updated_at string, html_url string, pull_request struct<html_url: string>"
 )
-GH_COMMENT = _s("number bigint, user struct<login: string>, body string, created_at string")
-SYNC_STATE = _s("last_sync string, repo string, include array<string>, item_count bigint")
-MANIFEST = _s(
+GH_COMMENT = ("number bigint, user struct<login: string>, body string, created_at string")
+SYNC_STATE = ("last_sync string, repo string, include array<string>, item_count bigint")
+MANIFEST = (
     "version int, source_type string, owner string, repo string, included_kinds array<string>, synced_at string, "
     "files array<struct<number: bigint, kind: string, path: string, updated_at: string>>"
 )

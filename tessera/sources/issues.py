@@ -9,12 +9,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.schemas import GH_COMMENT, GH_ISSUE, SYNC_STATE
+from tessera.schemas import GH_COMMENT, GH_ISSUE
 
 
 def read_issues(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     df = spark.read.schema(GH_ISSUE).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
-    return df.withColumn("labels", F.coalesce("labels", F.array().cast(GH_ISSUE["labels"].dataType))).withColumn("assignees", F.coalesce("assignees", F.array().cast(GH_ISSUE["assignees"].dataType)))
+    return df.withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<name: string>>"))).withColumn("assignees", F.coalesce("assignees", F.array().cast("array<struct<login: string>>")))
 
 
 def read_comments(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -69,7 +69,7 @@ def read_state(root: str) -> dict | None:
     try:
         with open(os.path.join(root, ".meta", "sync-state.json"), encoding="utf-8") as f:
             state = json.load(f)
-        return state if isinstance(state, dict) and all(k in state for k in SYNC_STATE.names) else None
+        return state if isinstance(state, dict) and all(k in state for k in ("last_sync", "repo", "include", "item_count")) else None
     except (OSError, ValueError):
         return None
 

@@ -61,7 +61,7 @@ def test_code():
     rust = C.code_rows("test.rs", RUST, 3, 1000)
     assert [t.split("\n")[0] for _, _, t, _ in rust] == ["[test.rs] fn hello() {", "[test.rs] fn world() {", "[test.rs] struct Foo {"]
     python = C.code_rows("a.py", PYTHON, 3, 1000)
-    assert [(o, ln) for o, ln, *_ in python] == [(11, 3), (56, 6)] and python[1][2].endswith("return a - b")
+    assert [(o, ln) for o, ln, *_ in python] == [(11, 3), (53, 6)] and python[1][2].endswith("return a - b")
     assert C.code_rows("readme.txt", "x y z", 3, 1000) == []
     assert C.code_rows("a.go", "package x\n", 3, 1000) == [(0, 1, "package x\n", 2)]
     go = C.code_rows("a.go", "package x\n\nfunc (p *T) Run(a int) error {\n\treturn nil\n}\n\ntype T struct {\n\tA int\n}\n", 3, 1000)

@@ -41,10 +41,10 @@ def test_keyword_score(spark):
 def test_vectors(spark):
     corpus = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.577, 0.577, 0.577]), (3, None)], "chunk_id int, embedding array<float>")
     assert [(r[0], round(r[1], 4)) for r in vector.cosine_topk(corpus, [0.577] * 3, 2).select("chunk_id", "score").collect()] == [(2, 0.9988), (0, 0.577)]
-    assert vector.cosine_topk(corpus, [1.0, 0, 0], 10, 0.9).count() == 1
-    signs = spark.createDataFrame([(0, [1.0, 1, -1, -1]), (1, [-1.0, -1, 1, 1]), (2, [1.0, 1, 1, -1])], "chunk_id int, embedding array<float>")
+    assert vector.cosine_topk(corpus, [1.0, 0.0, 0.0], 10, 0.9).count() == 1
+    signs = spark.createDataFrame([(0, [1.0, 1.0, -1.0, -1.0]), (1, [-1.0, -1.0, 1.0, 1.0]), (2, [1.0, 1.0, 1.0, -1.0])], "chunk_id int, embedding array<float>")
     assert [tuple(r) for r in vector.hamming_topk(signs, [1, 1, -1, -1], 3).select("chunk_id", "score").collect()] == [(0, 1.0), (2, 0.96875), (1, 0.875)]
-    words = spark.createDataFrame([([1.0, -1, 0.5, -0.5, 0, 1],), ([1.0] * 65,), ([],)], "e array<float>").select(V.sign_words(F.col("e"))).collect()
+    words = spark.createDataFrame([([1.0, -1.0, 0.5, -0.5, 0.0, 1.0],), ([1.0] * 65,), ([],)], "e array<float>").select(V.sign_words(F.col("e"))).collect()
     assert [r[0] for r in words] == [[37], [-1, 1], []]
     assert spark.createDataFrame([([0.0, 0.0],)], "e array<float>").select(V.normalise(F.col("e"))).first()[0] == [0.0, 0.0]
 
