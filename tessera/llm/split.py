@@ -45,7 +45,7 @@ def core_pattern(limit: int, overlap: int, code: bool) -> str:
     ends = _ENDS_CODE if code else _ENDS_PROSE
     rest = limit - overlap
     first, later = (_core(max(n // 2, overlap, 1), n, ends) for n in (limit, rest))
-    return rf"[{_B}]*+(?:\A[{_B}]*+(?:{first})|{later})"
+    return rf"\A[{_B}]*+(?:{first})|[{_B}]*+(?:{later})"
 
 
 def _count(text: Column) -> Column:

@@ -100,9 +100,9 @@ def test_sentences(marked):
 
 
 def test_sentence_table(spark):
-    df = spark.createDataFrame([(1, "A b. C d.", 1), (1, "A b. C d.", 1), (2, None, 2), (3, " \n ", 3), (4, "x. " * 20000, 4)], "doc_id bigint, text string, sentence int")
+    df = spark.createDataFrame([(1, "Ab cd. Ef gh.", 1), (1, "Ab cd. Ef gh.", 1), (2, None, 2), (3, " \n ", 3), (4, "x. " * 20000, 4)], "doc_id bigint, text string, sentence int")
     got = split_sentences(df)
-    assert rows(got.where("doc_id < 4"), "doc_id", "start_char", "end_char") == [(1, 0, 4)] * 2 + [(1, 5, 9)] * 2
+    assert rows(got.where("doc_id < 4"), "doc_id", "start_char", "end_char") == [(1, 0, 6)] * 2 + [(1, 7, 13)] * 2
     assert got.where("doc_id = 4").count() in (1, 20000)  # lower case goes on
     assert split_sentences(df.where("false")).collect() == []
     assert lattice_words("です報告者と") == ["です", "報告者", "と"]
