@@ -82,23 +82,33 @@ def path_kind(path: Column) -> Column:
     )
 
 
-def text_kind(path: Column, text: Column) -> Column:
-    """generated, vendored, minified, data or null, from the text of one chunk of a source file."""
-    code = F.translate(F.regexp_replace(text, r"\A\[[^\]\n]+\] ", ""), "\u00a0", " ")
+def is_source(path: Column) -> Column:
+    return ~F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*PROSE)
+
+
+def judged_chunks(chunks: DataFrame) -> DataFrame:
+    """(file_path, kind): generated, vendored, minified, data or null, for each chunk, from its path or its text.
+
+    What several rules read (the code without path and hard blanks, its first long line, the count of its numbers) is
+    computed once, in steps that stay apart in the plan."""
+    path = F.col("file_path")
+    bare = F.replace(F.regexp_replace("text", r"\A\[[^\]\n]+\] ", ""), F.lit("\u00a0"), F.lit(" "))
+    df = chunks.where(path.isNotNull()).select("file_path", path_kind(path).alias("known"), "text")
+    df = df.select("file_path", "known", F.when(F.col("known").isNull() & is_source(path), bare).alias("code"))
+    code = F.col("code")
+    df = df.select("file_path", "known", "code", F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0).alias("long_line"), F.regexp_count(code, F.lit(r"\d[ \t]*[,\])}]")).alias("numbers"))
+    line, n = F.col("long_line"), F.length("long_line")
     marked = lambda marks: code.rlike(_COMMENT + _any(marks))
-    long_line = F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0)
-    ends = F.regexp_count(long_line, F.lit(r"[;{}]"))
-    blanks = F.regexp_count(long_line, F.lit(r"[ \t]"))
-    n = F.length(long_line)
-    minified = (n >= 240) & (ends * 50 >= n) & (blanks * 8 <= n) & ~long_line.rlike(r"^[^;{}]{0,60}[\"'`][^\"'`]*$") & ~long_line.rlike(_COMMENT + r"\w+ \w+ \w+ ")
-    packed = code.rlike(r"[A-Za-z0-9+/=]{160}|(?:[A-Za-z0-9+/=]{40,}+(?:\\\r?\n|[\"'`][ \t]*[+,]?[ \t\r\n]*[\"'`])){3}")
+    ends, blanks = F.regexp_count(line, F.lit(r"[;{}]")), F.regexp_count(line, F.lit(r"[ \t]"))
+    minified = (n >= 240) & (ends * 50 >= n) & (blanks * 8 <= n) & ~line.rlike(r"^[^;{}]{0,60}[\"'`][^\"'`]*$") & ~line.rlike(_COMMENT + r"\w+ \w+ \w+ ")
+    # such a run begins behind a quotation mark or, where its chunk was cut from a longer one, a line
+    packed = code.rlike(r"(?m)(?:[\"'`]|^)[A-Za-z0-9+/=]{40}") & code.rlike(r"[A-Za-z0-9+/=]{160}|(?:[A-Za-z0-9+/=]{40,}+(?:\\\r?\n|[\"'`][ \t]*[+,]?[ \t\r\n]*[\"'`])){3}")
     plain = F.regexp_replace(code, r"(?m)(?://|#)[^\n]*$|/\*[\s\S]*?\*/", "")
     literals = F.regexp_extract_all(plain, F.lit(_LITERAL), F.lit(0))
     covered = F.aggregate(literals, F.lit(0), lambda s, x: s + F.length(F.regexp_replace(x, r"\s", "")))
-    many = F.regexp_count(plain, F.lit(r"\d[ \t]*[,\])}]")) >= DATA_LITERALS
-    data = many & (F.size(literals) >= DATA_LITERALS) & (covered >= DATA_PART * F.length(F.regexp_replace(plain, r"\s", "")))
-    source = ~F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*PROSE)
-    return F.when(source, F.when(marked(GENERATED_MARKS), "generated").when(marked(VENDORED_MARKS), "vendored").when(code.rlike(BANNER), "minified").when(minified, "minified").when(packed | data, "data"))
+    data = (F.col("numbers") >= DATA_LITERALS) & (F.regexp_count(plain, F.lit(r"\d[ \t]*[,\])}]")) >= DATA_LITERALS) & (covered >= DATA_PART * F.length(F.regexp_replace(plain, r"\s", "")))
+    kind = F.when(marked(GENERATED_MARKS), "generated").when(marked(VENDORED_MARKS), "vendored").when(code.rlike(BANNER) | minified, "minified").when(packed | data, "data")
+    return df.select("file_path", F.coalesce("known", kind).alias("kind"))
 
 
 _KINDS = H.byte_table(H.WORD, high=True)
@@ -154,8 +164,8 @@ def not_handwritten(chunks: DataFrame, **winnowing) -> DataFrame:
     show nothing; repeated chunks change nothing; prose files are judged by path and copies only.
     """
     path = F.col("file_path")
-    judged = chunks.where(path.isNotNull()).select("file_path", F.coalesce(path_kind(path), text_kind(path, F.col("text"))).alias("kind"))
-    shown = judged.where(F.col("kind").isNotNull()).groupBy("file_path").agg(F.collect_set("kind").alias("kinds"))
+    # a filter on kind would be pushed below the steps and have each of them evaluated again; the set leaves nulls out
+    shown = judged_chunks(chunks).groupBy("file_path").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 0)
     copies = copied_files(chunks, **winnowing)
     named = chunks.where(path.isNotNull()).select("file_path", F.xxhash64(path).alias("file")).distinct()
     copied = named.join(copies, "file").select("file_path", F.array(F.lit("copied")).alias("kinds"))
