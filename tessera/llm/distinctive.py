@@ -40,22 +40,9 @@ def _terms(data: np.ndarray, at: np.ndarray, least: int):
         yield buf, a, starts, ends, h, rows
 
 
-def _spaced(column) -> tuple[np.ndarray, np.ndarray]:
-    """String buffers with a line feed after each row, so that no token reaches over a row's end."""
-    data, at = H.string_buffers(column)
-    n = len(at) - 1
-    size = np.diff(at)
-    out = np.full(int(size.sum()) + n, 10, np.uint8)
-    keep = np.ones(len(out), bool)
-    new = at - at[0] + np.arange(n + 1)
-    keep[new[1:] - 1] = False
-    out[keep] = data[at[0] : at[-1]]
-    return out, new
-
-
 def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = _spaced(batch.column(0))
+        data, at = H.spaced_buffers(batch.column(0))
         sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _, _, _, _, h, rows in _terms(data, at, least):
             if len(h):
@@ -83,7 +70,7 @@ def _add(h: np.ndarray, *values: np.ndarray):
 
 def _candidates(batches: Iterator[pa.RecordBatch], least: int, min_count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = _spaced(batch.column(1))
+        data, at = H.spaced_buffers(batch.column(1))
         for buf, a, starts, ends, h, rows in _terms(data, at, least):
             if not len(h):
                 continue

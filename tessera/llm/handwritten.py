@@ -63,6 +63,8 @@ _LITERAL = r"(?:0[xX][0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\"[^\"\\\n
 DATA_LITERALS, DATA_PART = 60, 0.6
 #: k-gram and window of the fingerprints, in tokens; repositories and part of a file's fingerprints that make a copy.
 K, WINDOW, REPOS, PART, LEAST = 16, 32, 3, 0.6, 4
+#: At most so many fingerprints are broadcast.
+HEAVY = 10_000
 
 
 def _any(patterns) -> str:
@@ -118,7 +120,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator
     for batch in batches:
         files, repos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         skip = batch.column(3).to_numpy(zero_copy_only=False)
-        data, at = H.string_buffers(batch.column(2))
+        data, at = H.spaced_buffers(batch.column(2))
         for a, b in H.slices(at):
             buf = data[at[a] : at[b]]
             cuts = at[a : b + 1] - at[a]
@@ -135,8 +137,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator
 
 def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int = REPOS, part: float = PART, least: int = LEAST) -> DataFrame:
     """(file_path hash, share): files with at least least fingerprints of which at least part recur in min_repos or
-    more repositories. A fingerprint that a third of all rows hold is one row per file and repository after the partial
-    aggregation, and only the few recurring fingerprints are joined back."""
+    more repositories. Rows are one per fingerprint and file; a fingerprint that a third of them share is spread."""
     path = F.col("file_path")
     prefix = F.concat(F.lit("["), path, F.lit("] "))
     rows = chunks.where(path.isNotNull()).select(
@@ -146,12 +147,16 @@ def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int
         F.when(F.startswith("text", prefix), F.octet_length(prefix)).otherwise(0).alias("skip"),
     )
     marks = written(rows.mapInArrow(lambda it: _fingerprints(it, k, w), "fp long, file long, repo long").distinct())
-    common = marks.select("fp", "repo").distinct().groupBy("fp").count().where(F.col("count") >= min_repos).select("fp", F.lit(1).alias("hit"))
-    # a fingerprint that very many files share is met again by the join: its rows are one per file, and AQE splits them
+    total = marks.count()
+    spread = marks.groupBy("fp", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    common = written(spread.where(F.col("repos") >= min_repos).select("fp", "n"))
+    # fingerprints with a HEAVY-th of all rows or more are HEAVY at most: they are broadcast, and their rows spread evenly
+    heavy = common.where(F.col("n") * HEAVY >= total).select("fp", F.lit(1).alias("heavy"))
+    light = common.where(F.col("n") * HEAVY < total).select(F.col("fp").alias("key"), F.lit(1).alias("light"))
+    joined = marks.join(F.broadcast(heavy), "fp", "left").withColumn("key", F.when(F.col("heavy").isNull(), F.col("fp")).otherwise(F.xxhash64("file", "fp"))).join(light, "key", "left")
     return (
-        marks.join(common, "fp", "left")
-        .groupBy("file")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
+        joined.groupBy("file")
+        .agg(F.count(F.lit(1)).alias("n"), F.count(F.coalesce("heavy", "light")).alias("hits"))
         .where((F.col("n") >= least) & (F.col("hits") >= part * F.col("n")))
         .select("file", (F.col("hits") / F.col("n")).alias("share"))
     )

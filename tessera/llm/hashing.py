@@ -81,6 +81,19 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
+def spaced_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """String buffers with a line feed after each row, so that no token reaches over a row's end."""
+    data, at = string_buffers(column)
+    n = len(at) - 1
+    size = np.diff(at)
+    out = np.full(int(size.sum()) + n, 10, np.uint8)
+    keep = np.ones(len(out), bool)
+    new = at - at[0] + np.arange(n + 1)
+    keep[new[1:] - 1] = False
+    out[keep] = data[at[0] : at[-1]]
+    return out, new
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
     """Row ranges of at most so many bytes each (a longer row stands alone)."""
     first, n = 0, len(offsets) - 1
