@@ -46,7 +46,9 @@ def search(argv: list[str]) -> int:
     spark = _session()
     found = files.read_files(spark, a.paths, a.hidden, not a.no_gitignore, a.glob)
     spec = SearchSpec(a.query, a.top, a.threshold, a.context, None, a.chunk_size, a.overlap, literals=tuple(a.literal), fast=a.fast)
-    shown = SearchEngine(spark, a.model_dir).search(found, spec, git.commits(spark, "."))
+    engine = SearchEngine(spark, a.model_dir)
+    shown = engine.search(found, spec, git.commits(spark, "."))
+    print(engine.stats, file=sys.stderr)
     if a.json:
         print("".join(r["json"] for r in results.as_json(shown).collect()))
     else:

@@ -85,6 +85,10 @@ def extension(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]\.([^./\\]*)$", 1)
 
 
+def truncate(c: Column, n: int = 50) -> Column:
+    return F.substring(c, 1, n)
+
+
 def line_of_offset(text: Column, prefix_bytes: Column) -> Column:
     """1-based line of a byte offset."""
     return F.regexp_count(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), prefix_bytes), "UTF-8"), F.lit("\n")) + 1

@@ -108,6 +108,16 @@ ORACLE = {
 where strlen(text) between 1 and 2000000 and lower({_EXT('file_path')}) not in ({', '.join(f"'{x}'" for x in DENIED)})""",
     "glob_filter": r"select chunk_id, file_path as path from chunks where regexp_matches(file_path, '(^|/)[^/]*_[^/]*\.(py|rs)$')",
     "hidden_filter": f"select doc_id, 'r/x/' || path as path from ({DOC}) where doc_id % 3 <> 0 and not regexp_matches(path, '(^|/)[.][^/.]')",
+    "synced_union": f"""select path from ({DOC}) union all
+select '/data/sources/github/' || repo || '/' || path from manifest_entry where regexp_matches('/data/sources/github/' || repo || '/' || path, '/(issues|prs)/[^/]*\\.md$')""",
+    "line_numbers": f"""select doc_id, strlen(p) as byte_offset, len(string_split(p, chr(10))) as line from (
+select doc_id, substr(content, 1, strpos(content, 'cache') - 1) as p from ({DOC}) where contains(content, 'cache'))""",
+    "run_statistics": f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)}, {_candidates(WORDS, 50)}
+select 'files' as what, count(*) as n from ({DOC}) union all select 'scored', count(*) from ({_scored(WORDS)}) union all select 'chunks', count(*) from numbered union all select 'embedded', count(*) from cand""",
+    "comments_joined": f"""select i.repo, i.number, case when body is null or c.n is null then 0 else c.n end as n_comments, case when body is null then null else c.last end as last_comment
+from ({_LATEST}) i left join (select repo, number, count(*) as n, max(created_at) as last from gh_comment group by repo, number) c on i.repo = c.repo and i.number = c.number""",
+    "titles_truncated": "select row_id, substr(title, 1, 50) as title from gh_issue",
+    "json_round_trip": """select row_id, number, title, "user".login as login, coalesce(array_to_string(list_transform(labels, lambda x: x.name), ','), '') as labels, pull_request is not null as is_pr, updated_at from gh_issue""",
     "path_parts": f"""select distinct file_path, regexp_replace(regexp_extract(file_path, '[^/]*$'), '(.)[.][^.]*$', '\\1') as stem, {_EXT('file_path')} as ext from chunks""",
     "keyword_file_score": f"select path, score, file_rank from ({_scored(WORDS)})",
     "literal_boost_score": f"select path, score, file_rank from ({_scored(['cache', 'limit', 'of', 'the', 'window', 'when the'])})",

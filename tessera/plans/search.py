@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,16 @@ class SearchEngine:
 
     def __init__(self, spark: SparkSession, model_dir: str | None = None) -> None:
         self.spark, self.model_dir = spark, model_dir
+        self.stats: dict[str, float] = {}
 
     def search(self, files: DataFrame, spec: SearchSpec, commits: DataFrame | None = None) -> DataFrame:
-        """files: path, content, and length in bytes (made if missing)."""
+        """files: path, content, and length in bytes (made if missing). What the run did is in stats afterwards."""
+        began = time.time()
         if "length" not in files.columns:
             files = files.withColumn("length", F.octet_length("content").cast("bigint"))
-        chosen = select_files(files.where(F.col("content").isNotNull()), spec, commits)
+        chosen = written(select_files(files.where(F.col("content").isNotNull()), spec, commits))
+        chosen_at = time.time()
         chunks = number_chunks(chunking.chunk_files(chosen, spec.chunk_size, spec.overlap))
-        return rank_chunks(chunks, spec, model_dir=self.model_dir)
+        result = rank_chunks(chunks, spec, model_dir=self.model_dir)
+        self.stats = {"files": chosen.count(), "chunks": chunks.count(), "select_s": round(chosen_at - began, 3), "rank_s": round(time.time() - chosen_at, 3)}
+        return result

@@ -12,7 +12,9 @@ from tessera.operators import chunking, discovery, files, fusion, lexical, sync,
 from tessera.operators.incremental import pending_items, saved_watermarks
 from tessera.plans.search import SearchEngine, number_chunks, rank_chunks
 from tessera.runtime import table
+from tessera.schemas import GH_ISSUE
 from tessera.sources import results
+from tessera.sources.files import with_synced
 from tessera.spec import SearchSpec
 
 QUERIES: dict = {}
@@ -85,6 +87,31 @@ def literal_boost_score(spark, d):
     return files.score_files(_files(spark, d), SearchSpec(QUESTION, literals=("when the",)).terms).select("path", "score", "file_rank")
 
 
+@query
+def synced_union(spark, d):
+    """Files and, behind them, the Markdown of synced items."""
+    synced = table(spark, d, "manifest_entry").select(F.concat(F.lit("/data/sources/github/"), "repo", F.lit("/"), "path").alias("path"))
+    return with_synced(_files(spark, d).select("path"), synced, ["/work/src"])
+
+
+@query
+def line_numbers(spark, d):
+    """The line on which a word first stands, from its byte offset."""
+    at = F.octet_length(F.substring_index("content", "cache", 1))
+    return _files(spark, d).where(F.contains("content", F.lit("cache"))).select("doc_id", at.alias("byte_offset"), T.line_of_offset(F.col("content"), at).alias("line"))
+
+
+@query
+def run_statistics(spark, d):
+    """What a search reports: files seen, files scored, chunks made and chunks let through."""
+    seen = _files(spark, d)
+    scored = files.score_files(seen, WORDS)
+    chunks = _doc_chunks(spark, d)
+    found = lexical.candidates(chunks, WORDS, WORDS, 50)
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    return one(seen, "files").unionByName(one(scored, "scored")).unionByName(one(chunks, "chunks")).unionByName(one(found, "embedded"))
+
+
 # queries
 
 
@@ -374,6 +401,28 @@ def render_without_comments(spark, d):
     return sync.rendered(_latest(spark, d), table(spark, d, "gh_comment"), ["repo", "number"], "none").select("repo", "number", F.md5("markdown").alias("md5"))
 
 
+@query
+def comments_joined(spark, d):
+    """How many comments each item shows, and when the last one was made."""
+    df = sync.with_comments(_latest(spark, d), table(spark, d, "gh_comment"), ["repo", "number"])
+    return df.select("repo", "number", F.size("comments").alias("n_comments"), F.array_max(F.col("comments.created_at")).alias("last_comment"))
+
+
+@query
+def titles_truncated(spark, d):
+    return table(spark, d, "gh_issue").select("row_id", T.truncate(F.col("title")).alias("title"))
+
+
+@query
+def json_round_trip(spark, d):
+    """Issues written as JSON and read with the schema: logins, labels and what is null."""
+    columns = "number title body state user assignees labels created_at updated_at html_url pull_request".split()
+    back = F.from_json(F.to_json(F.struct(*columns)), GH_ISSUE)
+    df = table(spark, d, "gh_issue").select("row_id", back.alias("x"))
+    labels = F.array_join(F.coalesce(F.col("x.labels.name"), F.array().cast("array<string>")), ",")
+    return df.select("row_id", "x.number", "x.title", F.col("x.user.login").alias("login"), labels.alias("labels"), F.col("x.pull_request").isNotNull().alias("is_pr"), "x.updated_at")
+
+
 @query
 def manifest(spark, d):
     return sync.manifest_summary(table(spark, d, "manifest_entry"))

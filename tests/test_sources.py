@@ -101,3 +101,22 @@ def test_sync(spark, tmp_path):
     with open(f"{out}/.meta/sync-state.json", "w") as f:
         f.write("broken")
     assert issues.read_state(out) is None
+
+
+def test_search_command(spark, tmp_path, capsys, monkeypatch):
+    root = str(tmp_path)
+    make(root, **{"a.md": "The cache limit is reached when the window moves on.", "b.py": "def f():\n    return 'nothing of interest in here'\n", "c.min": "cache"})
+    monkeypatch.chdir(root)
+    assert cli.main(["cache limit", root, "-k", "3"]) == 0
+    out = capsys.readouterr().out
+    assert "a.md:1" in out and "c.min" not in out
+    assert cli.main(["cache limit", root, "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)[0]["file_path"].endswith("a.md")
+    assert cli.main(["x", root]) == 0 and capsys.readouterr().out == ""
+    assert cli.main(["cache", root + "/none"]) == 1
+
+
+def test_synced_files_are_included(spark):
+    mine, synced = spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("/d/sources/github/o/r/issues/1-x.md",), ("/d/sources/github/o/r/issues/sub/2.md",)], "path string")
+    assert rows(files.with_synced(mine, synced, ["."]), "path") == [("/d/sources/github/o/r/issues/1-x.md",), ("a",)]
+    assert files.with_synced(mine, synced, ["."], glob="*.md").count() == 1 == files.with_synced(mine, synced, ["/d/sources/github/o/r"]).count()
