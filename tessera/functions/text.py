@@ -7,13 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode white space, for a character class; a plain list is matched much faster than with the flag for Unicode classes.
+SPACE = r"\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_BLANKS = " \t\n\f\r"
 
 
 def ascii_lower(c: Column) -> Column:
-    """A-Z folded, everything else as it is."""
-    return F.translate(c, UPPER, LOWER)
+    """A-Z folded, everything else as it is; the faster lower does the same where all is ASCII."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def words(c: Column) -> Column:
@@ -22,17 +24,34 @@ def words(c: Column) -> Column:
     return F.transform(F.filter(parts, lambda w: F.octet_length(w) >= 2), F.lower)
 
 
-def term_frequency(text: Column, term: str) -> Column:
-    """Occurrences of a lower-case term with no ASCII letter, digit or underscore on either side, ignoring ASCII case."""
+def term_pattern(term: str) -> str:
+    """Matches a lower-case term with no ASCII letter, digit or underscore on either side, ignoring ASCII case."""
     quoted = "".join("\\" + ch if not (ch.isalnum() or ch == "_") and ch.isascii() else ch for ch in term)
-    if re.fullmatch(r"[A-Za-z0-9_]+", term):
-        return F.regexp_count(text, F.lit(rf"(?<![A-Za-z0-9_])(?i:{quoted})(?![A-Za-z0-9_])"))
-    return F.regexp_count(text, F.lit(rf"(?<![A-Za-z0-9_])(?=(?i:{quoted})(?![A-Za-z0-9_]))"))  # may overlap itself
+    if re.fullmatch(r"[A-Za-z0-9_]+", term):  # the first letter is sought first, then what stands before it
+        return rf"(?i:{term[0]})(?<![A-Za-z0-9_].)(?i:{term[1:]})(?![A-Za-z0-9_])"
+    return rf"(?<![A-Za-z0-9_])(?=(?i:{quoted})(?![A-Za-z0-9_]))"  # without width, as it may overlap itself
+
+
+def term_frequency(text: Column, term: str) -> Column:
+    return F.regexp_count(text, F.lit(term_pattern(term)))
+
+
+def has_any(text: Column, terms: list[str]) -> Column:
+    """Whether any of the terms occurs."""
+    return text.rlike("|".join(f"(?:{term_pattern(t)})" for t in terms)) if terms else F.lit(False)
 
 
 def word_count(text: Column) -> Column:
-    """Words separated by Unicode white space."""
-    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+    """Words separated by Unicode white space; beyond ASCII its characters become blanks first, as one small class is
+    matched faster than a long one."""
+    wide = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, wide, " " * len(wide)))
+    return F.regexp_count(plain, F.lit(r"\S++"))
+
+
+def trim_space(c: Column) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(c, f"^[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++$", "")
 
 
 def slugify(title: Column) -> Column:

@@ -55,15 +55,14 @@ def type_names(files: DataFrame) -> DataFrame:
 def imports(files: DataFrame) -> DataFrame:
     """(path, name): the last part of what each import line names, at least four bytes; the first form that fits counts."""
     lines = files.select("path", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").rlike(r"^\s*(?:using|use|from|import) "))
-    t = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    lines = lines.select("path", t.alias("t"))
+    lines = lines.select("path", T.trim_space(F.col("line")).alias("t"))
     t = F.col("t")
     body = lambda n: F.regexp_extract(t, rf"^.{{{n}}}(.*);$", 1)
     path = F.trim(body(6))
     none = F.array().cast("array<string>")
     using = F.when(F.endswith(t, F.lit(";")) & ~F.startswith(path, F.lit("(")) & ~F.contains(path, F.lit("=")), F.array(F.element_at(F.split(path, r"\."), -1))).otherwise(none)
     use = F.when(F.endswith(t, F.lit(";")), F.array(F.regexp_replace(F.element_at(F.split(body(4), "::"), -1), r"^[^\p{IsAlphabetic}\p{N}_]+|[^\p{IsAlphabetic}\p{N}_]+$", ""))).otherwise(none)
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: (F.octet_length(w) >= 4) & ~w.isin("from", "import", "as") & w.rlike(r"^\p{IsAlphabetic}"))
+    words = F.filter(F.split(t, f"[{T.SPACE}]+"), lambda w: (F.octet_length(w) >= 4) & ~w.isin("from", "import", "as") & w.rlike(r"^\p{IsAlphabetic}"))
     other = F.transform(words, lambda w: F.element_at(F.split(w, r"\."), -1))
     names = F.when(F.startswith(t, F.lit("using ")), using).when(F.startswith(t, F.lit("use ")), use).otherwise(other)
     return lines.select("path", F.explode(F.filter(names, lambda w: F.octet_length(w) >= 4)).alias("name"))

@@ -73,6 +73,6 @@ def keyword_score(content: Column, terms: list[str]) -> Column:
 
 def score_files(files: DataFrame, terms: list[str], most: int = MAX_SCORED_FILES) -> DataFrame:
     """The most best files (path, content, score, file_rank from 0), by score and path, among those with any term."""
-    scored = files.withColumn("score", keyword_score(F.col("content"), terms)).where(F.col("score") > 0)
-    best = scored.orderBy(F.desc("score"), "path").limit(most)
+    scored = files.withColumn("score", keyword_score(F.col("content"), terms))
+    best = scored.orderBy(F.desc("score"), "path").limit(most).where(F.col("score") > 0)  # below the limit the score would be evaluated twice
     return best.withColumn("file_rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")) - 1)  # most rows at most

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -29,27 +29,27 @@ def corpus_stats(docs: DataFrame, terms: list[str], text: str = "text") -> Bm25S
     row = docs.agg(
         F.count(F.col(text)).alias("n"),
         F.avg(T.word_count(F.col(text))).alias("average"),
-        *[F.count_if(T.term_frequency(F.col(text), t) > 0).alias(f"df{i}") for i, t in enumerate(names)],
+        *[F.count_if(T.has_any(F.col(text), [t])).alias(f"df{i}") for i, t in enumerate(names)],
     ).first()
     return Bm25Stats(row["n"], row["average"] or 0.0, {t: row[f"df{i}"] for i, t in enumerate(names)})
 
 
-def bm25(text: Column, terms: list[str], stats: Bm25Stats, k1: float = BM25_K1, b: float = BM25_B) -> Column:
-    """Score of one text; a term repeated in the query adds repeatedly, terms in no text add nothing."""
-    dl = T.word_count(text).cast("double")
-    score = F.lit(0.0)
-    for t in terms:
-        idf = stats.idf(t)
-        if idf:
-            tf = T.term_frequency(text, t).cast("double")
-            score = score + F.lit(idf) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / F.lit(stats.average)))
-    return score
-
+def bm25_scores(docs: DataFrame, terms: list[str], stats: Bm25Stats | None = None, text: str = "text", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """docs that hold any of the terms, with their bm25 (positive), the statistics being those of docs unless given.
 
-def bm25_scores(docs: DataFrame, terms: list[str], stats: Bm25Stats | None = None, text: str = "text") -> DataFrame:
-    """docs with a positive bm25, the statistics being those of docs unless given. Null texts have none."""
+    A term repeated in the query adds repeatedly, terms in no text add nothing; null texts have no score. Texts without
+    any term are dropped by one search that stops at the first hit; lengths and frequencies are then computed once each.
+    """
     stats = stats or corpus_stats(docs, terms, text)
-    return docs.withColumn("bm25", bm25(F.col(text), terms, stats)).where(F.col("bm25") > 0)
+    known = [t for t in dict.fromkeys(terms) if stats.df.get(t)]
+    df = docs.where(T.has_any(F.col(text), known))
+    df = df.withColumns({"__dl": T.word_count(F.col(text)).cast("double"), **{f"__tf{i}": T.term_frequency(F.col(text), t).cast("double") for i, t in enumerate(known)}})
+    score = F.lit(0.0)
+    for t in terms:
+        if t in known:
+            tf = F.col(f"__tf{known.index(t)}")
+            score = score + F.lit(stats.idf(t)) * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.col("__dl") / F.lit(stats.average)))
+    return df.withColumn("bm25", score).drop("__dl", *[f"__tf{i}" for i in range(len(known))])
 
 
 def bm25_topk(docs: DataFrame, terms: list[str], k: int, key: str = "chunk_id", stats: Bm25Stats | None = None, text: str = "text") -> DataFrame:

@@ -75,10 +75,6 @@ def with_comments(issues: DataFrame, comments: DataFrame, key: list[str], mode:
     return joined.withColumn("comments", F.when(F.col("body").isNotNull(), F.coalesce("__c", empty)).otherwise(empty)).drop("__c")
 
 
-def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def markdown(with_comments_column: bool = True) -> Column:
     """The document of an item: front matter, title, body, comments."""
     pr = F.col("pull_request").isNotNull()
@@ -101,10 +97,10 @@ def markdown(with_comments_column: bool = True) -> Column:
         F.lit("---\n\n"),
     )
     title = F.concat(F.lit("# "), F.when(pr, "PR").otherwise("Issue"), F.lit(" #"), text(F.col("number")), F.lit(": "), text(F.col("title")), F.lit("\n\n"))
-    body = F.when(_trim(text(F.col("body"))) != "", F.concat(_trim(F.col("body")), F.lit("\n\n"))).otherwise("")
+    body = F.when(T.trim_space(text(F.col("body"))) != "", F.concat(T.trim_space(F.col("body")), F.lit("\n\n"))).otherwise("")
     parts = [head, title, body]
     if with_comments_column:
-        each = F.transform("comments", lambda c: F.concat(F.lit("### @"), text(c["login"]), F.lit(" ("), text(c["created_at"]), F.lit(")\n\n"), _trim(text(c["body"])), F.lit("\n\n")))
+        each = F.transform("comments", lambda c: F.concat(F.lit("### @"), text(c["login"]), F.lit(" ("), text(c["created_at"]), F.lit(")\n\n"), T.trim_space(text(c["body"])), F.lit("\n\n")))
         parts.append(F.when(F.size("comments") > 0, F.concat(F.lit("---\n\n## Comments\n\n"), F.array_join(each, ""))).otherwise(""))
     return F.concat(*parts)
 
