@@ -145,7 +145,7 @@ select n, {', '.join(f'df_{w}' for w in WORDS)}, {', '.join(f'round({IDF("n", f"
     "cosine_threshold": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_DOT} as score from embeddings order by score desc, chunk_id) where score >= 0.25 order by score desc, chunk_id limit 1000",
     "sign_bits": "select vec_id as chunk_id, (len(embedding) + 63) // 64 as n_words, len(list_filter(embedding[1:64], lambda x: x > 0)) as n_set from embeddings",
     "hamming_topk": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_HAM} as score from embeddings, (select embedding as q from embeddings where vec_id = 0) order by score desc, chunk_id limit 20)",
-    "l2_norm": "select vec_id as chunk_id, round(2 * sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))), 4) as norm, 1.0 as unit from embeddings",
+    "l2_norm": "select vec_id as chunk_id, round(2 * sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))), 4) as norm, cast(1 as double) as unit from embeddings",
     "mean_pooling": """select vec_id as chunk_id, j - 1 as dim, round((e[8 + j] + e[24 + j] + e[40 + j] + e[56 + j]) / 4, 5) as v
 from (select vec_id, cast(embedding as double[]) as e, unnest(range(1, 9)) as j from embeddings)""",
     "rrf_fusion": f"with {_TWO}{_RRF.format(top=80)} select chunk_id, round(rrf, 8) as rrf, bm25_rank, neural_rank from fused",
