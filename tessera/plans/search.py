@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, discovery, embed, fusion, lexical, vector
 from tessera.operators import files as files_op
-from tessera.runtime import written
+from tessera.runtime import ready, written
 from tessera.spec import SearchSpec
 
 RESULT = ("rank", "score", "chunk_id", "file_path", "byte_offset", "line_number", "text", "token_count")
@@ -54,6 +54,7 @@ class SearchEngine:
     """Ad-hoc search over any (path, content) table, without an index."""
 
     def __init__(self, spark: SparkSession, model_dir: str | None = None) -> None:
+        ready(spark)
         self.spark, self.model_dir = spark, model_dir
         self.stats: dict[str, float] = {}
 
