@@ -121,6 +121,7 @@ _HEADS = {
     "csharp": r"(?:\[[^\]]*\]\s*)*(?:(?:public|protected|private|internal|static|sealed|abstract|partial|readonly|ref|unsafe)\s+)*(?:namespace|class|interface|enum|record|struct)\b",
 }
 _ARROW = re.compile(r"(?:const|let|var)\s+\w+\s*(?::[^=\n]+)?=\s*((?:async\s*)?(?:\([^()]*\)|\w+)\s*(?::[^=\n]+)?=>)")
+_MARKS = re.compile(r"[{}()\[\];\n]")
 _HEAD_RE = {k: re.compile(v) for k, v in _HEADS.items()}
 _MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n])*'", re.DOTALL)
 _RUST_MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r#*\".*?\"#*|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^']*|[^'\\\n])'", re.DOTALL)
@@ -171,8 +172,8 @@ def _definitions(content: str, lang: str) -> list[tuple[int, int]]:
 def _end(masked: str, at: int, lang: str) -> int:
     """End of the definition that begins at at: its last brace, or the semicolon (line end in Go) before any."""
     depth = 0
-    for i in range(at, len(masked)):
-        c = masked[i]
+    for m in _MARKS.finditer(masked, at):
+        i, c = m.start(), m.group(0)
         if c in "{([":
             depth += 1
         elif c in "})]":
@@ -251,18 +252,29 @@ def code_rows(path: str, content: str, least: int = MIN_TOKENS, most: int = CHUN
     return rows
 
 
+#: Characters of chunk text that are sent on at once.
+_FLUSH = 4_000_000
+
+
 def _chunk_batches(batches: Iterator[pa.RecordBatch], kind: str, least: int, most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        source: list[int] = []
+        found: list[tuple] = []
+        size = 0
         for i in range(b.num_rows):
             path, content = b.column(b.num_columns - 2)[i].as_py(), b.column(b.num_columns - 1)[i].as_py()
             rows = prose_rows(content or "", least, most) if kind == "prose" else code_rows(path or "", content or "", least, most)
-            if rows:
-                take = pa.array([i] * len(rows), pa.int32())
-                off, line, text, count = zip(*rows)
+            source += [i] * len(rows)
+            found += [(n, *r) for n, r in enumerate(rows)]
+            size += sum(len(r[2]) for r in rows)
+            if size > _FLUSH or i == b.num_rows - 1 and found:
+                take = pa.array(source, pa.int32())
+                n, off, line, text, count = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.take(take) for c in b.columns[:-2]), pa.array(range(len(rows)), pa.int32()), pa.array(off, pa.int64()), pa.array(line, pa.int32()), pa.array(text, pa.string()), pa.array(count, pa.int32())],
+                    [*(c.take(take) for c in b.columns[:-2]), pa.array(n, pa.int32()), pa.array(off, pa.int64()), pa.array(line, pa.int32()), pa.array(text, pa.string()), pa.array(count, pa.int32())],
                     [*b.schema.names[:-2], "ordinal", "byte_offset", "line_number", "text", "token_count"],
                 )
+                source, found, size = [], [], 0
 
 
 def _by_line(files: DataFrame, kind: str, least: int, most: int) -> DataFrame:
