@@ -39,7 +39,7 @@ _TAG = re.compile(rf"(\w)?<(/?)({_NAMES})(?=[\s/>])((?:\s[^<>]*)?)(/?>|(?=<|$))"
 _REF = re.compile(r"&(?:#\d+;?|#[xX][0-9a-fA-F]+;?|([A-Za-z][A-Za-z0-9]*);|(?:amp|lt|gt|nbsp|quot|apos|mdash|ndash|hellip|copy)(?![\w=]))")
 _ANY = re.compile(r"[<&#*`\[\]{}\\|~_=$>+'-]|^\s*\d+[.)]", _M)
 
-#: kind, pattern: each stands for a construct if it matches anywhere.
+#: kind, pattern: what the cleaning acted on is a construct of that kind if one of its patterns matches in the body.
 _SIGNS = [
     ("html", re.compile(r"<!--|<!doctype\b|<!\[CDATA\[|-->", _I)),
     ("heading", re.compile(r"^ {0,3}#{1,6}[ \t]+(?!\d+\s*$)\S|^ {0,3}#{2,6}[^\s#\d]", _M)),
@@ -75,19 +75,17 @@ def _is_tag(m: re.Match) -> bool:
     return not (before and not close and not attrs.strip() and name[0].isupper() and (len(name) == 1 or not name.isupper()))
 
 
-def constructs(text: str | None) -> list[str]:
-    """Kinds of markup that the text holds, well-formed or not; sorted, each once."""
-    if not text or not _ANY.search(text):
-        return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+def _confirmed(text: str, kinds: set[str]) -> list[str]:
+    """Those of kinds, recorded by the cleaning, that the exact patterns find in the text too; sorted."""
     found: set[str] = set()
     for (kind, sign), needs in zip(_SIGNS, _NEEDS):
-        if kind not in found and any(x in text for x in needs) and sign.search(text):
+        if kind in kinds and kind not in found and any(x in text for x in needs) and sign.search(text):
             found.add(kind)
-    if "<" in text and any(_is_tag(m) for m in _TAG.finditer(text)):
-        found.add("html")
-    if "&" in text and any(not m.group(1) or m.group(1) + ";" in html.entities.html5 for m in _REF.finditer(text)):
-        found.add("html")
+    if "html" in kinds and "html" not in found:
+        if "<" in text and any(_is_tag(m) for m in _TAG.finditer(text)):
+            found.add("html")
+        elif "&" in text and any(not m.group(1) or m.group(1) + ";" in html.entities.html5 for m in _REF.finditer(text)):
+            found.add("html")
     return sorted(found)
 
 
@@ -106,6 +104,7 @@ class _Events(HTMLParser):
         self.cells = 0
         self.pre = 0
         self.last = ""
+        self.seen = False  # an event of HTML itself: element, comment or declaration
 
     def _known(self, tag: str, raw: str) -> bool:
         plain = raw.strip("</> ")
@@ -121,6 +120,7 @@ class _Events(HTMLParser):
         raw = self.get_starttag_text() or f"<{tag}>"
         if not self._known(tag, raw):
             return self._put(raw)
+        self.seen = True
         if tag in self._SILENT:
             self.silent += 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -150,7 +150,14 @@ class _Events(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def handle_comment(self, data: str) -> None:
+        self.seen = True
+
+    def handle_decl(self, decl: str) -> None:
+        self.seen = True
+
     def handle_endtag(self, tag: str) -> None:
+        self.seen = self.seen or tag in HTML_NAMES
         if tag in self._SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "pre" and self.pre:
@@ -166,20 +173,25 @@ class _Events(HTMLParser):
             self._put(f"</{tag}>")
 
     def handle_data(self, data: str) -> None:
+        if "-->" in data or data.startswith("<") and _TAG.match(data):  # the end of a comment, or a tag that is never closed
+            self.seen = True
         if not self.silent:
             self._put(data)
 
     def unknown_decl(self, data: str) -> None:
+        self.seen = True
         self._put(data.removeprefix("CDATA["))
 
 
-def _html(text: str) -> str:
-    if "<" not in text and "&" not in text:
-        return text
+def _html(text: str) -> tuple[str, bool]:
+    """The text of the parser's events, and whether they held anything of HTML: an element, a comment, a declaration or
+    a character reference, which the parser resolves by html.unescape."""
+    if "<" not in text and "&" not in text and "-->" not in text:
+        return text, False
     p = _Events()
     p.feed(text)
     p.close()
-    return "".join(p.out)
+    return "".join(p.out), p.seen or "&" in text and html.unescape(text) != text
 
 
 def content_lines(lines: list[str], sigma: float = 1.5, least: int = 20) -> np.ndarray:
@@ -201,81 +213,106 @@ def content_lines(lines: list[str], sigma: float = 1.5, least: int = 20) -> np.n
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)\n(.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\Z)", _M | re.DOTALL)
 _MATH = re.compile(r"\$\$.+?\$\$|(?<![\w$\\])\$(?=[^\s$])[^$\n]*[^\s$\\]\$(?![\w$])|(?<![\w$\\])\$[A-Za-z]\$(?![\w$])|\\\[.+?\\\]|\\\(.+?\\\)", re.DOTALL)
 _INLINE = re.compile(r"(?<!`)(`{1,2})([^`\n]+)\1(?!`)")
+#: kinds, pattern, replacement: where the pattern acts, the body may hold a construct of those kinds.
 _STEPS = [
-    (re.compile(r"^[ \t]{0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", _M), r"\1 \2"),
-    (re.compile(r"^([^\n]*\w[^\n]*)\n(?:={3,}|-{3,})[ \t]*$", _M), r"# \1"),
-    (re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*$", _M), lambda m: "#" * len(m.group(1)) + " " + m.group(2)),
-    (re.compile(r"\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}"), r"\n# \1\n"),
-    (re.compile(r"^[ \t]*\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?|^\|\+[^\n]*\n?", _M), ""),
-    (re.compile(r"^[!|][ \t]*([^\n|][^\n]*?(?:!!|\|\|)[^\n]*)$", _M), lambda m: " | ".join(x.strip() for x in re.split(r"!!|\|\|", m.group(1)))),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|[ \t]*\n?", _M), ""),
-    (re.compile(r"^[ \t]*\|([^\n]*)\|[ \t]*$", _M), lambda m: " | ".join(x.strip() for x in m.group(1).split("|"))),
-    (re.compile(r"\\begin\{(?:itemize|enumerate|description|center|quote)\}[^\n]*\n?|\\end\{(?:itemize|enumerate|description|center|quote)\}\n?"), "\n"),
-    (re.compile(r"\\item\b[ \t]*(?:\[([^\]\n]*)\])?[ \t]*"), lambda m: "- " + (m.group(1) + " " if m.group(1) else "")),
-    (re.compile(r"\\(?:cite|ref|eqref|label|footnote|url|citep|citet)\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}"), r"[\1]"),
-    (re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}"), r"\1"),
-    (re.compile(r"\\(?:text\w*|emph|underline|mbox|texttt|mathrm)\{([^{}]*)\}"), r"\1"),
-    (re.compile(r"\\(?:begin|end)\{[^{}]*\}"), ""),
-    (re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
-    (re.compile(r"\[([^\[\]\n]+)\]\([^()\s]+[^()\n]*\)"), r"\1"),
-    (re.compile(r"^[ \t]{0,3}\[\^([^\[\]\n]+)\]:[ \t]*", _M), ""),
-    (re.compile(r"^[ \t]{0,3}\[[^\[\]\n]+\]:[ \t]*\S+[^\n]*\n?", _M), ""),
-    (re.compile(r"\[\^[^\[\]\s]+\]"), ""),
-    (re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), r"\1"),
-    (re.compile(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n|]+)\]\]"), r"\1"),
-    (re.compile(r"\[https?://\S+[ \t]+([^\]\n]+)\]"), r"\1"),
-    (re.compile(r"\{\{[^{}\n|]+\|?([^{}\n]*)\}\}"), lambda m: m.group(1).replace("|", ", ")),
-    (re.compile(r"(?<![\w'])'{2,5}([^'\n]+)'{2,5}(?![\w'])"), r"\1"),
-    (re.compile(r"(?<!\w)\*\*\*?([^\s*][^*\n]*?)\*\*\*?"), r"\1"),
-    (re.compile(r"(?<![\w/])__([^\W_][^\n]*?)__(?!\w)"), r"\1"),
-    (re.compile(r"(?<![\w*\\/(])\*([^\s*/](?:[^*\n]*[^\s*])?)\*(?![\w*/])"), r"\1"),
-    (re.compile(r"(?<![\w/\\.-])_([^\W_](?:[^_\n]*[^\s_])?)_(?!\w)"), r"\1"),
-    (re.compile(r"~~([^~\n]+)(?:~~|$)", _M), r"\1"),
-    (re.compile(r"^([ \t]*)[*+•][ \t]+", _M), r"\1- "),
-    (re.compile(r"^([ \t]*)-[ \t]+\[[ xX]\][ \t]+", _M), r"\1- "),
-    (re.compile(r"^([ \t]*)(\d{1,3})\)[ \t]+", _M), r"\1\2. "),
-    (re.compile(r"^[ \t]{0,3}(?:>[ \t]?)+", _M), ""),
-    (re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$\n?", _M), ""),
+    ("heading", re.compile(r"^[ \t]{0,3}(#{1,6})[ \t]+([^\n]*?)[ \t]*#*[ \t]*$", _M), r"\1 \2"),
+    ("heading", re.compile(r"^((?=[^\n]*\w)[^\n]+)\n(?:={3,}|-{3,})[ \t]*$", _M), r"# \1"),
+    ("wiki", re.compile(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*={2,6}[ \t]*$", _M), lambda m: "#" * len(m.group(1)) + " " + m.group(2)),
+    ("latex", re.compile(r"\\(?:part|chapter|section|subsection|subsubsection|paragraph)\*?\{([^{}]*)\}"), r"\n# \1\n"),
+    ("wiki", re.compile(r"^[ \t]*\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?|^\|\+[^\n]*\n?", _M), ""),
+    ("wiki|table", re.compile(r"^[!|][ \t]*([^\n|][^\n]*?(?:!!|\|\|)[^\n]*)$", _M), lambda m: " | ".join(x.strip() for x in re.split(r"!!|\|\|", m.group(1)))),
+    ("table", re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|[ \t]*\n?", _M), ""),
+    ("table", re.compile(r"^[ \t]*\|([^\n]*)\|[ \t]*$", _M), lambda m: " | ".join(x.strip() for x in m.group(1).split("|"))),
+    ("latex", re.compile(r"\\begin\{(?:itemize|enumerate|description|center|quote)\}[^\n]*\n?|\\end\{(?:itemize|enumerate|description|center|quote)\}\n?"), "\n"),
+    ("latex", re.compile(r"\\item\b[ \t]*(?:\[([^\]\n]*)\])?[ \t]*"), lambda m: "- " + (m.group(1) + " " if m.group(1) else "")),
+    ("latex", re.compile(r"\\(?:cite|ref|eqref|label|footnote|url|citep|citet)\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}"), r"[\1]"),
+    ("latex", re.compile(r"\\href\{[^{}]*\}\{([^{}]*)\}"), r"\1"),
+    ("latex", re.compile(r"\\(?:text\w*|emph|underline|mbox|texttt|mathrm)\{([^{}]*)\}"), r"\1"),
+    ("latex", re.compile(r"\\(?:begin|end)\{[^{}]*\}"), ""),
+    ("link", re.compile(r"!\[([^\[\]\n]*)\]\([^()\n]*\)"), r"\1"),
+    ("link", re.compile(r"\[([^\[\]\n]+)\]\([^()\s]+[^()\n]*\)"), r"\1"),
+    ("link", re.compile(r"^[ \t]{0,3}\[\^([^\[\]\n]+)\]:[ \t]*", _M), ""),
+    ("link", re.compile(r"^[ \t]{0,3}\[[^\[\]\n]+\]:[ \t]*\S+[^\n]*\n?", _M), ""),
+    ("link", re.compile(r"\[\^[^\[\]\s]+\]"), ""),
+    ("link", re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), r"\1"),
+    ("wiki", re.compile(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n|]+)\]\]"), r"\1"),
+    ("wiki", re.compile(r"\[https?://\S+[ \t]+([^\]\n]+)\]"), r"\1"),
+    ("wiki", re.compile(r"\{\{[^{}\n|]+\|?([^{}\n]*)\}\}"), lambda m: m.group(1).replace("|", ", ")),
+    ("wiki", re.compile(r"(?<![\w'])'{2,5}([^'\n]+)'{2,5}(?![\w'])"), r"\1"),
+    ("emphasis", re.compile(r"(?<!\w)\*\*\*?([^\s*][^*\n]*?)\*\*\*?"), r"\1"),
+    ("emphasis", re.compile(r"(?<![\w/])__([^\W_][^\n]*?)__(?!\w)"), r"\1"),
+    ("emphasis", re.compile(r"(?<![\w*\\/(])\*([^\s*/](?:[^*\n]*[^\s*])?)\*(?![\w*/])"), r"\1"),
+    ("emphasis", re.compile(r"(?<![\w/\\.-])_([^\W_](?:[^_\n]*[^\s_])?)_(?!\w)"), r"\1"),
+    ("emphasis", re.compile(r"~~([^~\n]+)(?:~~|$)", _M), r"\1"),
+    ("emphasis", re.compile(r"(?<!\w)\*\*(?=[^\s*])(?!(?:kw)?args\b|\w+\))([^\n*]+)"), r"\1"),  # never closed
+    ("list", re.compile(r"^([ \t]*)[*+•][ \t]+", _M), r"\1- "),
+    ("list", re.compile(r"^([ \t]*)-[ \t]+\[[ xX]\][ \t]+", _M), r"\1- "),
+    ("list", re.compile(r"^([ \t]*)(\d{1,3})\)[ \t]+", _M), r"\1\2. "),
+    ("list", re.compile(r"^([ \t]*(?:-|\d{1,3}\.))[ \t]+(?=\S)", _M), r"\1 "),
+    ("quote", re.compile(r"^[ \t]{0,3}(?:>[ \t]?)+", _M), ""),
+    ("rule", re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$\n?", _M), ""),
 ]
 
 
-def clean(text: str | None, kinds: list[str] | None = None) -> str | None:
-    """The text without markup, its structure in the module's plain notation; text without markup as it is."""
-    if text is None or not (constructs(text) if kinds is None else kinds):
-        return text
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "").replace("\x02", "")
+def cleaned(text: str | None) -> tuple[str | None, list[str]]:
+    """The text without markup and the kinds of markup it held, from one pass: the events of the parser show HTML, each
+    cleaning step records its kind where it acts, and the exact patterns confirm what was recorded. Text in which nothing
+    is confirmed comes out as it is."""
+    if not text or not _ANY.search(text):
+        return text, []
+    raw = text.replace("\r\n", "\n").replace("\r", "\n")
+    made = raw.replace("\x00", "").replace("\x01", "").replace("\x02", "")
     kept: list[str] = []
+    kinds: set[str] = set()
 
-    def keep(s: str) -> str:
+    def keep(s: str, *kind: str) -> str:
+        kinds.update(kind)
         kept.append(s)
         return f"\x00{len(kept) - 1}\x00"
 
     indented = lambda s: "\n".join("    " + x if x else x for x in s.strip("\n").split("\n"))
-    text = _FENCE.sub(lambda m: keep(indented(m.group(3))) + "\n", text)
-    text = _INLINE.sub(lambda m: keep(m.group(2).strip()), text)
-    text = _MATH.sub(lambda m: keep("$" + re.sub(r"^(?:\$\$?|\\\[|\\\()\s*|\s*(?:\$\$?|\\\]|\\\))$", "", m.group(0)) + "$"), text)
-    lines = text.split("\n")
-    if "<" in text:
-        text = "\n".join(x for x, on in zip(lines, content_lines(lines)) if on)
-    text = _html(text)
-    text = re.sub("\x01(.*?)(?:\x02|$)", lambda m: keep(indented(m.group(1))), text, flags=re.DOTALL)
-    for pattern, to in _STEPS:
-        text = pattern.sub(to, text)
+    made = _FENCE.sub(lambda m: keep(indented(m.group(3)), "code") + "\n", made)
+    made = _INLINE.sub(lambda m: keep(m.group(2).strip(), "code"), made)
+    made = _MATH.sub(lambda m: keep("$" + re.sub(r"^(?:\$\$?|\\\[|\\\()\s*|\s*(?:\$\$?|\\\]|\\\))$", "", m.group(0)) + "$", "formula", "latex"), made)
+    lines = made.split("\n")
+    if "<" in made:
+        made = "\n".join(x for x, on in zip(lines, content_lines(lines)) if on)
+    made, seen = _html(made)
+    if seen:
+        kinds.add("html")
+    made = re.sub("\x01(.*?)(?:\x02|$)", lambda m: keep(indented(m.group(1))), made, flags=re.DOTALL)
+    for kind, pattern, to in _STEPS:
+        made, n = pattern.subn(to, made)
+        if n:
+            kinds.update(kind.split("|"))
+    found = _confirmed(raw, kinds)
+    if not found:
+        return text, []
     for _ in range(3):  # code within code within a formula at most
-        if "\x00" not in text:
+        if "\x00" not in made:
             break
-        text = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], text)
-    text = re.sub(r"[ \t]+$", "", text, flags=_M)
-    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
+        made = re.sub("\x00(\\d+)\x00", lambda m: kept[int(m.group(1))], made)
+    made = re.sub(r"[ \t]+$", "", made, flags=_M)
+    return re.sub(r"\n{3,}", "\n\n", made).strip("\n"), found
+
+
+def constructs(text: str | None) -> list[str]:
+    """Kinds of markup that the text holds, well-formed or not; sorted, each once."""
+    return cleaned(text)[1]
+
+
+def clean(text: str | None) -> str | None:
+    """The text without markup, its structure in the module's plain notation; text without markup as it is."""
+    return cleaned(text)[0]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        kinds = [constructs(t) for t in texts]
-        made = [pa.array(kinds, pa.list_(pa.string()))]
+        results = [cleaned(t) for t in texts]
+        made = [pa.array([k for _, k in results], pa.list_(pa.string()))]
         if with_text:
-            made.append(pa.array([clean(t, k) for t, k in zip(texts, kinds)], pa.string()))
+            made.append(pa.array([t for t, _ in results], pa.string()))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "constructs", "clean_text"][: b.num_columns - 1 + len(made)])
 
 

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tessera.llm.markup import clean, clean_markup, constructs
+from tessera.llm.markup import clean, clean_markup, cleaned, constructs
 from tessera.llm.pii import find_pii, luhn, mod23, mod97, redact, redact_pii
 from tessera.llm.sentences import lattice_words, sentence_spans, split_sentences
 from tessera.llm.split import split_oversized
@@ -152,6 +152,13 @@ def test_clean():
     assert clean(None) is None and clean("<b>" * 20000 + "x") == "x"
 
 
+def test_constructs_are_what_the_cleaning_saw():
+    assert constructs("```\n<b>x</b> &amp; [[A|b]]\n```") == ["code"] == constructs("```\n# no heading\n- no list")
+    assert constructs("<pre>x</pre>\n\n**y") == ["emphasis", "html"] and clean("so **never closed") == "so never closed"
+    for text, kind in MARKED:
+        assert kind in cleaned(text)[1]
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, "**b**", "old"), (1, "**b**", "old"), (2, None, "old"), (3, "", "old")], "row_id int, body string, clean_text string")
     assert rows(clean_markup(df), "row_id", "clean_text", "constructs") == [(1, "b", ["emphasis"])] * 2 + [(2, None, []), (3, "", [])]
