@@ -1,8 +1,8 @@
 """Markup residue in text: HTML, Markdown, wiki markup and LaTeX become clean text that keeps its structure.
 
 HTML is read as the events of the standard library's streaming parser; names that are no HTML elements (generic types,
-addresses in angle brackets) stay text. Of long HTML bodies the content regions are selected by the text-to-tag ratio of
-the lines, smoothed with a Gaussian and cut at a threshold. Structure comes out in one plain notation: headings as
+addresses in angle brackets) stay text. The content regions of every body with tags are selected by the text-to-tag ratio
+of the lines, smoothed with a Gaussian and cut at a threshold; of the lines below it, those of links go. Structure comes out in one plain notation: headings as
 "# " lines, list items as "- " or "1. " lines, code indented by four blanks, table rows as cells joined by " | ",
 formulas between dollar signs.
 """
@@ -194,20 +194,38 @@ def _html(text: str) -> tuple[str, bool]:
     return "".join(p.out), p.seen or "&" in text and html.unescape(text) != text
 
 
-def content_lines(lines: list[str], sigma: float = 1.5, least: int = 20) -> np.ndarray:
+#: What makes a line part of the structure, and what stands in it without being text of its own.
+_STRUCTURE = re.compile(r"</?(?:li|ul|ol|dl|dt|dd|table|caption|tr|td|th|h[1-6]|pre|code|script|style|template)\b|<!|-->|\x00", _I)
+_LINKED = re.compile(r"<a\b[^<>]*>.*?</a\s*>|<button\b[^<>]*>.*?</button\s*>|<option\b[^<>]*>.*?</option\s*>", _I)
+
+
+def _own_text(line: str) -> bool:
+    """Whether the line says more than links and buttons do, one link alone included."""
+    rest, n = _LINKED.subn(" ", line)
+    return n < 2 or re.search(r"\w", _TAG.sub(lambda m: m.group(1) or "", rest)) is not None
+
+
+def content_lines(lines: list[str], sigma: float = 1.5) -> np.ndarray:
     """Which lines of an HTML body are content: text-to-tag ratio per line, smoothed with a Gaussian, clustered by the
-    threshold of one standard deviation. Bodies with fewer than least lines with tags are content throughout, and a line
-    without tags is never dropped."""
+    threshold of one standard deviation, whatever the size of the body. Below it only lines of links are no content:
+    lines of lists, tables, headings and code stay, and so do those with text of their own and those without tags."""
     tags = np.array([sum(1 for m in _TAG.finditer(x) if _is_tag(m)) for x in lines], np.float64)
-    keep = np.ones(len(lines), bool)
-    if (tags > 0).sum() < least:
-        return keep
+    if not tags.any():
+        return np.ones(len(lines), bool)
     text = np.array([len(_TAG.sub(lambda m: m.group(1) or "", x).strip()) for x in lines], np.float64)
     ratio = text / np.maximum(tags, 1)
     r = int(3 * sigma)
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     smooth = np.convolve(np.pad(ratio, r, mode="edge"), kernel / kernel.sum(), "valid")
-    return (smooth >= smooth.std()) | (tags == 0)
+    keep = (smooth >= smooth.std()) | (tags == 0)
+    for i in np.flatnonzero(~keep):
+        keep[i] = _STRUCTURE.search(lines[i]) is not None or _own_text(lines[i])
+    return keep
+
+
+def _tags_only(line: str) -> str:
+    """The line's tags without its text, so that what they open or close stays so."""
+    return "".join(m.group(0)[len(m.group(1) or "") :] for m in _TAG.finditer(line) if _is_tag(m) and m.group(3).lower() not in ("img", "br"))
 
 
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})([^\n`]*)\n(.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\Z)", _M | re.DOTALL)
@@ -276,7 +294,7 @@ def cleaned(text: str | None) -> tuple[str | None, list[str]]:
     made = _MATH.sub(lambda m: keep("$" + re.sub(r"^(?:\$\$?|\\\[|\\\()\s*|\s*(?:\$\$?|\\\]|\\\))$", "", m.group(0)) + "$", "formula", "latex"), made)
     lines = made.split("\n")
     if "<" in made:
-        made = "\n".join(x for x, on in zip(lines, content_lines(lines)) if on)
+        made = "\n".join(x if on else _tags_only(x) for x, on in zip(lines, content_lines(lines)))
     made, seen = _html(made)
     if seen:
         kinds.add("html")

@@ -159,6 +159,20 @@ def test_constructs_are_what_the_cleaning_saw():
         assert kind in cleaned(text)[1]
 
 
+def test_regions_keep_lists_tables_and_sentences():
+    long = "A paragraph of many words. " * 30
+    items, rows_ = ([f"{a}r{i} x{b}" for i in range(22)] for a, b in (("<li>", "</li>"), ("<tr><td>", "</td></tr>")))
+    got = clean("\n".join([f"<p>{long}</p>", "<ul>", *items, "</ul>", f"<p>{long}</p>", "<table>", *rows_, "</table>", "<p><b>Short</b> note.</p>", f"<p>{long}</p>"]))
+    assert all(f"- r{i} x" in got for i in range(22)) and len(re.findall(r"^r\d+ x$", got, re.M)) == 22 and "Short note." in got
+
+
+def test_regions_are_selected_in_short_bodies_too():
+    nav = '<div><a href="/">Home</a> | <a href="/a">About</a> | <a href="/b">Help</a>'
+    long = "<p>" + "A paragraph of many words. " * 30 + "</p>"
+    got = clean("\n".join([nav, "<a href='x'>The log</a></div>", "<b>Press</b> <a href='x'>it</a> or <a href='y'>that</a>", *[""] * 5, long, long]))
+    assert "Home" not in got and "About" not in got and "The log" in got and "Press it or that" in got and "many words" in got
+
+
 def test_markup_table(spark):
     df = spark.createDataFrame([(1, "**b**", "old"), (1, "**b**", "old"), (2, None, "old"), (3, "", "old")], "row_id int, body string, clean_text string")
     assert rows(clean_markup(df), "row_id", "clean_text", "constructs") == [(1, "b", ["emphasis"])] * 2 + [(2, None, []), (3, "", [])]
