@@ -4,9 +4,10 @@ A text is cut into blocks at blank lines and, between characters of Japanese or
 possible ends (terminators of spaced scripts, full-width marks, dandas, blanks beside Thai) are the nodes of a lattice;
 quotations and brackets are its levels, paired first, so that an end inside one leads to the end of that level or
 nowhere. Each node is then judged by the words on both sides: abbreviations, initials, ordinals and opening words in
-spaced scripts; in spaceless ones the words beside it come from a dictionary lattice (fewest, longest known words), and
-final particles, quotative particles and verbs of saying decide whether a quotation goes on. The script around
-each node decides how it is read, not the language tag.
+spaced scripts; in Japanese the words beside it come from a lattice over a small dictionary of function words (fewest,
+longest known words): final particles, bound particles and openers decide whether a mark belongs to a name, quotative
+particles whether a quotation goes on. Chinese is split at its marks, a quotation by verbs of saying; Thai at blanks.
+The script around each node decides how it is read, not the language tag.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ MONTHS = frozenset("januar jänner februar märz april mai juni juli august sept
 ORDINAL_CUES = frozenset("am beim zum vom im dem den der des das die bis seit ab nach jeder jedem jeden jedes dieser diesem diesen ihr ihrem seinem zur in mit vor unter unserem unser".split())
 JA_CONTINUES = "と って という といった とか など なら も が は を に の で や から まで だ です".split()
 ZH_SAYING = "说 說 道 写 寫 问 問 答 表示 回复 回覆 称 稱 喊 叫 想 指出 认为 認為 补充 提醒".split()
+# Japanese and Chinese words that end a sentence before a mark; Japanese particles that can't open one (before more hiragana
+# they are the beginning of another word), and those that can, before a comma.
+FINAL_PARTICLES = "か ね よ な わ ぞ ぜ さ かな よね です ます ました でした ません しょう でしょう ましょう ください さい だ だった た る い う ない なかった ろ 了 吗 嗎 呢 吧 啊 呀 嘛 的".split()
+JA_BOUND = "の を に が は へ も と や で から まで って という とか など".split()
+JA_OPENERS = "が、 で、 と、 から、".split()
 
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿。、！？「」『』（）【】《》〈〉，：；｡-ﾟ]")
 _BLOCKS = re.compile(r"(?:\r\n|[\n\r\x85  ])(?:[^\S\r\n]*(?:\r\n|[\n\r\x85  ]))+[^\S\r\n]*")
@@ -53,7 +59,8 @@ _MARKS = re.compile("[\"" + re.escape("".join(sorted(set("".join(_PAIRS) + "".jo
 _WORD_BEFORE = re.compile(r"(?:(?<=^)|(?<=[\s(\[{«“„\"'’,;:/–—-]))((?:[^\W\d_]{1,3}\.[ \xa0]?)*[^\W_]*[^\W\d_][\w’'-]*|\d+|[^\W\d_]+[-.][^\W\d_]+)$")
 _NEXT = re.compile(r"[\"'“‘«‹„‚「『(\[{（¿¡\s]*([^\W_][\w’'-]*)")
 _SAID = re.compile("[^。！？!?\n]{0,24}?(?:" + "|".join(ZH_SAYING) + ")")
-_DICTIONARY = frozenset(JA_CONTINUES) | frozenset(ZH_SAYING) | frozenset("です ます ました でした ません しょう でしょう か ね よ ください さい 了 吗 呢 吧 的 是 在 我们 他们 她们 报告人 审核人 值班 同事 这样 那样 担当者 報告者 確認者 ครับ ค่ะ คะ นะ และ แต่ ที่ ว่า".split())
+_NAME = re.compile(r"[A-Z][A-Za-z0-9]*|[ァ-ヺー]+")
+_DICTIONARY = frozenset(FINAL_PARTICLES) | frozenset(JA_BOUND) | frozenset(JA_OPENERS) | frozenset(JA_CONTINUES) | frozenset(ZH_SAYING) | frozenset("です ます ました でした ません しょう でしょう か ね よ ください さい 了 吗 呢 吧 的 是 在 我们 他们 她们 报告人 审核人 值班 同事 这样 那样 担当者 報告者 確認者 ครับ ค่ะ คะ นะ และ แต่ ที่ ว่า".split())
 
 
 def lattice_words(text: str, most: int = 8) -> list[str]:
@@ -105,8 +112,23 @@ def _levels(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
-def _ends(text: str, i: int, j: int, k: int, quoted: bool, b: int) -> bool:
-    """Whether the sentence ends at k, behind the marks text[i:j] and what they closed; b is the end of the block."""
+def _in_name(text: str, start: int, i: int, k: int, b: int) -> bool:
+    """Whether a full-width mark at text[i:k], the sentence having begun at start, stands inside a name: no predicate or
+    final particle before it, and behind it a particle that can't open a sentence, or, if one name in Latin letters is
+    all there is before an exclamation mark, the katakana that go on with the name."""
+    before = lattice_words(text[max(start, i - 12) : i])
+    if k - i != 1 or not before or before[-1] in FINAL_PARTICLES:
+        return False
+    after = text[k : min(b, k + 12)]
+    word = next(iter(lattice_words(after)), "")
+    if word in JA_BOUND and not re.match("[ぁ-ん]", after[len(word) :]):
+        return True
+    return text[i] in "！？" and text[start:i].isascii() and _NAME.fullmatch(text[start:i].strip()) is not None and re.match("[ァ-ヺー]", after) is not None
+
+
+def _ends(text: str, i: int, j: int, k: int, quoted: bool, b: int, start: int = 0) -> bool:
+    """Whether the sentence that began at start ends at k, behind the marks text[i:j] and what they closed; b is the end
+    of the block."""
     n = k
     while n < b and text[n].isspace():
         n += 1
@@ -116,7 +138,7 @@ def _ends(text: str, i: int, j: int, k: int, quoted: bool, b: int) -> bool:
     wide = any(c in "。！？．｡" for c in marks)
     if wide or _CJK.match(nxt) and not gap and any(c in "!?" for c in marks):
         if not quoted:
-            return nxt not in "」』”’）)】》"
+            return nxt not in "」』”’）)】》" and (gap or j != k or not _in_name(text, start, i, k, b))
         after = text[k : min(b, k + 32)]
         if gap or nxt in _OPENERS:
             return True
@@ -241,7 +263,7 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             continue
         while k < b and text[k] in "'’”»›" and not (k + 1 < b and text[k + 1].isalnum()):
             k, quoted = k + 1, True
-        if _ends(text, i, j, k, quoted, b):
+        if _ends(text, i, j, k, quoted, b, start):
             _add(text, start, k, out)
             start = done = k
     _add(text, start, b, out)

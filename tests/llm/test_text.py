@@ -99,6 +99,12 @@ def test_sentences(marked):
     assert [text[s:e] for s, e in sentence_spans(text)] == want
 
 
+@pytest.mark.parametrize("marked", ["モーニング娘。の新曲を聞いた。|Yahoo！ニュースを見た。|次です。", "すごい！ニュースを見た。".replace("！", "！|"), "終わりました。|では次へ。|もう一度。|はい。", "藤岡弘、も来た。|これは何か？|の意味です。", "真的吗？|他来了。|好！", "残り1件。|はたして直るか。", "残り1件。|が、直った。"])
+def test_marks_inside_names_of_spaceless_scripts(marked):
+    text = marked.replace("|", "")
+    assert [text[s:e] for s, e in sentence_spans(text)] == marked.split("|")
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, "Ab cd. Ef gh.", 1), (1, "Ab cd. Ef gh.", 1), (2, None, 2), (3, " \n ", 3), (4, "x. " * 20000, 4)], "doc_id bigint, text string, sentence int")
     got = split_sentences(df)
