@@ -57,7 +57,7 @@ BANNER = r"^/\*![ @]?[\w.@/-]+ v?\d+\.\d+"
 
 _COMMENT = r"(?im)^[ \t]*(?:/\*+!?|\*+|//+!?|#+!?|--+|;+|%+|<!--|\"\"\"|''')[ \t\r\n*]*"
 #: A literal of a table: number, short string, key of a pair.
-_LITERAL = r"(?:0[xX][0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|\"[^\"\\\n]{0,40}\"(?:\s*:)?|'[^'\\\n]{0,40}'(?:\s*:)?)[ \t]*[,\])}:]*[ \t]*"
+_LITERAL = r"(?:0[xX][0-9a-fA-F]+[uUlL]{0,3}|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[fFuUlL]{0,3}|\"[^\"\\\n]{0,40}\"(?:\s*:)?|'[^'\\\n]{0,40}'(?:\s*:)?)[ \t]*[,\])}:]*[ \t]*"
 
 #: A chunk is bulk data from so many literals on, if they are at least this part of its text.
 DATA_LITERALS, DATA_PART = 60, 0.6
@@ -91,24 +91,25 @@ def is_source(path: Column) -> Column:
 def judged_chunks(chunks: DataFrame) -> DataFrame:
     """(file_path, kind): generated, vendored, minified, data or null, for each chunk, from its path or its text.
 
-    What several rules read (the code without path and hard blanks, its first long line, the count of its numbers) is
+    What several rules read (the code without path and hard blanks, its first long line, the count of its digits and quotation marks) is
     computed once, in steps that stay apart in the plan."""
     path = F.col("file_path")
     bare = F.replace(F.regexp_replace("text", r"\A\[[^\]\n]+\] ", ""), F.lit("\u00a0"), F.lit(" "))
     df = chunks.where(path.isNotNull()).select("file_path", path_kind(path).alias("known"), "text")
     df = df.select("file_path", "known", F.when(F.col("known").isNull() & is_source(path), bare).alias("code"))
     code = F.col("code")
-    df = df.select("file_path", "known", "code", F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0).alias("long_line"), F.regexp_count(code, F.lit(r"\d[ \t]*[,\])}]")).alias("numbers"))
+    df = df.select("file_path", "known", "code", F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0).alias("long_line"), F.regexp_count(code, F.lit(r"[0-9\"']")).alias("signs"))
     line, n = F.col("long_line"), F.length("long_line")
     marked = lambda marks: code.rlike(_COMMENT + _any(marks))
     ends, blanks = F.regexp_count(line, F.lit(r"[;{}]")), F.regexp_count(line, F.lit(r"[ \t]"))
     minified = (n >= 240) & (ends * 50 >= n) & (blanks * 8 <= n) & ~line.rlike(r"^[^;{}]{0,60}[\"'`][^\"'`]*$") & ~line.rlike(_COMMENT + r"\w+ \w+ \w+ ")
-    # such a run begins behind a quotation mark or, where its chunk was cut from a longer one, a line
-    packed = code.rlike(r"(?m)(?:[\"'`]|^)[A-Za-z0-9+/=]{40}") & code.rlike(r"[A-Za-z0-9+/=]{160}|(?:[A-Za-z0-9+/=]{40,}+(?:\\\r?\n|[\"'`][ \t]*[+,]?[ \t\r\n]*[\"'`])){3}")
+    # both alternatives hold a run of 40, wherever it begins; a ruler of signs is none
+    packed = code.rlike(r"[A-Za-z0-9+/=]{40}") & code.rlike(r"(?![=/+]{40})[A-Za-z0-9+/=]{160}|(?:[A-Za-z0-9+/=]{40,}+(?:\\\r?\n|[\"'`][ \t]*[+,]?[ \t\r\n]*[\"'`])){3}")
     plain = F.regexp_replace(code, r"(?m)(?://|#)[^\n]*$|/\*[\s\S]*?\*/", "")
     literals = F.regexp_extract_all(plain, F.lit(_LITERAL), F.lit(0))
     covered = F.aggregate(literals, F.lit(0), lambda s, x: s + F.length(F.regexp_replace(x, r"\s", "")))
-    data = (F.col("numbers") >= DATA_LITERALS) & (F.regexp_count(plain, F.lit(r"\d[ \t]*[,\])}]")) >= DATA_LITERALS) & (covered >= DATA_PART * F.length(F.regexp_replace(plain, r"\s", "")))
+    # every literal has a digit or a quotation mark
+    data = (F.col("signs") >= DATA_LITERALS) & (F.regexp_count(plain, F.lit(_LITERAL)) >= DATA_LITERALS) & (covered >= DATA_PART * F.length(F.regexp_replace(plain, r"\s", "")))
     kind = F.when(marked(GENERATED_MARKS), "generated").when(marked(VENDORED_MARKS), "vendored").when(code.rlike(BANNER) | minified, "minified").when(packed | data, "data")
     return df.select("file_path", F.coalesce("known", kind).alias("kind"))
 

@@ -103,6 +103,17 @@ def test_not_handwritten(spark):
     assert copied_files(df, min_repos=4).collect() == [] and not_handwritten(df.where("false")).collect() == []
 
 
+def test_bulk_data_wherever_it_begins(spark):
+    hand, run = "def f(x):\n    return x + 1\n", "Ab9x" * 60
+    data = {
+        "r/url.css": f"a {{ src: url(data:font/woff2;base64,{run}) }}", "r/block.yaml": f"key: |\n    {run}\n", "r/assign.properties": f"blob={run}",
+        "r/words.py": "W = [" + ", ".join(f'"word{chr(97 + i % 26)}{chr(97 + i // 26)}"' for i in range(90)) + "]", "r/hex.c": "t[] = {" + ", ".join(f"0x{i % 16:X}F" for i in range(90)) + "};", "r/floats.c": "t[] = {" + ", ".join(f"{i}.5f" for i in range(90)) + "};",
+    }
+    plain = {"r/hand.py": hand * 40, "r/ruler.py": "    # " + "=" * 200 + "\n" + hand, "r/few.py": 'W = ["a", "b", "c"]\n' + hand}
+    df = spark.createDataFrame([*data.items(), *plain.items()], "file_path string, text string")
+    assert rows(not_handwritten(df), "file_path", "kinds") == sorted((p, ["data"]) for p in data)
+
+
 S, D = "query_id bigint, scorer string, chunk_id bigint, score double, rank int", "query_id bigint, engine string, chunk_id bigint, score float, extra int"
 
 
