@@ -29,7 +29,16 @@ GIVEN = frozenset(
     marie mario marisol mark markus marta martin mary mateo matthew max maya mehmet michael miguel mikael minna mirela miriam mohammed monika nadia natalia nathan nicolas nina noah noemi
     nora olga oliver olivia omar oriel oskar otto pablo patricia paul paula pavel pedro peter petra philip pierre rachel rafael rebecca ricardo richard robert rosa ruben ruth
     samuel sandra sara sarah sebastian senna sergei silvia simon sofia sophie stefan stella stephen steven sunniva susan svetlana sven tamara teresa thaddeus theo thomas tim tindra
-    tobias tomas torvil ulrich ursula valentina vera victor viktor vincent wanda werner william xavier yasmin ysolde yuki yusuf zofia zoe""".split()
+    tobias tomas torvil ulrich ursula valentina vera victor viktor vincent wanda werner william xavier yasmin ysolde yuki yusuf zofia zoe
+    aaron abdul abigail abdullah aditya akira albert aleksandr alessandro alfonso ali alicia alison amanda amina amit amy anil anjali antoine antonia arjun arnaud asha ashok aurelie ayse
+    bernard bernd bogdan brenda bruno carla carol cecilia chiara chidi chinedu ciara cristina cynthia danielle deborah deepak dennis derek dieter dimitri dominik donald dorothy douglas
+    eduardo eileen ekaterina eleanor emmanuel enrique ernesto esther eugene evelyn farah fatou fernando fiona florian francois franz frederic gabriela geoffrey gerard gerhard giovanni
+    gonzalo guillaume gunther hamza haruto heather heike heinz hiroshi hye ibrahim igor ikram imran ingrid irina isaac ismail ivana jamal janet jason jeffrey jeremy jessica jin joanna
+    jonathan joyce juergen kamal karthik katherine kathleen keiko keith kenji kenneth kevin khadija khalid krzysztof kwame lakshmi larry laurent layla leila lorenzo luciana ludmila
+    mahmoud malik manoj margaret marina marion matthias maurice megan mei melissa michel michelle mikhail ming monique mustafa nadine nancy naoko natasha neha ngozi nigel nikolai nisha
+    oksana olaf olena pamela pascal philippe piotr pradeep priya rahul rainer raj rajesh ramon ravi raymond renate roberto rodrigo roger roland ronald rosemary ryan sabine sachiko
+    sanjay santiago satoshi sergio shirley sofie sonia sophia stanislav stephanie steffen sunil suresh sylvie tatiana takashi terence thierry thorsten timothy tomasz tyler uwe vanessa
+    vijay vikram vladimir walter wei wolfgang yan yann yoko yolanda yuri yvonne zainab zhang""".split()
 )
 _NOT_NAMES = frozenset(
     """the a an our one my this that these those any some all each every no not and or of in on at to for from with by as is are was were it he she they we you who what when where why how if
@@ -96,6 +105,12 @@ _BEFORE = re.compile(
     r"\b(?:frau|herrn?|mme|mlle|madame|monsieur|señora|señor|señorita|sra?\.|dra\.|mrs?\.?|ms\.?|miss|prof\.|dr\.|(?-i:M\.))[ \t]+(?:(?:dr|prof)\.[ \t]+)?|(?:\A|\n)--[ \t]*\n)$",
     re.I,
 )
+#: Before two capitalised words these show a person whatever the given name.
+_STRONG_BEFORE = re.compile(
+    r"(?:\b(?:signed-off-by|co-authored-by|reviewed-by|reported-by|acked-by|tested-by|suggested-by|helped-by):[ \t]*|\b(?:reported by|thanks to)[ \t]+|"
+    r"\b(?:frau|herrn?|mme|mlle|madame|monsieur|señora|señor|señorita|sra?\.|dra\.|mrs\.?|mr\.?|ms\.|miss|prof\.|dr\.)[ \t]+(?:(?:dr|prof)\.[ \t]+)?)$",
+    re.I,
+)
 _AFTER = re.compile(
     r"[ \t]*(?:can be reached|from accounting|from \w+ sees|confirme|hat das|lo vio|, who |about this|for the trace|during the|on (?:\+|\(|\d)|<[^<>\s]+>|<?\x00|;|\n[ \t]*(?:\x00|\+?[\d(]|--)|wrote to me|called|phoned|sees the)",
     re.I,
@@ -240,7 +255,7 @@ def _people(text: str):
                 score = 0.5 * known + 0.3 * before + 0.25 * after + (0.1 if strict else -0.2)
                 if parts.get("initial") and (before or after):
                     score += 0.2
-                if strict and not known and before and after:
+                if strict and not known and before and (after or given and "," not in m.group(0) and _STRONG_BEFORE.search(text[max(0, m.start() - 30) : m.start()])):
                     score += 0.1
                 yield m.start(), m.end(), score
                 if score >= THRESHOLD:

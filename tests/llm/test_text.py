@@ -212,6 +212,11 @@ def test_not_pii(text):
     assert find_pii(text) == []
 
 
+@pytest.mark.parametrize("text,what", [("Reported by Priya Sharma.", "Priya Sharma"), ("Thanks to Kwame Mensah.", "Kwame Mensah"), ("Reported by Zenzile Mabuza.", "Zenzile Mabuza"), ("Dr. Zenzile Mabuza says", "Zenzile Mabuza"), ("Reported by Quartz Ledger", None), ("Zenzile Mabuza", None)])
+def test_strong_cues_show_unlisted_names(text, what):
+    assert [text[s:e] for s, e, *_ in find_pii(text)] == ([what] if what else [])
+
+
 def test_names_in_addresses_are_no_names():
     assert [k for *_, k, _ in find_pii("KATYA.ASHCOMBE-ROY@EXAMPLE.ORG")] == ["email"]
 
