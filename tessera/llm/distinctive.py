@@ -1,7 +1,7 @@
 """How distinctive a term is for a record: hypergeometric enrichment against the whole collection.
 
 Terms are maximal runs of A-Za-z0-9_, A-Z folded to a-z, that start with a letter and have at least min_length
-characters. The collection is an urn of N term occurrences, K of them the term; a record draws n, and the score is
+characters; with unicode, of the letters, marks and digits of all scripts and _, in lower case. The collection is an urn of N term occurrences, K of them the term; a record draws n, and the score is
 -log10 of P(X >= k), the exact upper tail, summed from log-gamma values, after Benjamini-Hochberg adjustment over the
 terms scored for the record.
 
@@ -11,6 +11,7 @@ hashes in place of strings; a second pass yields the pairs of record and term, a
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +28,49 @@ HEAVY = 10_000
 _KINDS = H.byte_table(H.WORD)
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
+_KINDS_ALL = H.byte_table(H.WORD, high=True)
+_LETTER_ALL = _LETTER.copy()
+_LETTER_ALL[128:] = True
 
 
-def _terms(data: np.ndarray, at: np.ndarray, least: int):
+class _Folded(dict):
+    """For str.translate: letters, marks and ASCII as they are, digits of all scripts as ASCII digits, else a blank."""
+
+    def __missing__(self, c: int) -> int:
+        kind = unicodedata.category(chr(c))
+        self[c] = c if c < 128 or kind[0] in "LM" else 48 + unicodedata.digit(chr(c)) if kind == "Nd" else 32
+        return self[c]
+
+
+_FOLDED = _Folded()
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """Texts of which every byte above 127 belongs to a letter or mark, in lower case."""
+    return pa.array([t if t is None or t.isascii() else t.lower().translate(_FOLDED) for t in texts.to_pylist()], pa.string())
+
+
+def _terms(data: np.ndarray, at: np.ndarray, least: int, unicode: bool):
     """Per slice of rows: buffer, first row, starts, ends, hashes and rows of its terms."""
+    kinds, letter = (_KINDS_ALL, _LETTER_ALL) if unicode else (_KINDS, _LETTER)
     for a, b in H.slices(at):
         buf = data[at[a] : at[b]]
-        starts, ends, h = H.tokens(buf, _KINDS)
-        ok = (ends - starts >= least) & _LETTER[buf[np.minimum(starts, max(len(buf) - 1, 0))]] if len(starts) else np.zeros(0, bool)
+        starts, ends, h = H.tokens(buf, kinds)
+        size = ends - starts
+        if unicode and least > 1 and len(starts):  # characters, not bytes
+            more = np.append(0, np.cumsum((buf & 0xC0) == 0x80))
+            size = size - (more[ends] - more[starts])
+        ok = (size >= least) & letter[buf[np.minimum(starts, max(len(buf) - 1, 0))]] if len(starts) else np.zeros(0, bool)
         starts, ends, h = starts[ok], ends[ok], h[ok]
         rows = np.searchsorted(at[a : b + 1] - at[a], starts, "right") - 1
         yield buf, a, starts, ends, h, rows
 
 
-def _count(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], least: int, unicode: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = H.spaced_buffers(batch.column(0))
+        data, at = H.spaced_buffers(_folded(batch.column(0)) if unicode else batch.column(0))
         sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for _, _, _, _, h, rows in _terms(data, at, least):
+        for _, _, _, _, h, rows in _terms(data, at, least, unicode):
             if len(h):
                 h, tf = _pairs(h, rows)[:2]
                 sums.append(_add(h, tf, np.ones(len(h), np.int64)))
@@ -68,18 +94,18 @@ def _add(h: np.ndarray, *values: np.ndarray):
     return (keys, *(np.bincount(where, weights=v, minlength=len(keys)).astype(np.int64) for v in values))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], least: int, min_count: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], least: int, min_count: int, unicode: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = H.spaced_buffers(batch.column(1))
-        for buf, a, starts, ends, h, rows in _terms(data, at, least):
+        data, at = H.spaced_buffers(_folded(batch.column(1)) if unicode else batch.column(1))
+        for buf, a, starts, ends, h, rows in _terms(data, at, least, unicode):
             if not len(h):
                 continue
             length = np.bincount(rows)
             h, tf, r, first = _pairs(h, rows)
             ok = tf >= min_count
             h, tf, r, first = h[ok], tf[ok], r[ok], first[ok]
-            low = _KINDS[buf].tobytes()
-            text = [low[s:e].decode("ascii") for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            low = (_KINDS_ALL if unicode else _KINDS)[buf].tobytes()
+            text = [low[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist())]
             ids = batch.column(0).take(pa.array(r + a))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(text, pa.string()), pa.array(h.view(np.int64)), pa.array(tf), pa.array(length[r].astype(np.int64)), batch.column(2).take(pa.array(r + a))],
@@ -137,7 +163,7 @@ def _score(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordB
 
 
 def distinctive_terms(
-    records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", min_length: int = 6, min_count: int = 1, min_df: int = 1, max_df: int | None = None
+    records: DataFrame, id_col: str = "chunk_id", text_col: str = "text", min_length: int = 6, min_count: int = 1, min_df: int = 1, max_df: int | None = None, unicode: bool = False
 ) -> DataFrame:
     """Terms of each record with their weight: (id_col, term, tf, df, cf, p_value, score), score high for terms that
     mark the record. Pairs with fewer than min_count occurrences in the record, and terms in fewer than min_df or more
@@ -149,7 +175,7 @@ def distinctive_terms(
     text = F.col(f"`{text_col}`").alias("text")
     counts = written(
         records.select(text)
-        .mapInArrow(lambda it: _count(it, min_length), "h long, cf long, df long")
+        .mapInArrow(lambda it: _count(it, min_length, unicode), "h long, cf long, df long")
         .groupBy("h")
         .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
     )
@@ -159,7 +185,7 @@ def distinctive_terms(
         within &= F.col("df") <= max_df
     id_type = records.schema[id_col].dataType.simpleString()
     pairs = records.select(F.col(f"`{id_col}`").alias("id"), text, F.monotonically_increasing_id().alias("row")).mapInArrow(
-        lambda it: _candidates(it, min_length, min_count), f"id {id_type}, term string, h long, tf long, n long, row long"
+        lambda it: _candidates(it, min_length, min_count, unicode), f"id {id_type}, term string, h long, tf long, n long, row long"
     )
     # Terms with a HEAVY-th of all pairs or more are HEAVY at most, so they may be broadcast; their pairs are spread
     # evenly after that, and no key of the shuffled join has more than a HEAVY-th of the pairs.

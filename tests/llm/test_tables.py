@@ -103,6 +103,13 @@ def test_not_handwritten(spark):
     assert copied_files(df, min_repos=4).collect() == [] and not_handwritten(df.where("false")).collect() == []
 
 
+def test_terms_of_any_length_and_script(spark):
+    df = spark.createDataFrame([(1, "Ab x1 _y 7z Привет, мир_2 हिन्दी。日本語「語」 ab\u00a0Straße ４x"), (2, "ab other"), (3, None)], "chunk_id int, text string")
+    got = rows(distinctive_terms(df, min_length=1, unicode=True), "chunk_id", "term", "tf")
+    assert got == sorted([(1, t, 2 if t == "ab" else 1) for t in "ab x1 привет мир_2 हिन्दी 日本語 語 straße".split()] + [(2, "ab", 1), (2, "other", 1)], key=repr)
+    assert rows(distinctive_terms(df, unicode=True), "term") == sorted([("привет",), ("हिन्दी",), ("straße",)], key=repr)
+
+
 def test_bulk_data_wherever_it_begins(spark):
     hand, run = "def f(x):\n    return x + 1\n", "Ab9x" * 60
     data = {
