@@ -1,56 +1,105 @@
 """Personal information inside free text: found, typed, and replaced by placeholders.
 
-Regular expressions propose spans. Checksums (Luhn, mod 97, mod 23) confirm them, words nearby raise or lower the score,
-and spans that reach the threshold are replaced; where spans overlap, the kinds take turns in the order of KINDS.
+Regular expressions propose spans. Checksum validators (Luhn, mod 97, mod 23, mod 11) confirm them, and veto those that no
+word nearby names. Words nearby raise or lower the score, and spans that reach the threshold are replaced; where spans
+overlap, the kinds take turns in the order of KINDS.
+
+Names are judged by their shape, by the words before and behind them, and by how ordinary their words are: a word that
+the vocabulary of a public tokenizer holds in lower case, or that the same text writes so, is an ordinary word.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "id_number", "phone", "address", "name")
+KINDS = ("email", "card_number", "id_number", "phone", "address", "name")
 PLACEHOLDER = "[{}]"
 THRESHOLD = 0.5
+#: Folder with the vocabulary files of public tokenizers, and those read for ordinary words.
+TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
-# Given names, titles, kinds of streets.
+# Frequent given names of many languages; words that are no part of a name; particles of surnames.
 GIVEN = frozenset(
-    """adam adrian agnes ahmed aisha ake alan albert alejandro alex alexander alice amelie amir ana anders andrea andreas andrew angela anita anna anouk antonio ari arthur
-    astrid barbara bartek beatriz benedek benjamin bjorn brian calloway camille carl carlos carmen caroline catherine charlotte chloe christian christine claire clara claudia daniel
-    david desmond diana diego dmitri edith edward elena elisa elizabeth ella emeric emil emily emma eric erik eva fatima felix ferran francesca francisco frank frida
-    gabriel george giulia grace greta gustav halvard hannah hans hassan heinrich helen helena henrik henry hugo ida idris iluka imra ines ingrid irene isabel ivan jack jacob
-    jakob james jan jana jane jasmine javier jean jennifer jens joan johan johannes john jonas jorge jose josef joshua jovan juan judith julia julien jurgen karen karin karl
-    kasimir katarina katya klaus lars laura lea lena leo leonie leopold liam lina linda liora lisa louis louise luca lucas lucia luis lukas magdalena manuel marc marco marek maria
-    marie mario marisol mark markus marta martin mary mateo matthew max maya mehmet michael miguel mikael minna mirela miriam mohammed monika nadia natalia nathan nicolas nina noah noemi
-    nora olga oliver olivia omar oriel oskar otto pablo patricia paul paula pavel pedro peter petra philip pierre rachel rafael rebecca ricardo richard robert rosa ruben ruth
-    samuel sandra sara sarah sebastian senna sergei silvia simon sofia sophie stefan stella stephen steven sunniva susan svetlana sven tamara teresa thaddeus theo thomas tim tindra
-    tobias tomas torvil ulrich ursula valentina vera victor viktor vincent wanda werner william xavier yasmin ysolde yuki yusuf zofia zoe
-    aaron abdul abigail abdullah aditya akira albert aleksandr alessandro alfonso ali alicia alison amanda amina amit amy anil anjali antoine antonia arjun arnaud asha ashok aurelie ayse
-    bernard bernd bogdan brenda bruno carla carol cecilia chiara chidi chinedu ciara cristina cynthia danielle deborah deepak dennis derek dieter dimitri dominik donald dorothy douglas
-    eduardo eileen ekaterina eleanor emmanuel enrique ernesto esther eugene evelyn farah fatou fernando fiona florian francois franz frederic gabriela geoffrey gerard gerhard giovanni
-    gonzalo guillaume gunther hamza haruto heather heike heinz hiroshi hye ibrahim igor ikram imran ingrid irina isaac ismail ivana jamal janet jason jeffrey jeremy jessica jin joanna
-    jonathan joyce juergen kamal karthik katherine kathleen keiko keith kenji kenneth kevin khadija khalid krzysztof kwame lakshmi larry laurent layla leila lorenzo luciana ludmila
-    mahmoud malik manoj margaret marina marion matthias maurice megan mei melissa michel michelle mikhail ming monique mustafa nadine nancy naoko natasha neha ngozi nigel nikolai nisha
-    oksana olaf olena pamela pascal philippe piotr pradeep priya rahul rainer raj rajesh ramon ravi raymond renate roberto rodrigo roger roland ronald rosemary ryan sabine sachiko
-    sanjay santiago satoshi sergio shirley sofie sonia sophia stanislav stephanie steffen sunil suresh sylvie tatiana takashi terence thierry thorsten timothy tomasz tyler uwe vanessa
-    vijay vikram vladimir walter wei wolfgang yan yann yoko yolanda yuri yvonne zainab zhang""".split()
+    """aaron abdul abdullah adam ahmed aisha akira alan albert alejandro alessandro alexander alice ali amir amit amy ana anders andrea andrew angela anil anita anja anna antonio arthur ayse
+    barbara ben bernard bernd bruno carl carlos carmen carol catherine charles charlotte chen chloe christian christine claire claudia daniel david deepak diana diego dieter dmitri dorothy
+    edward elena elizabeth emily emma eric erik eva fatima felix fernando francesca francois frank gabriel george giovanni giulia gustav hamza hannah hans hassan helen henry hiroshi hugo ian
+    ibrahim igor ines ingrid irina isabel ivan jack jacob james jan jane javier jean jennifer jessica johannes john jonas jorge jose josef joseph juan julia julien jurgen karen karl katherine
+    kenji kevin khalid klaus krzysztof kwame lars laura lena leo linda lisa louis lucas lucia luis lukas manuel marco marek margaret maria marie mario mark markus marta martin mary mateo
+    matthew mehmet michael miguel mohammed monika mustafa natalia nicolas nina olga oliver omar pablo patricia paul pavel pedro peter philip pierre piotr priya rachel rahul ravi ricardo
+    richard robert rosa samuel sandra sara sarah sergei silvia simon sofia stefan stephen steven susan takashi thomas tomasz ursula victor vladimir walter wei werner william yuki yusuf zhang""".split()
 )
 _NOT_NAMES = frozenset(
-    """the a an our one my this that these those any some all each every no not and or of in on at to for from with by as is are was were it he she they we you who what when where why how if
-    but so than then there here new last first second next old other another same user users team crew desk group engineer reporter reviewer reviewers release build search docs platform
-    on-call night watch mode service gateway ledger worker lanes lane harbor quartz error ticket version revision page file files run set note notes list log job step steps
-    mr mrs ms dr prof inc ltd co regards cheers thanks hello hi dear best signed-off-by cc please contact""".split()
+    """the a an our one my this that these those any some all each every no not and or of in on at to for from with by as is are was were it he she they we you i who what when where why how if
+    but so than then there here last first second next old other another same both most many few if after before since while until nothing only
+    user users team crew desk group engineer reporter reviewer release build search docs platform night service error ticket version page file files set note notes list log job step steps row
+    run table line lines name names author contact cc re fwd fw ask ring call thank thanks met see dear hello hi hey cheers regards best yours sincerely greetings please sorry sent
+    der die das den dem des ein eine einer einem einen wir ihr sie er es ich am im in zum zur vom von mit nach aus auf für bei und oder nicht kein keine wie warum wann wo wer was wenn weil dass aber danke hallo liebe lieber gruß grüße rückruf
+    le la les un une des nous vous ils elles il elle on je tu ce cette ces au aux du de dans en pour par sur avec sans et ou ne merci bonjour cordialement
+    el los las una unos unas nosotros ellos usted yo esto esta este según para con sin sobre desde hasta cuando y o no se su gracias hola saludos
+    mr mrs ms miss dr prof mme mlle madame monsieur frau herr herrn señor señora señorita sr sra srta dra sir inc ltd co corp gmbh llc""".split()
 )
+_PARTICLES = "van|von|der|den|de|del|della|di|da|dos|das|du|la|le|bin|ibn|al|el|ter|ten|zu|zur"
+
+
+def _ranges(test) -> str:
+    """The letters of the alphabets with case (Latin, Greek, Cyrillic) that pass the test, as ranges of a character class."""
+    codes = [c for c in (*range(0x41, 0x530), *range(0x1E00, 0x2000)) if test(chr(c))]
+    out, first = [], 0
+    for i in range(1, len(codes) + 1):
+        if i == len(codes) or codes[i] != codes[i - 1] + 1:
+            a, b = chr(codes[first]), chr(codes[i - 1])
+            out.append(a if a == b else f"{a}-{b}")
+            first = i
+    return "".join(out)
+
 
-_TOK = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’']+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ’']+)*"
+_U, _L = _ranges(str.isupper), _ranges(str.islower) + "\u0300-\u036f"
+_TOK = rf"(?:(?:Mc|Mac|O[’']|D[’'])(?=[{_U}]))?[{_U}][{_L}’']+(?:-[{_U}][{_L}’']+)*"
 _ANY = r"[^\W\d_][^\W\d_’']+(?:-[^\W\d_]+)*"
 
-_LEFT = r"(?<![\w@/.+-])"
+def _digits(s: str) -> list[int]:
+    return [int(c) for c in s if c.isdecimal()]
+
+
+def luhn(number: str) -> bool:
+    d = _digits(number)[::-1]
+    return bool(d) and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def mod97(iban: str) -> bool:
+    s = re.sub(r"\W", "", iban).upper()
+    return len(s) > 4 and s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def mod97_key(number: str) -> bool:
+    """The last two digits are 97 less the rest modulo 97."""
+    d = "".join(map(str, _digits(number)))
+    return len(d) > 2 and 97 - int(d[:-2]) % 97 == int(d[-2:])
+
+
+def mod23(dni: str) -> bool:
+    s = re.sub(r"\W", "", dni).upper()
+    number = {"X": "0", "Y": "1", "Z": "2"}.get(s[0], s[0]) + s[1:-1]
+    return number.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == s[-1]
+
+
+def mod11(number: str) -> bool:
+    """Two check digits of weighted sums modulo 11 (eleven digits, not all equal)."""
+    d = _digits(number)
+    check = lambda n: sum(x * w for x, w in zip(d, range(n + 1, 1, -1))) * 10 % 11 % 10
+    return len(d) == 11 and len(set(d)) > 1 and check(9) == d[9] and check(10) == d[10]
+
+
 _EMAIL = [
     re.compile(r"(?<![\w.+/-])[\w][\w.+-]*[ ]?@[ ]?(?:[a-z0-9-]+\.)+[a-z]{2,}(?![\w-])(?!:[\w/~])(?!/)", re.I),
     re.compile(r"(?<![\w.+/-])[\w][\w.+-]*\s?(?:\[at\]|\(at\)|\{at\}|<at>|\s@\s)\s?[a-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\.)\s?[a-z0-9-]+)*(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|<dot>)\s?|\.)[a-z]{2,}(?!\w)", re.I),
@@ -65,9 +114,16 @@ _NINO = re.compile(r"(?<![\w-])[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D](
 _DNI = re.compile(r"(?<![\w.-])(?:[XYZ]-?\d{7}|\d{8})-?[A-Z](?![\w-])", re.I)
 _CARD = re.compile(r"(?<![\w-])[A-Z]{1,2}[ ]?\d{6,8}(?![\w-])", re.I)
 _TAX = re.compile(r"(?<![\w.-])(?:\d{2}[ ./-]?\d{3}[ ./-]?\d{3}[ ./-]?\d{3}|\d{2}-\d{7}|\d{3}[ -]\d{3}[ -]\d{3}|\d{9,11})(?![\w-]|\.\d)")
+_PAYMENT = re.compile(r"(?<![\w.+-])(?:4\d{3}|5[1-5]\d\d|2[2-7]\d\d|6011|65\d\d|35\d\d)([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-]|\.\d)|(?<![\w.+-])3[47]\d\d([ -]?)\d{6}\2\d{5}(?![\w-]|\.\d)")
+#: Numbers in the notation of one register: without a word that names them the check digits decide. French insurance
+#: number, Brazilian register of persons, Canadian insurance number.
+_CHECKED = [
+    (mod97_key, re.compile(r"(?<![\w.-])[12][ ]?\d\d[ ]?(?:0[1-9]|1[0-2])[ ]?\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{2}(?![\w-]|\.\d)")),
+    (mod11, re.compile(r"(?<![\w.-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w-]|\.\d)")),
+]
 _ID_WORDS = re.compile(
     r"(?:passport|passeport|reisepass|pasaporte|passnummer|personalausweis|ausweis|identity card|id card|carte d.identité|documento|cédula|social[- ]security|ssn|s\.s\.n|\bni\b|nino|national insurance|"
-    r"national id|insurance n|tax|tin|itin|steuer|steuer-?id|nif|nie|dni|\bsin\b|iban|bank account|konto)(?:[ \t]*(?:card|number|nummer|id|no|nr|núm|num)\b\.?)*[ \t]*[:#=]?[ \t]*(?:is|was|ist|es)?[ \t]*$",
+    r"national id|insurance n|tax|tin|itin|steuer|steuer-?id|nif|nie|dni|cpf|nir|aadhaar|pesel|bsn|codice fiscale|\bsin\b|iban|bank account|konto)(?:[ \t]*(?:card|number|nummer|id|no|nr|núm|num)\b\.?)*[ \t]*[:#=]?[ \t]*(?:is|was|ist|es)?[ \t]*$",
     re.I,
 )
 _BAD_WORDS = re.compile(r"(?:error|ticket|build|run|run id|port|line|row|rows|page|version|commit|revision|issue|code|chunk|offset|items?|order|invoice|batch|job|hash|sha|pin|host|release|seed)(?:[ \t]*(?:id|no|number|#|no\.))?[ \t]*[:#=]?[ \t]*$", re.I)
@@ -79,7 +135,7 @@ _PHONES = [
     (0.8, re.compile(r"(?<![\w./-])\d{3}[-. ]\d{4}[ ,]*(?:ext|extension|x)\.?[ \n]?\d{1,5}(?!\w)", re.I)),
     (0.3, re.compile(r"(?<![\w./-])[2-9]\d{2}-\d{4}(?![\w-])")),
     (0.7, re.compile(r"(?<![\w./-])0\d{2,4}[ ]?/[ ]?\d{3,8}(?:[- ]\d{1,5})?(?![\w/-])")),
-    (0.6, re.compile(r"(?<![\w./-])0\d{4}[ ]\d{3}[ ]?\d{3}(?![\w-])|(?<![\w./-])0\d([ .])\d{2}\1\d{2}\1\d{2}\1\d{2}(?![\w-])|(?<![\w./-])0\d{3}[ ]\d{3}[ ]\d{4}(?![\w-])|(?<![\w./-])0[1-9]\d{8,9}(?![\w-])")),
+    (0.6, re.compile(r"(?<![\w./-])0(?:\d{4}[ ]\d{3}[ ]?\d{3}|\d([ .])\d{2}\1\d{2}\1\d{2}\1\d{2}|\d{3}[ ]\d{3}[ ]\d{4}|[1-9]\d{8,9})(?![\w-])")),
     (0.6, re.compile(r"(?<![\w./:-])1[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)")),
     (0.3, re.compile(r"(?<![\w./:-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)")),
 ]
@@ -93,38 +149,63 @@ _ADDRESSES = [
     re.compile(rf"(?<![\w.-])\d{{1,5}}[A-Za-z]?(?:[ ]?-[ ]?\d+)?[ ](?:(?:[NSEW]\.?|North|South|East|West)[ ])?(?:[A-ZÀ-Þ][\w’'-]+[ ]){{1,3}}(?:{_STRONG}|{_WEAK})(?![\w-]){_TAIL}"),
     re.compile(rf"(?<![\w.-])\d{{1,5}}[a-z]?[ ](?:[\w’'-]+[ ]){{1,3}}{_STRONG}(?![\w-])[ ]*,[ ]*(?:apt\.?[ ]*\d+[ ]*[,\n][ ]*)?[\w’'-]+(?:[ ][\w’'-]+)?[ ]\d{{4,5}}\b", re.I),
     re.compile(rf"(?<![\w.-])(?:[A-ZÄÖÜ][\wäöüß-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|steig|pfad)|(?:[A-ZÄÖÜ][\wäöüß-]+[ -])(?:Straße|Strasse|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer))[ ]\d{{1,4}}(?:[ ]?[a-z](?!\w))?{_TAIL}"),
-    re.compile(r"(?<![\w.-])[\wäöüß-]+(?:straße|strasse|str\.|weg|gasse|allee|platz)[ ]\d{1,4}[a-z]?[ ]*,[ ]*\d{5}[ ]\w+", re.I),
+    re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz)[ ]\d{1,4}[a-z]?[ ]*,[ ]*\d{5}[ ]\w+", re.I),  # begins where its word does
     re.compile(rf"(?<![\w.-])\d{{1,4}}(?:[ ]?(?:bis|ter))?,?[ ](?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|quai|route|cours|square)[ ](?:(?:de[ ]la|des|du|de|de[ ]l[’']|d[’']|la|le|les)[ ]?)?[^\W\d_][\w’'-]+(?:[ ][A-ZÀ-Þ][\w’'-]+){{0,3}}{_TAIL}", re.I),
     re.compile(rf"(?<![\w.-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carrera|Ronda)[ ]?(?:(?:de[ ]la|de[ ]los|de[ ]las|del|de)[ ])?[^\W\d_][\w’'-]+(?:[ ](?:de[ ]|del[ ]|la[ ])?[^\W\d_][\w’'-]+){{0,3}}?,?[ ](?:n\.?º[ ]?)?\d{{1,4}}(?:[ ]?(?:bis|[A-Za-z])(?!\w))?{_TAIL}", re.I),
+    re.compile(rf"(?<![\w.-])(?:Via|Viale|Piazza|Corso|Vicolo|Rua|Avenida|Largo|ul\.|ulica|aleja)[ ](?:(?:dei|delle|della|del|di|da|do|dos)[ ])?(?-i:{_TOK})(?:[ ](?-i:{_TOK})){{0,2}},?[ ]\d{{1,4}}[a-z]?(?!\w){_TAIL}", re.I),
+    re.compile(rf"(?<![\w.-])(?-i:[{_U}])[{_L}]+(?:straat|laan|plein|gracht|kade|gatan|vägen|gade|vej|katu)[ ]\d{{1,4}}[a-z]?(?!\w){_TAIL}", re.I),
     re.compile(rf"(?<!\w)(?:P\.?[ ]?O\.?[ ]?Box|Post[ ]Office[ ]Box|Postfach|Apartado(?:[ ]de[ ]correos)?|Bo[iî]te[ ]postale|Casilla|Postbus|(?-i:B\.?P\.))[ ]?(?:n[.º°]*[ ]?)?\d{{1,6}}(?:[ ]\d{{2,3}})*{_TAIL}", re.I),
 ]
 
-_BEFORE = re.compile(
-    r"(?:\b(?:signed-off-by|co-authored-by|reviewed-by|reported-by|acked-by|tested-by|suggested-by|helped-by|author|assignee|contact|name|attn|from|to|attachment|row reads|reads):[ \t]*|"
-    r"\b(?:reported by|found by|written by|according to|thanks to|thank you|spoke to|spoke with|talked to|talk to|met|ask|asked|ring|call|phone|cc|dear|hello|hi|cheers|regards|best|yours|sincerely),?[ \t]*\n?[ \t]*|"
-    r"\b(?:frau|herrn?|mme|mlle|madame|monsieur|señora|señor|señorita|sra?\.|dra\.|mrs?\.?|ms\.?|miss|prof\.|dr\.|(?-i:M\.))[ \t]+(?:(?:dr|prof)\.[ \t]+)?|(?:\A|\n)--[ \t]*\n)$",
-    re.I,
-)
-#: Before two capitalised words these show a person whatever the given name.
-_STRONG_BEFORE = re.compile(
-    r"(?:\b(?:signed-off-by|co-authored-by|reviewed-by|reported-by|acked-by|tested-by|suggested-by|helped-by):[ \t]*|\b(?:reported by|thanks to)[ \t]+|"
-    r"\b(?:frau|herrn?|mme|mlle|madame|monsieur|señora|señor|señorita|sra?\.|dra\.|mrs\.?|mr\.?|ms\.|miss|prof\.|dr\.)[ \t]+(?:(?:dr|prof)\.[ \t]+)?)$",
-    re.I,
-)
+# Behind trailers and titles stands a person, whatever the words.
+_TRAILERS = tuple(f"{x}-by:" for x in "signed-off co-authored reviewed reported acked tested suggested helped approved".split())
+_TITLES = "frau herr herrn mme mlle madame monsieur m. señora señor señorita sr. sra. sra srta. dra. don doña mrs mrs. mr mr. ms ms. miss prof. professor dr. mx mx.".split()
+#: Words that people stand behind: reports, greetings, farewells, acts of speaking, in several languages.
+_LIKELY = (
+    "reported by|found by|written by|fixed by|made by|discovered by|reviewed by|noticed by|suggested by|sent by|filed by|according to|thanks|thanks to|thank you|thx|kudos|kudos to|credit to|"
+    "credit goes to|hat tip to|props to|spoke to|spoke with|spoken to|speak to|speak with|talked to|talked with|talk to|talk with|wrote to|write to|listened to|reach out to|reached out to|met|met with|"
+    "ask|asked|ring|call|phone|ping|email|mail|cc|attn|dear|hello|hi|hey|contact|colleague|regards|kind regards|best regards|cheers|best|yours|sincerely|"
+    "gemeldet von|gefunden von|geschrieben von|danke|danke an|laut|hallo|grüße|grüßen|gruß|signalé par|trouvé par|écrit par|merci à|selon|bonjour|cordialement|"
+    "reportado por|encontrado por|escrito por|gracias a|según|hola|saludos|segnalato da|grazie a|ciao|сообщил|сообщила|спасибо|привет|с уважением|\n--\n|\n-- \n"
+).split("|")
+_GAP = re.compile(r"[,:]?[ \t]*\n?[ \t]*")
+
+
+@lru_cache(maxsize=1)
+def _automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in _LIKELY:
+        a.add_word(w, (0.35, len(w)))
+    for w in (*_TITLES, *_TRAILERS):
+        a.add_word(w, (0.7, len(w)))
+    a.make_automaton()
+    return a
+
+
+#: A label or a delimiter of a record.
+_LABEL = re.compile(r"(?:\w:|[;|,])[ \t]+$|\t$")
+#: What persons do, or how they can be reached: a personal pronoun, an affiliation, a verb, contact data that was found.
 _AFTER = re.compile(
-    r"[ \t]*(?:can be reached|from accounting|from \w+ sees|confirme|hat das|lo vio|, who |about this|for the trace|during the|on (?:\+|\(|\d)|<[^<>\s]+>|<?\x00|;|\n[ \t]*(?:\x00|\+?[\d(]|--)|wrote to me|called|phoned|sees the)",
+    r"[ \t]*(?:,[ ]who\b|,?[ ]from[ ](?:the[ ])?\w|,?[ ]of[ ]the[ ]\w+[ ](?:team|group|crew|department)\b|(?:can|could|may|will)[ ]be[ ](?:reached|contacted)\b|"
+    r"(?:has[ ]|have[ ]|also[ ]|first[ ])?(?:said|says|wrote|writes|told|tells|asked|asks|called|phoned|reports|reported|confirms|confirmed|mentioned|noticed|suggested|suggests|sees|saw|thinks|replied|agrees|agreed)\b|"
+    r"(?:sagt|sagte|schrieb|schreibt|meldet|meldete|bestätigt|fragt|fragte|hat)\b|(?:dit|écrit|confirme|signale|demande|a)\b|(?:dice|dijo|escribió|confirma|informó|pregunta)\b)",
     re.I,
 )
-_NAMES = [
-    re.compile(rf"(?<![\w@.-])(?P<given>{_TOK})(?:[ ][A-ZÀ-Þ]\.)?[ \n](?P<sur>{_TOK})(?![\w@-]|\.\w)"),
-    re.compile(rf"(?<![\w@.-])(?P<sur>{_TOK}),[ ](?P<given>{_TOK})(?:[ ][A-ZÀ-Þ]\.)?(?![\w@-]|\.\w)"),
-    re.compile(rf"(?<![\w@.-])(?P<initial>[A-ZÀ-Þ]\.(?:[ ]?[A-ZÀ-Þ]\.)?)[ ](?P<sur>{_TOK})(?![\w@-]|\.\w)"),
-]
-_LOOSE = [
-    re.compile(rf"(?<![\w@.-])(?P<given>{_ANY})(?:[ ][^\W\d_]\.)?[ ](?P<sur>{_ANY})(?![\w@-]|\.\w)"),
-    re.compile(rf"(?<![\w@.-])(?P<sur>{_ANY}),[ ](?P<given>{_ANY})(?:[ ][^\W\d_]\.)?(?![\w@-]|\.\w)"),
-    re.compile(rf"(?<![\w@.-])(?P<initial>[^\W\d_]\.)[ ](?P<sur>{_ANY})(?![\w@-]|\.\w)"),
-]
+#: Contact data: what was found before, or what looks like it.
+_DATA = re.compile(r"[ \t]*(?:(?:,|on|at|under|unter|au|al|:|-|–|\(|<)?[ \t]*[<(]?\x00|(?:on|at)[ ](?:\+|\(|\d{3})|<[^<>\s]+@|\n[ \t]*(?:\x00|--))", re.I)
+_FIELD = re.compile(r"[ \t]*[;|\t]")
+#: Two to four words, the first two perhaps on two lines; family name first; initials first; a family name behind a title.
+_RUN = re.compile(rf"(?<![\w@.-]){_TOK}(?:[ \n](?:(?:{_PARTICLES})[ ]){{0,2}}(?:[{_U}]\.[ ]?){{0,2}}{_TOK})+(?![\w@-]|\.\w)")
+_TURNED = re.compile(rf"(?<![\w@.-])(?P<sur>{_TOK}),[ ](?P<given>{_TOK})(?:[ ][{_U}]\.)?(?![\w@-]|\.\w)")
+_INITIAL = re.compile(rf"(?<![\w@.-])(?:[{_U}]\.[ ]?){{1,3}}(?<=[ ])(?P<sur>{_TOK})(?![\w@-]|\.\w)")
+_SURNAME = re.compile(rf"{_TOK}(?![\w@-]|\.\w)")
+#: The same in small letters, which only words around can show.
+_SMALL = re.compile(rf"(?P<given>{_ANY})(?:[ ][^\W\d_]\.)?[ ](?P<sur>{_ANY})(?![\w@-]|\.\w)|(?P<sur2>{_ANY}),[ ](?P<given2>{_ANY})(?:[ ][^\W\d_]\.)?(?![\w@-]|\.\w)|[^\W\d_]\.[ ](?P<sur3>{_ANY})(?![\w@-]|\.\w)")
+#: Names in Chinese characters or kana before a form of address, but for words of roles and pronouns.
+_EASTERN = re.compile(r"(?<![一-鿿])(?![一-鿿]{0,3}[者員员人官長长師师客皆誰谁])(?P<sur>[一-鿿]{1,3}|[ァ-ヺー]{2,8})(?=さん|様|先生|女士|小姐|氏(?![一-鿿]))")
+_BEHIND_SMALL = (", who ", " from ", " can be ", " could be ", " hat ", " confirme ", " confirma ", " wrote ", " said ", " reported ", " called ", "\x00", ";")
 
 
 def folded(s: str) -> str:
@@ -132,24 +213,27 @@ def folded(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def luhn(digits: str) -> bool:
-    d = [int(c) for c in digits if c.isdigit()][::-1]
-    return bool(d) and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+# What a text must have for a finder to be worth running.
+_DIGITS = {n: re.compile(r"\d(?:[ ./()\n-]{0,3}\d){%d,}" % (n - 1)) for n in (6, 7, 13)}
 
 
-def mod97(iban: str) -> bool:
-    s = re.sub(r"\W", "", iban).upper()
-    return len(s) > 4 and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _areas(text: str, least: int, margin: int) -> list[tuple[int, int]]:
+    """Where so many digits stand close together, with a margin; the rest of the text need not be searched for numbers."""
+    out: list[tuple[int, int]] = []
+    for m in _DIGITS[least].finditer(text):
+        a, b = max(0, m.start() - margin), min(len(text), m.end() + margin)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
-def mod23(dni: str) -> bool:
-    s = re.sub(r"\W", "", dni).upper()
-    number = {"X": "0", "Y": "1", "Z": "2"}.get(s[0], s[0]) + s[1:-1]
-    return number.isdigit() and "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23] == s[-1]
+def _near(text: str, pattern: re.Pattern, areas: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for a, b in areas:
+        yield from pattern.finditer(text, a, b)
 
 
-# What a text must have for a finder to be worth running.
-_DIGITS = {n: re.compile(r"\d(?:[ ./()\n-]{0,3}\d){%d}" % (n - 1)) for n in (6, 7)}
 _ADDRESS_WORDS = [
     None,
     ("street", "road", "rd", "ave", "drive", "lane", "ln", "boulevard", "blvd", "st.", "crescent", "parkway", "pkwy", "highway", "hwy"),
@@ -157,14 +241,21 @@ _ADDRESS_WORDS = [
     ("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz"),
     ("rue", "avenue", "boulevard", "bd", "place", "chemin", "impasse", "allée", "quai", "route", "cours", "square"),
     ("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carrera", "ronda"),
+    ("via ", "viale", "piazza", "corso", "vicolo", "rua ", "avenida", "largo", "ul.", "ulica", "aleja"),
+    ("straat", "laan", "plein", "gracht", "kade", "gatan", "vägen", "gade", "vej", "katu"),
     ("box", "postfach", "apartado", "postale", "casilla", "postbus", "b.p", "bp"),
 ]
 
 
+#: Strings one of which a text must have for each of the patterns of addresses.
+_EMAIL_SIGNS = (("@",), ("[at]", "(at)", "{at}", "<at>", " @ "), (" dot ",))
+
+
 def _emails(text: str):
-    if "@" not in text and not re.search(r"\b(?:at|dot)\b", text, re.I):
-        return
-    for p in _EMAIL:
+    low = text.lower()
+    for signs, p in zip(_EMAIL_SIGNS, _EMAIL):
+        if not any(x in low for x in signs):
+            continue
         for m in p.finditer(text):
             s = m.group(0)
             host = re.split(r"@|\bat\b", s)[-1]
@@ -175,38 +266,46 @@ def _emails(text: str):
             yield m.start(), m.end(), score
 
 
+def _cards(text: str):
+    """Payment cards: digits in the usual groups whose first ones are of an issuer; Luhn decides, whatever stands nearby."""
+    for m in _near(text, _PAYMENT, _areas(text, 13, 4)):
+        yield m.start(), m.end(), 0.9 if luhn(m.group(0)) and len(set(_digits(m.group(0)))) > 1 else 0.0
+
+
 def _ids(text: str):
     def around(m: re.Match) -> tuple[bool, bool]:
         before = text[max(0, m.start() - 40) : m.start()]
         return bool(_ID_WORDS.search(before)), bool(_BAD_WORDS.search(before))
 
-    if not _DIGITS[6].search(text):
-        return
-    for m in _IBAN.finditer(text):
+    areas = _areas(text, 6, 40)
+    for m in _near(text, _IBAN, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.95 if good or mod97(m.group(0)) else 0.2
-    for m in _SSN.finditer(text):
+    for m in _near(text, _SSN, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.95 if good else 0.2 if bad else 0.7
-    for m in _NINO.finditer(text):
+    for m in _near(text, _NINO, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.95 if good else 0.2 if bad else 0.7 if m.group(0)[:2].isupper() else 0.3
-    for m in _DNI.finditer(text):
+    for m in _near(text, _DNI, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.95 if good else 0.2 if bad else 0.7 if mod23(m.group(0)) else 0.5 if "-" in m.group(0) else 0.3
-    for m in _CARD.finditer(text):
+    for m in _near(text, _CARD, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.9 if good else 0.2
-    for m in _TAX.finditer(text):
+    for m in _near(text, _TAX, areas):
         good, bad = around(m)
         yield m.start(), m.end(), 0.9 if good else 0.2
+    for valid, p in _CHECKED:
+        for m in _near(text, p, areas):
+            good, bad = around(m)
+            yield m.start(), m.end(), 0.95 if good else 0.7 if valid(m.group(0)) and not bad else 0.2
 
 
 def _phones(text: str):
-    if not _DIGITS[7].search(text):
-        return
+    areas = _areas(text, 7, 24)
     for base, p in _PHONES:
-        for m in p.finditer(text):
+        for m in _near(text, p, areas):
             before = text[max(0, m.start() - 24) : m.start()]
             digits = sum(c.isdigit() for c in m.group(0))
             score = base
@@ -221,52 +320,187 @@ def _phones(text: str):
             yield m.start(), m.end(), score
 
 
+@lru_cache(maxsize=1)
+def _address_words():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in {w for words in _ADDRESS_WORDS for w in words or ()}:
+        a.add_word(w, {i for i, words in enumerate(_ADDRESS_WORDS) if w in (words or ())})
+    a.make_automaton()
+    return a
+
+
 def _addresses(text: str):
-    low = text.lower()
-    for p, words in zip(_ADDRESSES, _ADDRESS_WORDS):
-        if words and not any(w in low for w in words):
-            continue
+    worth = {0}
+    for _, which in _address_words().iter(text.lower()):
+        worth |= which
+    for p in (_ADDRESSES[i] for i in sorted(worth)):
         for m in p.finditer(text):
-            yield m.start(), m.end(), 0.8
+            s = m.start()
+            while p is _ADDRESSES[3] and s and (text[s - 1].isalnum() or text[s - 1] in "_-"):
+                s -= 1
+            yield s, m.end(), 0.8
+
+
+@lru_cache(maxsize=None)
+def ordinary_words(tokenizers: str) -> frozenset[str]:
+    """Words in small letters that the vocabularies hold whole, with a blank before."""
+    out: set[str] = set()
+    for name in VOCABULARIES:
+        with open(os.path.join(tokenizers, name), "rb") as f:
+            for line in f:
+                t = base64.b64decode(line.split(b" ", 1)[0])
+                if t[:1] == b" " and len(t) > 3:
+                    w = t[1:].decode(errors="replace")
+                    if w.isalpha() and w.islower():
+                        out.add(w)
+    return frozenset(out)
+
+
+_ENDINGS = ("s", "es", "ed", "ing", "er", "ers", "en")
+_SMALL_WORDS = re.compile(rf"(?<![\w@.-])[{_L}]{{3,}}(?![\w@-])")
+
+
+def _ordinary(word: str, known: frozenset[str], small: set[str]) -> bool:
+    """Whether the word, or each part of one with hyphens, is an ordinary one; small holds the text's own words."""
+    if "-" in word:
+        return all(_ordinary(x, known, small) for x in word.split("-") if x)
+    w = word.lower()
+    if w in _NOT_NAMES or w in known or any(len(w) > 3 + len(x) and w.endswith(x) and w[: -len(x)] in known for x in _ENDINGS):
+        return True
+    return w != word and w in small
+
+
+class _Around:
+    """How much what stands around a place of the text speaks for a person there."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        low = text.lower()
+        low = low if len(low) == len(text) else text
+        #: Where a person may begin, behind cues, and how much that says.
+        self.places: dict[int, float] = {4: 0.35} if low.startswith("-- \n") else {}
+        for end, (much, size) in _automaton().iter(low):
+            start, at = end - size + 1, end + 1
+            if low[start].isalpha() and start and (low[start - 1].isalnum() or low[start - 1] in "_@./-" and much < 0.7) or low[end].isalpha() and at < len(low) and (low[at].isalnum() or low[at] in "_-"):
+                continue
+            if much == 0.7 and low[end] != ":":
+                if text[at : at + 1] not in (" ", "\xa0") or low[start : at] == "m." and text[start] != "M":
+                    continue
+                at += 1
+            elif low[end] != "\n":
+                at = _GAP.match(text, at).end()
+            self.places[at] = max(much, self.places.get(at, 0.0))
+        self._small: set[str] | None = None
+
+    @property
+    def small(self) -> set[str]:
+        if self._small is None:
+            self._small = set(_SMALL_WORDS.findall(self.text))
+        return self._small
+
+    def score(self, s: int, e: int) -> tuple[float, float]:
+        """Words before, words behind."""
+        behind = 0.35 if _DATA.match(self.text, e) else 0.25 if _AFTER.match(self.text, e) else 0.0
+        before = self.places.get(s, 0.0)
+        if not before and _LABEL.search(self.text[max(0, s - 8) : s]):
+            return 0.2, behind or 0.2 * bool(_FIELD.match(self.text, e))
+        return before, behind
+
+
+def _judged(parts: list[str], around: _Around, before: float, behind: float, known: frozenset[str], small: bool = False) -> float:
+    given = any(folded(p) in GIVEN or folded(p.split("-")[0]) in GIVEN for p in parts)
+    if not given and not before and not behind:
+        return 0.35  # at most
+    odd = not any(_ordinary(p, known, set() if small else around.small) for p in parts if len(p) > 2)
+    return round(0.1 + (0.5 if given else 0.25 if odd else -0.2) + before + behind - 0.15 * small, 2)
+
+
+def _people(text: str, known: frozenset[str]):
+    around = _Around(text)
+    taken: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        words = [(w.start() + m.start(), w.end() + m.start()) for w in re.finditer(r"\S+", m.group(0))]
+        # words of the sentence around, titles and greetings are cut off at both ends
+        cue = next((i for i in range(len(words) - 2, 0, -1) if words[i][0] in around.places), 0)
+        words = words[cue:]
+        while words and text[words[0][0] : words[0][1]].lower().rstrip(".") in _NOT_NAMES:
+            words.pop(0)
+        stop = next((i for i, (a, b) in enumerate(words) if text[a:b].lower() in _NOT_NAMES and text[a:b][:1].isupper() and (i < 2 or b - a > 2)), len(words))
+        words = words[:stop]
+        for i in range(1, len(words)):  # a line ends within a name only between its first words, and not if the line began with it
+            if "\n" in text[words[i - 1][1] : words[i][0]] and (i > 1 or words[0][0] == 0 or text[words[0][0] - 1] == "\n"):
+                words = words[:i]
+                break
+        parts = [text[a:b] for a, b in words if b - a > 2 or text[b - 1] != "."]
+        if not 2 <= len(parts) <= 5:
+            continue
+        s, e = words[0][0], words[-1][1]
+        before, behind = around.score(s, e)
+        score = _judged([p for p in parts if p[:1].isupper()], around, before, behind, known)
+        if score >= THRESHOLD:
+            taken.append((s, e))
+        yield s, e, score
+    for pattern in (_TURNED, _INITIAL):
+        for m in pattern.finditer(text):
+            parts = [x for x in m.groupdict().values()]
+            if any(p.lower() in _NOT_NAMES for p in parts):
+                continue
+            before, behind = around.score(m.start(), m.end())
+            if pattern is _INITIAL:  # one word less to judge by
+                yield m.start(), m.end(), _judged(parts, around, before, behind, known) - (0.25 if before + behind == 0 else 0)
+            elif before >= 0.35 or behind:
+                yield m.start(), m.end(), _judged(parts, around, before, behind, known)
+            else:
+                yield m.start(), m.end(), _judged(parts, around, before, 0.0, known) - 0.1
+    if any(x in text for x in ("さん", "様", "先生", "女士", "小姐", "氏")):
+        for m in _EASTERN.finditer(text):
+            yield m.start(), m.end(), 0.7
+    for at, much in around.places.items():
+        if much == 0.7 and text[at : at + 1].isupper() and text[at - 2] != ":" and (m := _SURNAME.match(text, at)) and m.group(0).lower() not in _NOT_NAMES:
+            yield at, m.end(), 0.6
+    # in small letters: behind a cue, or before one
+    for at in sorted({*around.places, *_before(text, known)}):
+        m = _FIRST.match(text, at)
+        if m is None or (w := m.group(0).lower()) in _NOT_NAMES or w in known and w not in GIVEN or any(a <= at < b for a, b in taken):
+            continue
+        m = _SMALL.match(text, at)
+        if m is None:
+            continue
+        parts = [x for x in m.groupdict().values() if x]
+        if any(p.lower() in _NOT_NAMES or len(p) < 3 for p in parts) or all(p[:1].isupper() for p in parts) and "," not in m.group(0):
+            continue
+        before, behind = around.score(at, m.end())
+        if at == 0 or text[at - 1] == "\n" or text[max(0, at - 2) : at] == ". ":  # the subject of a sentence
+            before = max(before, 0.1)
+        yield at, m.end(), _judged(parts, around, before, behind, known, True)
 
 
-_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_FIRST = re.compile(_ANY + r"|[^\W\d_](?=\.)")
 
 
-def _people(text: str):
-    any_given = any(folded(w) in GIVEN if not w.isascii() else w.lower() in GIVEN for w in set(_LETTERS.findall(text)))
-    initials = re.search(r"(?<![\w@.-])[^\W\d_]\.[ ][^\W\d_]", text) is not None
-    for strict, patterns in ((True, _NAMES), (False, _LOOSE)):
-        for p in patterns:
-            if not strict and not any_given and "initial" not in p.groupindex or "initial" in p.groupindex and not initials:
-                continue
-            at = 0
-            while m := p.search(text, at):
-                at = m.start() + 1
-                parts = m.groupdict()
-                given, sur = parts.get("given"), parts["sur"]
-                if sur.lower() in _NOT_NAMES or given and given.lower() in _NOT_NAMES:
-                    continue
-                known = bool(given) and any(x in GIVEN for x in (folded(given), folded(given).split("-")[0]))
-                if not strict and not known and not parts.get("initial"):
-                    continue
-                before = bool(_BEFORE.search(text[max(0, m.start() - 30) : m.start()]))
-                after = bool(_AFTER.match(text, m.end()))
-                score = 0.5 * known + 0.3 * before + 0.25 * after + (0.1 if strict else -0.2)
-                if parts.get("initial") and (before or after):
-                    score += 0.2
-                if strict and not known and before and (after or given and "," not in m.group(0) and _STRONG_BEFORE.search(text[max(0, m.start() - 30) : m.start()])):
-                    score += 0.1
-                yield m.start(), m.end(), score
-                if score >= THRESHOLD:
-                    at = m.end()
+def _before(text: str, known: frozenset[str]) -> Iterator[int]:
+    """Where the two words before contact data, a personal pronoun or a verb begin, unless the second is ordinary."""
+    for sign in _BEHIND_SMALL:
+        at = text.find(sign)
+        while at > 0:
+            end = len(text[:at].rstrip(" \n<(")) if sign == "\x00" else at
+            a = max(0, end - 40)
+            words = text[a:end].rsplit(" ", 3)
+            w = words[-1].lower()
+            if len(words) > 1 and w[:1].isalpha() and w not in known and w not in _NOT_NAMES or len(words) > 1 and words[-2][-1:] == ",":
+                n = 3 if len(words) > 2 and len(words[-2]) == 2 and words[-2][1] == "." and words[-3][-1:].isalpha() else 2
+                start = end - len(" ".join(words[-n:]))
+                yield start + max(text[start:end].rfind(c) for c in "\n\t>") + 1
+            at = text.find(sign, at + 1)
 
 
-_FINDERS = {"email": _emails, "id_number": _ids, "phone": _phones, "address": _addresses, "name": _people}
-_HINT = re.compile(r"\d{3}|\d\d[ .]\d\d|@|\bat\b|[A-ZÀ-Þ][a-z]", re.I)
+_FINDERS = {"email": _emails, "card_number": _cards, "id_number": _ids, "phone": _phones, "address": _addresses}
+_HINT = re.compile(r"\d{3}|\d\d[ .]\d\d|@|\bat\b|[^\W\d_][^\W\d_]|[^\W\d_]\.", re.I)
 
 
-def find_pii(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int, str, float]]:
+def find_pii(text: str | None, threshold: float = THRESHOLD, tokenizers: str = TOKENIZERS) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, kind, score) in code points, in order, without overlap."""
     if not text or not _HINT.search(text):
         return []
@@ -274,7 +508,8 @@ def find_pii(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int,
     work = text.replace("\r\n", " \n").replace("\xa0", " ")  # as long as the text
     for kind in KINDS:
         best: list[tuple[int, int, float]] = []
-        for s, e, score in sorted((x for x in _FINDERS[kind](work) if x[2] >= threshold), key=lambda x: (x[0], -x[1])):
+        proposed = _people(work, ordinary_words(tokenizers)) if kind == "name" else _FINDERS[kind](work)
+        for s, e, score in sorted((x for x in proposed if x[2] >= threshold), key=lambda x: (x[0], -x[1])):
             if best and s < best[-1][1]:
                 if e - s > best[-1][1] - best[-1][0] and s == best[-1][0]:
                     best[-1] = (s, e, score)
@@ -299,21 +534,21 @@ def redact(text: str | None, spans: list[tuple[int, int, str, float]]) -> str |
     return "".join([*out, text[at:]])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], threshold: float, with_text: bool) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], threshold: float, with_text: bool, tokenizers: str) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("score", pa.float64())]))
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        found = [find_pii(t, threshold) for t in texts]
+        found = [find_pii(t, threshold, tokenizers) for t in texts]
         made = [pa.array([[dict(zip(("start", "end", "pii_type", "score"), x)) for x in f] for f in found], span)]
         if with_text:
             made.append(pa.array([redact(t, f) for t, f in zip(texts, found)], pa.string()))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], [*b.schema.names[:-1], "spans", "redacted"][: b.num_columns - 1 + len(made)])
 
 
-def redact_pii(bodies: DataFrame, text_col: str = "body", threshold: float = THRESHOLD, with_text: bool = True) -> DataFrame:
+def redact_pii(bodies: DataFrame, text_col: str = "body", threshold: float = THRESHOLD, with_text: bool = True, tokenizers: str = TOKENIZERS) -> DataFrame:
     """bodies without text_col, with spans array<struct<start int, end int, pii_type string, score double>> (0-based
-    code points, end exclusive, empty if none) and redacted: the text with [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or
-    [NAME] in place of each span and everything else untouched.
+    code points, end exclusive, empty if none) and redacted: the text with [EMAIL], [CARD_NUMBER], [ID_NUMBER], [PHONE],
+    [ADDRESS] or [NAME] in place of each span and everything else untouched.
 
     A null text has no spans and a null redacted; an empty one stays empty. Rows come out one for one, without a
     shuffle; columns of those names in the input are replaced.
@@ -322,4 +557,4 @@ def redact_pii(bodies: DataFrame, text_col: str = "body", threshold: float = THR
     df = bodies.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
     kept += ", spans array<struct<start int, end int, pii_type string, score double>>" + (", redacted string" if with_text else "")
-    return df.mapInArrow(lambda it: _batches(it, threshold, with_text), kept.removeprefix(", "))
+    return df.mapInArrow(lambda it: _batches(it, threshold, with_text, tokenizers), kept.removeprefix(", "))
