@@ -2,8 +2,8 @@
 
 HTML is read as the events of the standard library's streaming parser; names that are no HTML elements (generic types,
 addresses in angle brackets) stay text. The content regions of every body with tags are selected by the text-to-tag ratio
-of the lines, smoothed with a Gaussian and cut at a threshold; of the lines below it, those of links go. Structure comes out in one plain notation: headings as
-"# " lines, list items as "- " or "1. " lines, code indented by four blanks, table rows as cells joined by " | ",
+of the lines, smoothed with a Gaussian and cut at a threshold; of the lines below it, those of links go. No other text
+outside tags is lost: what is opened and never closed stays. Structure comes out in one plain notation: headings as "# " lines, list items as "- " or "1. " lines, code indented by four blanks, table rows as cells joined by " | ",
 formulas between dollar signs.
 """
 
@@ -94,6 +94,7 @@ class _Events(HTMLParser):
 
     _BLOCKS = frozenset("p div section article header footer ul ol dl table tr blockquote details summary figure form center address main aside nav dd dt caption hr".split())
     _SILENT = frozenset(("script", "style", "template"))
+    _BARE = frozenset("open checked disabled hidden selected required readonly multiple controls autoplay loop muted reversed nowrap noshade compact async defer itemscope ismap allowfullscreen".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -118,11 +119,11 @@ class _Events(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         raw = self.get_starttag_text() or f"<{tag}>"
-        if not self._known(tag, raw):
+        if not self._known(tag, raw) or any(v is None and a not in self._BARE and a.isalnum() for a, v in attrs) and not any(v for _, v in attrs):  # words between two comparisons
             return self._put(raw)
         self.seen = True
         if tag in self._SILENT:
-            self.silent += 1
+            self.silent = 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self._put("\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -159,7 +160,7 @@ class _Events(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.seen = self.seen or tag in HTML_NAMES
         if tag in self._SILENT:
-            self.silent = max(0, self.silent - 1)
+            self.silent = 0
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self._put("\x02\n")
@@ -183,15 +184,33 @@ class _Events(HTMLParser):
         self._put(data.removeprefix("CDATA["))
 
 
+_OPENED = re.compile(r"<(?:(!--)|(script|style|template)\b|(!doctype\b[^<>]*>|!\[CDATA\[)|[!?]|/(?![A-Za-z]))", _I)
+
+
+def _shielded(text: str) -> str:
+    """The text with the signs escaped behind which the parser would drop text: comments and silent elements that are
+    never closed, processing instructions, declarations of other kinds. One pass: what opens before the last of its ends
+    is closed."""
+    low = text.lower()
+    last = {"!--": low.rfind("-->"), "![cdata[": low.rfind("]]>"), **{x: low.rfind("</" + x) for x in _Events._SILENT}}
+
+    def one(m: re.Match) -> str:
+        kind = (m.group(1) or m.group(2) or m.group(3) or "").lower()
+        closed = kind.startswith("!doctype") or kind in last and m.start() < last[kind]
+        return m.group(0) if closed else "&lt;" + m.group(0)[1:]
+
+    return _OPENED.sub(one, text)
+
+
 def _html(text: str) -> tuple[str, bool]:
     """The text of the parser's events, and whether they held anything of HTML: an element, a comment, a declaration or
     a character reference, which the parser resolves by html.unescape."""
     if "<" not in text and "&" not in text and "-->" not in text:
         return text, False
     p = _Events()
-    p.feed(text)
+    p.feed(_shielded(text) if "<" in text else text)
     p.close()
-    return "".join(p.out), p.seen or "&" in text and html.unescape(text) != text
+    return "".join(p.out), p.seen or "<!--" in text or "&" in text and html.unescape(text) != text
 
 
 #: What makes a line part of the structure, and what stands in it without being text of its own.
@@ -255,7 +274,7 @@ _STEPS = [
     ("link", re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), r"\1"),
     ("wiki", re.compile(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n|]+)\]\]"), r"\1"),
     ("wiki", re.compile(r"\[https?://\S+[ \t]+([^\]\n]+)\]"), r"\1"),
-    ("wiki", re.compile(r"\{\{[^{}\n|]+\|?([^{}\n]*)\}\}"), lambda m: m.group(1).replace("|", ", ")),
+    ("wiki", re.compile(r"\{\{([^{}\n|]+)(?:\|([^{}\n]*))?\}\}"), lambda m: m.group(1).strip() if m.group(2) is None else m.group(2).replace("|", ", ")),
     ("wiki", re.compile(r"(?<![\w'])'{2,5}([^'\n]+)'{2,5}(?![\w'])"), r"\1"),
     ("emphasis", re.compile(r"(?<!\w)\*\*\*?([^\s*][^*\n]*?)\*\*\*?"), r"\1"),
     ("emphasis", re.compile(r"(?<![\w/])__([^\W_][^\n]*?)__(?!\w)"), r"\1"),
@@ -271,6 +290,12 @@ _STEPS = [
     ("rule", re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$\n?", _M), ""),
 ]
 
+#: Of each step, strings of which a text has one if the step can act.
+_STEP_NEEDS = [
+    ("#",), ("\n===", "\n---"), ("==",), ("\\",), ("|",), ("!!", "||"), ("|",), ("|",), ("\\",), ("\\",), ("\\",), ("\\",), ("\\",), ("\\",), ("![",), ("](",), ("[^",), ("]:",), ("[^",), ("][",),
+    ("[[",), ("[http",), ("{{",), ("''",), ("**",), ("__",), ("*",), ("_",), ("~~",), ("**",), ("*", "+", "•"), ("- ", "-\t"), (")",), ("-", "."), (">",), ("---", "***", "___", "- -", "* *", "_ _"),
+]
+
 
 def cleaned(text: str | None) -> tuple[str | None, list[str]]:
     """The text without markup and the kinds of markup it held, from one pass: the events of the parser show HTML, each
@@ -289,17 +314,21 @@ def cleaned(text: str | None) -> tuple[str | None, list[str]]:
         return f"\x00{len(kept) - 1}\x00"
 
     indented = lambda s: "\n".join("    " + x if x else x for x in s.strip("\n").split("\n"))
-    made = _FENCE.sub(lambda m: keep(indented(m.group(3)), "code") + "\n", made)
-    made = _INLINE.sub(lambda m: keep(m.group(2).strip(), "code"), made)
-    made = _MATH.sub(lambda m: keep("$" + re.sub(r"^(?:\$\$?|\\\[|\\\()\s*|\s*(?:\$\$?|\\\]|\\\))$", "", m.group(0)) + "$", "formula", "latex"), made)
+    if "```" in made or "~~~" in made:
+        made = _FENCE.sub(lambda m: keep(indented(m.group(3)), "code") + "\n", made)
+    if "`" in made:
+        made = _INLINE.sub(lambda m: keep(m.group(2).strip(), "code"), made)
+    made = made if "$" not in made and "\\" not in made else _MATH.sub(lambda m: keep("$" + re.sub(r"^(?:\$\$?|\\\[|\\\()\s*|\s*(?:\$\$?|\\\]|\\\))$", "", m.group(0)) + "$", "formula", "latex"), made)
     lines = made.split("\n")
     if "<" in made:
         made = "\n".join(x if on else _tags_only(x) for x, on in zip(lines, content_lines(lines)))
     made, seen = _html(made)
     if seen:
         kinds.add("html")
-    made = re.sub("\x01(.*?)(?:\x02|$)", lambda m: keep(indented(m.group(1))), made, flags=re.DOTALL)
-    for kind, pattern, to in _STEPS:
+    made = made if "\x01" not in made else re.sub("\x01(.*?)(?:\x02|$)", lambda m: keep(indented(m.group(1))), made, flags=re.DOTALL)
+    for (kind, pattern, to), needs in zip(_STEPS, _STEP_NEEDS):
+        if not any(x in made for x in needs):
+            continue
         made, n = pattern.subn(to, made)
         if n:
             kinds.update(kind.split("|"))

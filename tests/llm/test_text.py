@@ -287,3 +287,24 @@ def test_checksums_decide():
     assert [k for *_, k, _ in find_pii("to GB82 WEST 1234 5698 7654 32 please")] == ["id_number"]
     assert find_pii("to GB83 WEST 1234 5698 7654 32 please") == []
     assert [k for *_, k, _ in find_pii("see 529.982.247-25 there")] == ["id_number"] and find_pii("see 529.982.247-26 there") == []
+
+
+@pytest.mark.parametrize("opening", ["<template>", "<script>", "<style>", "<?php echo 1;", "<!--", "<!important>", "</ x", "<![CDATA[", "<script src='a'>"])
+def test_what_is_never_closed_loses_nothing(opening):
+    got = clean(f"<b>one</b> two {opening} three <i>four</i>\nfive")
+    assert [w for w in ("one", "two", "three", "four", "five") if w not in got] == []
+
+
+def test_closed_silent_elements_go():
+    assert clean("a <script>x</script> b <style>y</style> c <!-- z --> d <template><template>q</template> e").split() == ["a", "b", "c", "d", "e"]
+
+
+_PIECES = ["<b>", "</b>", "<p>", "<div class='x'>", "</div>", "<template>", "<script>", "<style>", "<?php ", "?>", "<!--", "<!x ", "</ ", "&amp;", "<li>", "<br/>", "\n", " ", "**", "`", "# ", "| ", "- ", "> ", "{{", "}}", "''", "\\emph{", "}", "<h2>", "<td>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(_PIECES), st.integers(0, 99).map(lambda i: f" word{i}x ")), max_size=25))
+def test_no_word_outside_tags_is_lost(pieces):
+    text = "".join(pieces)
+    got = clean(text)
+    assert [w for w in re.findall(r"word\d+x", text) if w not in got] == []
