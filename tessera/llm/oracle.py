@@ -12,6 +12,13 @@ with rows_ as (
 ), n as (select query_id, count(distinct (list, nameless)) as lists from best group by query_id)
 """
 
+_GRAMS = r"""
+with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item where text is not null),
+dg as (select doc_id, unnest(range(1, len(w) - 11)) as k, unnest([array_to_string(w[k:k + 12], ' ') for k in range(1, len(w) - 11)]) as g from d where len(w) >= 13),
+ig as (select distinct item_id, unnest([array_to_string(w[k:k + 12], ' ') for k in range(1, len(w) - 11)]) as g from i where len(w) >= 13)
+"""
+
 ORACLE = {
     "p1_found": r"select distinct chunk_id from chunks where len(regexp_extract_all(text, '[^ \t\n\f\r]+')) > 512",
     "p3_found": _LISTS
@@ -24,10 +31,10 @@ with terms as (
 ), counts as (select rid, chunk_id, term, count(*) as tf from terms where length(term) >= 6 and term >= 'a' and term < '{' group by all),
 dfs as (select term, count(*) as df from counts group by term)
 select distinct c.chunk_id, c.term from counts c join dfs using (term) where c.tf >= 3 and df between 2 and 5""",
-    "p8_found": r"""
-with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
-i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item where text is not null),
-dg as (select doc_id, unnest([array_to_string(w[k:k + 12], ' ') for k in range(1, len(w) - 11)]) as g from d where len(w) >= 13),
-ig as (select distinct item_id, unnest([array_to_string(w[k:k + 12], ' ') for k in range(1, len(w) - 11)]) as g from i where len(w) >= 13)
-select distinct doc_id, item_id from dg join ig using (g)""",
+    "p8_found": _GRAMS + "select distinct doc_id, item_id from dg join ig using (g)",
+    "p8_items": _GRAMS
+    + """, hits as (select distinct doc_id, item_id, k from dg join ig using (g)),
+runs as (select *, lead(k) over (partition by doc_id, item_id order by k) as next_k from hits),
+pairs as (select doc_id, item_id, cast(sum(least(13, coalesce(next_k - k, 13))) as integer) as n_words from runs group by all)
+select i.item_id, i.suite, count(*) as n_documents, max(n_words) as most_words from eval_item i join pairs using (item_id) group by all""",
 }

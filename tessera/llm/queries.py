@@ -85,9 +85,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Which test items leaked, how often and how much."""
+    """Which test items leaked, into how many documents, and the most words of them in one."""
     pairs = leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_item"))
-    per = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest_run"))
+    per = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("most_words"))
     return table(spark, d, "eval_item").select("item_id", "suite").join(per, "item_id")
 
 
