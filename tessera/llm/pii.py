@@ -10,8 +10,6 @@ the vocabulary of a public tokenizer holds in lower case, or that the same text
 
 from __future__ import annotations
 
-import base64
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.vocabulary import TOKENIZERS, ordinary_words
+
 KINDS = ("email", "card_number", "id_number", "phone", "address", "name")
 PLACEHOLDER = "[{}]"
 THRESHOLD = 0.5
-#: Folder with the vocabulary files of public tokenizers, and those read for ordinary words.
-TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
-VOCABULARIES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 # Frequent given names of many languages; words that are no part of a name; particles of surnames.
 GIVEN = frozenset(
@@ -343,21 +340,6 @@ def _addresses(text: str):
             yield s, m.end(), 0.8
 
 
-@lru_cache(maxsize=None)
-def ordinary_words(tokenizers: str) -> frozenset[str]:
-    """Words in small letters that the vocabularies hold whole, with a blank before."""
-    out: set[str] = set()
-    for name in VOCABULARIES:
-        with open(os.path.join(tokenizers, name), "rb") as f:
-            for line in f:
-                t = base64.b64decode(line.split(b" ", 1)[0])
-                if t[:1] == b" " and len(t) > 3:
-                    w = t[1:].decode(errors="replace")
-                    if w.isalpha() and w.islower():
-                        out.add(w)
-    return frozenset(out)
-
-
 _ENDINGS = ("s", "es", "ed", "ing", "er", "ers", "en")
 _SMALL_WORDS = re.compile(rf"(?<![\w@.-])[{_L}]{{3,}}(?![\w@-])")
 

@@ -308,3 +308,37 @@ def test_no_word_outside_tags_is_lost(pieces):
     text = "".join(pieces)
     got = clean(text)
     assert [w for w in re.findall(r"word\d+x", text) if w not in got] == []
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("モーニング娘。の新曲を聞いた。次です。", ["モーニング娘。の新曲を聞いた。", "次です。"]),
+        ("行きました。でも帰った。もう無理。", ["行きました。", "でも帰った。", "もう無理。"]),
+        ("どうする？が、やる。", ["どうする？", "が、やる。"]),
+        ("“好的。”CTO 说道。“不。”他走了。后来他说。", ["“好的。”CTO 说道。", "“不。”", "他走了。", "后来他说。"]),
+        ("“好。”说明文档在这里。", ["“好。”", "说明文档在这里。"]),
+        ("เด็ก ๆ เล่น", ["เด็ก ๆ", "เล่น"]),
+    ],
+)
+def test_spaceless_scripts(text, want):
+    assert [text[s:e] for s, e in sentence_spans(text)] == want
+
+
+def test_lattice_prefers_words():
+    assert lattice_words("我们认为这个问题很容易") == ["我们", "认为", "这个", "问题", "很", "容易"]
+    assert lattice_words("") == [] and "".join(lattice_words("報告者は龘です")) == "報告者は龘です"
+
+
+@pytest.mark.parametrize("piece", ["(a [b] {c} “d” « e ») x. ", "a.b.C.d", "(.]", '"a." ', "これは「テスト。」と言った。"])
+def test_sentences_are_linear_in_the_block(piece):
+    import time
+
+    def seconds(n):
+        text = piece * (n // len(piece))
+        began = time.time()
+        sentence_spans(text)
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 4 * 8 * max(seconds(50_000), 0.02)
