@@ -5,8 +5,10 @@ characters; with unicode, of the letters, marks and digits of all scripts and _,
 -log10 of P(X >= k), the exact upper tail, summed from log-gamma values, after Benjamini-Hochberg adjustment over the
 terms scored for the record.
 
-One pass counts each term's occurrences and records, added up per batch before anything is shuffled, with 64-bit
-hashes in place of strings; a second pass yields the pairs of record and term, and the statistics are joined on.
+One pass counts each term's occurrences and records, added up per batch before anything is shuffled. A second pass
+yields the pairs of record and term, with 64-bit hashes in place of strings. The pairs of frequent terms, which are most,
+stay with their record as arrays of small numbers, as the statistics of a bounded number of such terms are known to every
+task; those of rare terms meet their statistics by hash, then their record. Strings come last.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing as H
@@ -69,14 +72,15 @@ def _terms(data: np.ndarray, at: np.ndarray, least: int, unicode: bool):
 def _count(batches: Iterator[pa.RecordBatch], least: int, unicode: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = H.spaced_buffers(_folded(batch.column(0)) if unicode else batch.column(0))
-        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for _, _, _, _, h, rows in _terms(data, at, least, unicode):
-            if len(h):
-                h, tf = _pairs(h, rows)[:2]
-                sums.append(_add(h, tf, np.ones(len(h), np.int64)))
-        if sums:
-            h, cf, df = _add(*(np.concatenate(x) for x in zip(*sums)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cf), pa.array(df)], ["h", "cf", "df"])
+        for buf, _, starts, ends, h, rows in _terms(data, at, least, unicode):
+            if not len(h):
+                continue
+            h, tf, _, first = _pairs(h, rows)
+            keys, where, each = np.unique(h, return_index=True, return_inverse=True)
+            low = (_KINDS_ALL if unicode else _KINDS)[buf].tobytes()
+            text = [low[s:e].decode() for s, e in zip(starts[first[where]].tolist(), ends[first[where]].tolist())]
+            cf, df = np.bincount(each, weights=tf), np.bincount(each)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cf.astype(np.int64)), pa.array(df.astype(np.int64)), pa.array(text)], ["h", "cf", "df", "term"])
 
 
 def _pairs(h: np.ndarray, rows: np.ndarray):
@@ -89,28 +93,37 @@ def _pairs(h: np.ndarray, rows: np.ndarray):
     return hs[first], np.diff(np.append(first, len(hs))).astype(np.int64), rs[first], order[first]
 
 
-def _add(h: np.ndarray, *values: np.ndarray):
-    keys, where = np.unique(h, return_inverse=True)
-    return (keys, *(np.bincount(where, weights=v, minlength=len(keys)).astype(np.int64) for v in values))
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], least: int, min_count: int, unicode: bool) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], least: int, min_count: int, unicode: bool, heavy: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each record with pairs one row (key, id, row, n, heavy_at, heavy_tf), and one (key, row, tf) for each pair of
+    a rare term, key being its hash. heavy holds the sorted hashes of the frequent terms and which of them are scored."""
+    hashes, scored = heavy
     for batch in batches:
         data, at = H.spaced_buffers(_folded(batch.column(1)) if unicode else batch.column(1))
-        for buf, a, starts, ends, h, rows in _terms(data, at, least, unicode):
+        for _, a, _, _, h, rows in _terms(data, at, least, unicode):
             if not len(h):
                 continue
             length = np.bincount(rows)
-            h, tf, r, first = _pairs(h, rows)
-            ok = tf >= min_count
-            h, tf, r, first = h[ok], tf[ok], r[ok], first[ok]
-            low = (_KINDS_ALL if unicode else _KINDS)[buf].tobytes()
-            text = [low[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-            ids = batch.column(0).take(pa.array(r + a))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(text, pa.string()), pa.array(h.view(np.int64)), pa.array(tf), pa.array(length[r].astype(np.int64)), batch.column(2).take(pa.array(r + a))],
-                ["id", "term", "h", "tf", "n", "row"],
-            )
+            h, tf, r, _ = _pairs(h, rows)
+            place = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+            frequent = hashes[place] == h if len(hashes) else np.zeros(len(h), bool)
+            ok = (tf >= min_count) & (~frequent | scored[place] if len(hashes) else True)
+            h, tf, r, place, frequent = h[ok], tf[ok], r[ok], place[ok], frequent[ok]
+            heads, n_heads = np.unique(r), len(np.unique(r))
+            if not n_heads:
+                continue
+            where = pa.array(heads + a)
+            ids, numbers = batch.column(0).take(where), batch.column(2).take(where)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(np.searchsorted(heads, r[frequent]), minlength=n_heads))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[frequent].astype(np.int32))) for x in (place, tf)]
+            none = lambda t: pa.nulls(n_heads, t)
+            spread = H.mix(numbers.to_numpy(zero_copy_only=False).view(np.uint64) + np.uint64(1)).view(np.int64)
+            names = ["key", "id", "row", "n", "heavy_at", "heavy_tf", "tf"]
+            yield pa.RecordBatch.from_arrays([pa.array(spread), ids, numbers, pa.array(length[heads].astype(np.int64)), *lists, none(pa.int64())], names)
+            m = int((~frequent).sum())
+            if m:
+                none = lambda t: pa.nulls(m, t)
+                light = [pa.array(h[~frequent].view(np.int64)), none(ids.type), batch.column(2).take(pa.array(r[~frequent] + a)), none(pa.int64()), none(lists[0].type), none(lists[0].type), pa.array(tf[~frequent])]
+                yield pa.RecordBatch.from_arrays(light, names)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -156,10 +169,41 @@ def log_upper_tail(k: np.ndarray, n: np.ndarray, K: np.ndarray, N: np.ndarray) -
     return out
 
 
-def _score(batches: Iterator[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        k, n, K = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("tf", "n", "cf"))
-        yield b.append_column("log_p", pa.array(log_upper_tail(k, n, K, np.full(len(k), total))))
+def _adjusted(log_p: np.ndarray, record: np.ndarray) -> np.ndarray:
+    """Benjamini-Hochberg over each record's terms, in logarithms."""
+    order = np.lexsort((log_p, record))
+    starts = np.flatnonzero(np.append(True, record[order][1:] != record[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(order)))
+    rank = np.arange(len(order)) - np.repeat(starts, sizes) + 1
+    q = log_p[order] + np.log(np.repeat(sizes, sizes) / rank)
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        q[s : s + n] = np.minimum.accumulate(q[s : s + n][::-1])[::-1]
+    out = np.empty(len(q))
+    out[order] = np.minimum(0.0, q)
+    return out
+
+
+def _score(batches: Iterator[pa.RecordBatch], total: int, heavy: tuple[np.ndarray, np.ndarray, pa.Array]) -> Iterator[pa.RecordBatch]:
+    cf_h, df_h, term_h = heavy
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            ids, n, places, tfs, light = (b.column(i) for i in range(5))
+            number = np.arange(b.num_rows)
+            one = np.repeat(number, pa.compute.list_value_length(places).to_numpy(zero_copy_only=False))
+            two = np.repeat(number, pa.compute.list_value_length(light).to_numpy(zero_copy_only=False))
+            p, rare = places.flatten().to_numpy(), light.flatten()
+            of = lambda i: rare.field(i).to_numpy(zero_copy_only=False)
+            record = np.concatenate([one, two])
+            k = np.concatenate([tfs.flatten().to_numpy(), of(0)]).astype(np.int64)
+            df, cf = np.concatenate([df_h[p], of(1)]).astype(np.int64), np.concatenate([cf_h[p], of(2)]).astype(np.int64)
+            drawn = n.to_numpy(zero_copy_only=False)[record]
+            log_p = log_upper_tail(k, drawn, cf, np.full(len(k), total))
+            log_q = _adjusted(log_p, record)
+            term = pa.concat_arrays([term_h.take(pa.array(p)), rare.field(3).cast(pa.string())])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(record)), term, pa.array(k), pa.array(df), pa.array(cf), pa.array(np.exp(log_p)), pa.array(-log_q / np.log(10) + 0.0)], ["id", "term", "tf", "df", "cf", "p_value", "score"]
+            )
 
 
 def distinctive_terms(
@@ -173,44 +217,33 @@ def distinctive_terms(
     record like any other; null and empty texts have no terms; other columns are not read.
     """
     text = F.col(f"`{text_col}`").alias("text")
+    spark = records.sparkSession
     counts = written(
         records.select(text)
-        .mapInArrow(lambda it: _count(it, min_length, unicode), "h long, cf long, df long")
+        .mapInArrow(lambda it: _count(it, min_length, unicode), "h long, cf long, df long, term string")
         .groupBy("h")
-        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+        .agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"), F.min("term").alias("term"))
     )
     total, n_pairs = counts.agg(F.coalesce(F.sum("cf"), F.lit(0)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    # terms with a HEAVY-th of all pairs or more are HEAVY at most; no key of the shuffled join has more pairs than that
+    frequent = F.col("df") * HEAVY >= n_pairs
+    top = counts.where(frequent).toArrow().combine_chunks()
+    top = top.take(pa.array(np.argsort(top.column("h").to_numpy().view(np.uint64))))
+    hashes, cf, df = top.column("h").to_numpy().view(np.uint64), top.column("cf").to_numpy(), top.column("df").to_numpy()
+    scored = (df >= min_df) & (df <= (max_df if max_df is not None else n_pairs))
+    terms = pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in top.column("term").chunks)])
+    known = spark.sparkContext.broadcast((hashes, scored, cf, df, terms))
     within = F.col("df") >= min_df
     if max_df is not None:
         within &= F.col("df") <= max_df
+    light = counts.where(~frequent & within).select(F.col("h").alias("key"), "cf", "df", "term")
     id_type = records.schema[id_col].dataType.simpleString()
     pairs = records.select(F.col(f"`{id_col}`").alias("id"), text, F.monotonically_increasing_id().alias("row")).mapInArrow(
-        lambda it: _candidates(it, min_length, min_count, unicode), f"id {id_type}, term string, h long, tf long, n long, row long"
+        lambda it: _candidates(it, min_length, min_count, unicode, known.value[:2]), f"key long, id {id_type}, row long, n long, heavy_at array<int>, heavy_tf array<int>, tf long"
     )
-    # Terms with a HEAVY-th of all pairs or more are HEAVY at most, so they may be broadcast; their pairs are spread
-    # evenly after that, and no key of the shuffled join has more than a HEAVY-th of the pairs.
-    frequent = F.col("df") * HEAVY >= n_pairs
-    heavy = counts.where(frequent).select("h", F.col("cf").alias("cf_h"), F.col("df").alias("df_h"))
-    light = counts.where(~frequent & within).select(F.col("h").alias("key"), "cf", "df")
-    joined = (
-        pairs.join(F.broadcast(heavy), "h", "left")
-        .where(F.col("df_h").isNull() | (F.col("df_h") >= min_df) & (F.col("df_h") <= (max_df if max_df is not None else n_pairs)))
-        .withColumn("key", F.when(F.col("df_h").isNull(), F.col("h")).otherwise(F.xxhash64("row", "h")))
-        .join(light, "key", "left")
-        .select("id", "term", "tf", F.coalesce("df_h", "df").alias("df"), F.coalesce("cf_h", "cf").alias("cf"), "n", "row")
-        .where(F.col("cf").isNotNull())
-    )
-    scored = joined.mapInArrow(lambda it: _score(it, total), f"id {id_type}, term string, tf long, df long, cf long, n long, row long, log_p double")
-    return _fdr(scored).select(
-        F.col("id").alias(id_col), "term", "tf", "df", "cf", F.exp("log_p").alias("p_value"), (-F.col("log_q") / F.lit(float(np.log(10)))).alias("score")
-    )
-
-
-def _fdr(scored: DataFrame) -> DataFrame:
-    """Adjust over the terms of a record. A record's terms are bounded by its text, which one task held before."""
-    per = Window.partitionBy("id", "row")
-    rising = per.orderBy("log_p", "term")
-    q = F.col("log_p") + F.log(F.count(F.lit(1)).over(per) / F.row_number().over(rising))
-    scored = scored.withColumn("__q", q)
-    falling = per.orderBy(F.col("log_p").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return scored.withColumn("log_q", F.least(F.lit(0.0), F.min("__q").over(falling)))
+    joined = pairs.join(light, "key", "left").where(F.col("n").isNotNull() | F.col("cf").isNotNull())
+    rare = F.when(F.col("n").isNull(), F.struct("tf", "df", "cf", "term"))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    per = joined.groupBy("row").agg(first("id"), first("n"), first("heavy_at"), first("heavy_tf"), F.collect_list(rare).alias("rare")).select("id", "n", "heavy_at", "heavy_tf", "rare")
+    out = per.mapInArrow(lambda it: _score(it, total, known.value[2:]), f"id {id_type}, term string, tf long, df long, cf long, p_value double, score double")
+    return out.withColumnRenamed("id", id_col)

@@ -31,6 +31,20 @@ with terms as (
 ), counts as (select rid, chunk_id, term, count(*) as tf from terms where length(term) >= 6 and term >= 'a' and term < '{' group by all),
 dfs as (select term, count(*) as df from counts group by term)
 select distinct c.chunk_id, c.term from counts c join dfs using (term) where c.tf >= 3 and df between 2 and 5""",
+    "p4_terms": r"""
+with terms as (
+  select rid, chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+')) as term from (select row_number() over () as rid, chunk_id, text from chunks)
+), pairs as (select rid, chunk_id, term, count(*) as tf from terms where not regexp_matches(term, '^[0-9_]') group by all),
+lengths as (select rid, sum(tf) as n from pairs group by rid), total as (select sum(tf) as total from pairs),
+stats as (select term, count(*) as df, sum(tf) as cf from pairs group by term),
+joined as (select p.*, df, cast(cf as double) as K, cast(n as double) as n, cast(total as double) as N_ from pairs p join lengths using (rid) join stats using (term), total),
+tails as (
+  select *, list_transform(range(tf, cast(least(n, K) as bigint) + 1), lambda x: lgamma(K + 1) - lgamma(x + 1) - lgamma(K - x + 1) + lgamma(N_ - K + 1) - lgamma(n - x + 1)
+    - lgamma(N_ - K - n + x + 1) - lgamma(N_ + 1) + lgamma(n + 1) + lgamma(N_ - n + 1)) as logs from joined
+), ps as (select *, least(0, list_max(logs) + ln(list_sum(list_transform(logs, lambda y: exp(y - list_max(logs)))))) as log_p from tails),
+ranked as (select *, log_p + ln(count(*) over (partition by rid) / cast(row_number() over (partition by rid order by log_p, term) as double)) as q from ps),
+adjusted as (select *, least(0, min(q) over (partition by rid order by log_p desc, term desc rows unbounded preceding)) as log_q from ranked)
+select chunk_id, term, tf, df, round(-log_q / ln(10), 2) + 0.0 as score from adjusted""",
     "p8_found": _GRAMS + "select distinct doc_id, item_id from dg join ig using (g)",
     "p8_items": _GRAMS
     + """, hits as (select distinct doc_id, item_id, k from dg join ig using (g)),

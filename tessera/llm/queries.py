@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     """Weights of all terms of all chunks, of any length and script."""
-    return distinctive_terms(table(spark, d, "chunks"), min_length=1, unicode=True).select("chunk_id", "term", "tf", "df", F.round("score", 4).alias("score"))
+    return distinctive_terms(table(spark, d, "chunks"), min_length=1, unicode=True).select("chunk_id", "term", "tf", "df", F.round("score", 2).alias("score"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
