@@ -30,13 +30,15 @@ GENERATED_NAMES = (
 )
 PROSE = "md markdown txt text rst adoc org wiki".split()
 
-#: What stands right after the comment sign.
+#: What stands right after the comment sign: that a tool made the file, in the words of some languages.
+_MADE = "(?:generated|written|produced|created|emitted|compiled|built)"
 GENERATED_MARKS = (
     r"@generated\b",
     r"<auto-?generated\b",
-    r"(?:code|file|this|source|content|class|module)?[ ,:]*(?:this (?:file|code|class|module|source) )?(?:was |is |has been |were )?(?:auto(?:matically)?[- ]?|machine[- ]?|tool[- ]?)?(?:generated|written|produced|created|emitted|compiled|built) (?:automatically |on the build host )?(?:by|from|with|via|using|out of)\b(?! hand)",
-    r"(?:automatically|auto|machine|tool)[- ]?(?:generated|written|produced|created|emitted)\b",
-    r"generated (?:file|code|source)s?\b[^\n]{0,40}(?:do not|don't|regenerate|overwritten|lost)",
+    rf"(?:(?:code|file|this|source|content|class|module)[ ,:]*)?(?:this (?:file|code|class|module|source) )?(?:was |is |has been |were )?(?:auto(?:matically)?[- ]?|machine[- ]?|tool[- ]?)?{_MADE} (?:automatically )?(?:by|from|with|via|using|out of)\b(?! hand)",
+    r"generated (?:\w+ ){1,4}(?:by|from|with|via|using)\b(?! hand)",
+    rf"(?:automatically|auto|machine|tool)[- ]?{_MADE}\b",
+    r"generated (?:file|code|source)s?\b[^\n]{0,40}(?:do not|don't)",
     r"generated (?:on|at) [^\n]{0,80}(?:edits|changes)",
     r"(?:please )?(?:do not|don't|never) (?:edit|modify|touch|change)(?: this file)?(?:,? by hand)?\s*[.!]*\s*(?:-->|\*/)?$",
     r"diese datei wurde (?:automatisch|maschinell)",
@@ -46,12 +48,13 @@ GENERATED_MARKS = (
     r"(?:этот )?(?:файл|код)? ?(?:создан|сгенерирован|сгенерировано)\S* автоматически|автоматически сгенерирован",
     r"(?:この|本)?ファイルは?自動(?:的に)?生成|自動生成|(?:此|本)?文件?由?[^\n]{0,20}自动生成|自动生成",
 )
+#: That it came from another project: said outright, or copied, with a sign of a project elsewhere on the line.
 VENDORED_MARKS = (
-    r"(?:vendored|bundled|copied|imported|forked|taken|adapted|synced|mirrored)(?: over| in| unchanged| verbatim| as is| unmodified| copy| version)* (?:from|of|at) ",
-    r"(?:verbatim |unchanged |bundled |vendored )copy of ",
+    r"(?:vendored|bundled|mirrored)(?: \w+){0,2} (?:from|of)\b",
+    r"(?:vendored|bundled|verbatim|unchanged|unmodified) copy of\b",
     r"third[- ]party (?:source|code|library|file|component|module)s?\b",
-    r"copyright [^\n]{0,120}(?:imported|taken over|vendored|copied|bundled)[^\n]{0,30} (?:from|at) (?:the )?upstream",
-    r"(?:imported|taken over|copied|synced)[^\n]{0,30} (?:from|at) (?:the )?upstream",
+    r"(?:copied|imported|forked|taken|adapted|synced)(?: \w+){0,2} (?:from|of|at)\b[^\n]{0,120}(?:\bupstream\b|third[- ]party|https?://|\bv?\d+\.\d+)",
+    r"copyright [^\n]{0,160}\bupstream\b",
 )
 BANNER = r"^/\*![ @]?[\w.@/-]+ v?\d+\.\d+"
 
@@ -62,7 +65,7 @@ _LITERAL = r"(?:0[xX][0-9a-fA-F]+[uUlL]{0,3}|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?
 #: A chunk is bulk data from so many literals on, if they are at least this part of its text.
 DATA_LITERALS, DATA_PART = 60, 0.6
 #: k-gram and window of the fingerprints, in tokens; repositories and part of a file's fingerprints that make a copy.
-K, WINDOW, REPOS, PART, LEAST = 16, 32, 3, 0.6, 4
+K, WINDOW, REPOS, PART = 16, 32, 3, 0.6
 #: At most so many fingerprints are broadcast.
 HEAVY = 10_000
 
@@ -89,14 +92,14 @@ def is_source(path: Column) -> Column:
 
 
 def judged_chunks(chunks: DataFrame) -> DataFrame:
-    """(file_path, kind): generated, vendored, minified, data or null, for each chunk, from its path or its text.
+    """(file_path, kinds): generated, vendored, minified or data, for each chunk, from its path and from its text.
 
     What several rules read (the code without path and hard blanks, its first long line, the count of its digits and quotation marks) is
     computed once, in steps that stay apart in the plan."""
     path = F.col("file_path")
     bare = F.replace(F.regexp_replace("text", r"\A\[[^\]\n]+\] ", ""), F.lit("\u00a0"), F.lit(" "))
     df = chunks.where(path.isNotNull()).select("file_path", path_kind(path).alias("known"), "text")
-    df = df.select("file_path", "known", F.when(F.col("known").isNull() & is_source(path), bare).alias("code"))
+    df = df.select("file_path", "known", F.when(is_source(path), bare).alias("code"))
     code = F.col("code")
     df = df.select("file_path", "known", "code", F.regexp_extract(code, r"(?m)^[^\n]{240,}", 0).alias("long_line"), F.regexp_count(code, F.lit(r"[0-9\"']")).alias("signs"))
     line, n = F.col("long_line"), F.length("long_line")
@@ -111,7 +114,7 @@ def judged_chunks(chunks: DataFrame) -> DataFrame:
     # every literal has a digit or a quotation mark
     data = (F.col("signs") >= DATA_LITERALS) & (F.regexp_count(plain, F.lit(_LITERAL)) >= DATA_LITERALS) & (covered >= DATA_PART * F.length(F.regexp_replace(plain, r"\s", "")))
     kind = F.when(marked(GENERATED_MARKS), "generated").when(marked(VENDORED_MARKS), "vendored").when(code.rlike(BANNER) | minified, "minified").when(packed | data, "data")
-    return df.select("file_path", F.coalesce("known", kind).alias("kind"))
+    return df.select("file_path", F.array_compact(F.array("known", kind)).alias("kinds"))
 
 
 _KINDS = H.byte_table(H.WORD, high=True)
@@ -136,9 +139,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(g[at_g].view(np.int64)), pa.array(files[r]), pa.array(repos[r])], ["fp", "file", "repo"])
 
 
-def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int = REPOS, part: float = PART, least: int = LEAST) -> DataFrame:
-    """(file_path hash, share): files with at least least fingerprints of which at least part recur in min_repos or
-    more repositories. Rows are one per fingerprint and file; a fingerprint that a third of them share is spread."""
+def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int = REPOS, part: float = PART) -> DataFrame:
+    """(file_path hash, share): files of whose fingerprints at least part recur in min_repos or more repositories. Rows
+    are one per fingerprint and file; those of a frequent fingerprint are spread, whether it is common to repositories
+    or not. A file of fewer than k tokens a chunk has no fingerprint."""
     path = F.col("file_path")
     prefix = F.concat(F.lit("["), path, F.lit("] "))
     rows = chunks.where(path.isNotNull()).select(
@@ -150,15 +154,16 @@ def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int
     marks = written(rows.mapInArrow(lambda it: _fingerprints(it, k, w), "fp long, file long, repo long").distinct())
     total = marks.count()
     spread = marks.groupBy("fp", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("fp").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
-    common = written(spread.where(F.col("repos") >= min_repos).select("fp", "n"))
     # fingerprints with a HEAVY-th of all rows or more are HEAVY at most: they are broadcast, and their rows spread evenly
-    heavy = common.where(F.col("n") * HEAVY >= total).select("fp", F.lit(1).alias("heavy"))
-    light = common.where(F.col("n") * HEAVY < total).select(F.col("fp").alias("key"), F.lit(1).alias("light"))
+    often = F.col("n") * HEAVY >= total
+    known = written(spread.where(often | (F.col("repos") >= min_repos)).select("fp", (F.col("repos") >= min_repos).alias("common"), often.alias("often")))
+    heavy = known.where("often").select("fp", F.col("common").alias("heavy"))
+    light = known.where(~F.col("often") & F.col("common")).select(F.col("fp").alias("key"), F.lit(True).alias("light"))
     joined = marks.join(F.broadcast(heavy), "fp", "left").withColumn("key", F.when(F.col("heavy").isNull(), F.col("fp")).otherwise(F.xxhash64("file", "fp"))).join(light, "key", "left")
     return (
         joined.groupBy("file")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(F.coalesce("heavy", "light")).alias("hits"))
-        .where((F.col("n") >= least) & (F.col("hits") >= part * F.col("n")))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("heavy", "light", F.lit(False))).alias("hits"))
+        .where(F.col("hits") >= part * F.col("n"))
         .select("file", (F.col("hits") / F.col("n")).alias("share"))
     )
 
@@ -170,8 +175,8 @@ def not_handwritten(chunks: DataFrame, **winnowing) -> DataFrame:
     show nothing; repeated chunks change nothing; prose files are judged by path and copies only.
     """
     path = F.col("file_path")
-    # a filter on kind would be pushed below the steps and have each of them evaluated again; the set leaves nulls out
-    shown = judged_chunks(chunks).groupBy("file_path").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") > 0)
+    # a filter on kinds would be pushed below the steps and have each of them evaluated again
+    shown = judged_chunks(chunks).groupBy("file_path").agg(F.collect_set("kinds").alias("kinds")).select("file_path", F.flatten("kinds").alias("kinds")).where(F.size("kinds") > 0)
     copies = copied_files(chunks, **winnowing)
     named = chunks.where(path.isNotNull()).select("file_path", F.xxhash64(path).alias("file")).distinct()
     copied = named.join(copies, "file").select("file_path", F.array(F.lit("copied")).alias("kinds"))
