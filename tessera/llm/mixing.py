@@ -13,14 +13,14 @@ import math
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.vocabulary import TOKENIZERS
 from tessera.runtime import written
 
-#: Folder with the vocabulary files of public tokenizers.
-TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: How that vocabulary splits a text before merging (fixed value, published with the tokenizer).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -75,6 +75,22 @@ def _running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
     return df.withColumn(out, F.col("__w") + F.col("__before")).drop("__b", "__w", "__before")
 
 
+def _reach(weight: np.ndarray, most: np.ndarray, budget: float) -> float:
+    """The virtual time at which the sources together reach the budget, each going on at its weight until it is dry."""
+    dry = most / weight
+    order = np.argsort(dry)
+    weight, most, dry = weight[order], most[order], dry[order]
+    done, at = 0.0, 0.0
+    speed = weight.sum()
+    for w, m, d in zip(weight, most, dry):
+        if done + speed * (d - at) >= budget:
+            break
+        done, at, speed = done + speed * (d - at), d, speed - w
+    else:
+        return float(dry.max())
+    return float(at + (budget - done) / speed)
+
+
 def mixture(
     documents: DataFrame, targets: DataFrame, budget: int | None = None, default_repeats: int = 1, seed: int = 0, bucket_rows: int = 20_000, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY
 ) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +104,9 @@ def mixture(
     hold counts once. A source without statement, or without target, may be used default_repeats times; one whose
     target is missing, null or not positive is not drawn. Repeated target rows: the highest share and repeats count.
     The draw is the same for the same seed, whatever the partitioning.
+
+    The targets come to the driver, a row a source: they tell the virtual time at which the budget is reached, and with
+    it how often each text can be used at all; later uses are never made.
     """
     sized = written(sized_texts(documents, tokenizers, vocabulary))
     wanted = (
@@ -95,30 +114,30 @@ def mixture(
         .agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         .withColumn("max_repeats", F.coalesce("max_repeats", F.lit(default_repeats)))
     )
-    have = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("n"))
-    plan = wanted.join(have, "source", "full_outer").withColumn("max_repeats", F.coalesce("max_repeats", F.lit(default_repeats)))
-    usable = (F.col("target_share") > 0) & (F.col("available_tokens") > 0) & (F.col("max_repeats") > 0)
-    weights = plan.where(usable).select("source", "target_share", "available_tokens", "max_repeats", "n")
-    total = weights.agg(
-        F.coalesce(F.sum("target_share"), F.lit(0.0)), F.min(F.col("available_tokens") * F.col("max_repeats") / F.col("target_share")), F.coalesce(F.sum(F.col("n") * F.col("max_repeats")), F.lit(0))
-    ).first()
-    share_sum, reach, n_uses = float(total[0]), total[1], int(total[2])
+    have = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("longest"))
+    plan = written(wanted.join(have, "source", "full_outer").withColumn("max_repeats", F.coalesce("max_repeats", F.lit(default_repeats))))
+    weights = plan.where((F.col("target_share") > 0) & (F.col("available_tokens") > 0) & (F.col("max_repeats") > 0))
+    known = weights.select("target_share", (F.col("available_tokens") * F.col("max_repeats")).cast("double").alias("most"), "longest", "n").toArrow()
+    weight, most, longest, n = (known.column(c).to_numpy().astype(np.float64) for c in range(4))
     if budget is None:
-        budget = math.floor(float(reach) * share_sum) if reach is not None else 0
-    buckets = max(1, n_uses // bucket_rows)
+        budget = math.floor(float((most / weight).min()) * weight.sum()) if len(weight) else 0
+    # past this time the sum is past the budget, or every source is dry
+    horizon = (_reach(weight, most, budget) + float((longest / weight).max())) * (1 + 1e-9) if len(weight) else 1.0
+    passes = F.least(F.ceil(F.lit(horizon) * F.col("target_share") / F.col("available_tokens")), F.col("max_repeats"))
+    n_uses = float(np.minimum(np.ceil(horizon * weight * n / np.maximum(most, 1)) + 1, 1e18).sum() + n.sum()) if len(weight) else 1.0
+    # as many buckets as rows in one, so that neither window grows faster than the square root
+    buckets = max(1, int(n_uses / max(bucket_rows, math.sqrt(n_uses))))
     # the sources are few in any mixture, but no bound is proven: Catalyst decides by size how they are joined
-    uses = sized.join(weights, "source").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("max_repeats") - 1)))
+    uses = sized.join(weights.select("source", "target_share", "available_tokens", passes.cast("int").alias("passes")), "source")
+    uses = uses.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     uses = uses.withColumn("u", F.xxhash64("key", "repeat", F.lit(seed)))
     span = F.floor((F.col("u").cast("double") / 2.0**64 + 0.5) * buckets)
     uses = _running(uses, ["source", "repeat"], span, [F.col("u"), F.col("key")], "tokens", "within")
     uses = uses.withColumn("finish", (F.col("repeat") * F.col("available_tokens") + F.col("within")) / F.col("target_share"))
-    horizon = max(1.0, budget / share_sum if share_sum else 1.0)
-    # nothing past the budget can be drawn before the first source is dry; after that, times run on to the end
-    uses = uses.select("doc_id", "repeat", "source", "tokens", "finish", "key")
-    place = F.least(F.floor(F.col("finish") / horizon * buckets), F.lit(1_000_000_000))
+    uses = uses.select("doc_id", "repeat", "source", "tokens", "finish", "key").where(F.col("finish") <= horizon)
+    place = F.floor(F.col("finish") / horizon * buckets)
     draws = _running(uses.withColumn("all", F.lit(0)), ["all"], place, [F.col("finish"), F.col("source"), F.col("key"), F.col("repeat")], "tokens", "total")
-    draws = draws.where(F.col("total") <= budget).select("doc_id", "repeat", "source", "tokens", "finish")
-    draws = written(draws)
+    draws = written(draws.where(F.col("total") <= budget).select("doc_id", "repeat", "source", "tokens", "finish"))
     drawn = draws.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     all_drawn = int(drawn.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     key = plan.withColumn("k", F.coalesce("source", F.lit("\0"))).join(drawn.select(F.coalesce("source", F.lit("\0")).alias("k"), "tokens"), "k", "left")

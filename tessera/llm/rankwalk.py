@@ -6,7 +6,9 @@ the query. Items are ordered by how often the walk, started anywhere, is there a
 each list matters, so no scale does. A step needs one running sum along each sorted list.
 
 Queries are walked many at a time with numpy; a query of more than max_group rows is walked by DataFrame operations,
-with running sums over range buckets, so that no task holds it whole. Both give the same result.
+with running sums over range buckets, so that no task holds it whole. The chance of being somewhere is a whole number of
+ONE-th parts, and every division is one of whole numbers, so that sums don't depend on their order: both ways give the
+same result, to the last part, and items in the same places are tied exactly.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import checkpoint, written
+from tessera.runtime import BROADCAST_BYTES, checkpoint, written
 
-ROUNDS, DAMPING, DIGITS = 30, 0.85, 12
+ROUNDS, DAMPING = 30, 0.85
+#: A query's whole chance; small enough for a thousand times a part of a thousand of it.
+ONE = 1 << 56
 
 
 def lists_of(search_result: DataFrame, display_result: DataFrame) -> DataFrame:
@@ -55,15 +59,15 @@ def _walk(pdf: pd.DataFrame, rounds: int, damping: float) -> pd.DataFrame:
     end = (first + size)[listed]
     at_least = end - tie_first[tie_of]  # rows of the list with this score or a higher one
     higher = end - tie_last[tie_of]
-    mass = 1.0 / of_query[query]
+    mass = ONE // of_query[query]
+    part = round(damping * 1000)
     for _ in range(rounds):
-        run = np.concatenate([[0.0], np.cumsum(mass[item] / (n_lists[list_query[listed]] * at_least))])
-        got = np.bincount(item, weights=run[tie_last[tie_of]] - run[first[listed]], minlength=n_items)
+        run = np.concatenate([[0], np.cumsum(mass[item] // (n_lists[list_query[listed]] * at_least))])
         there = np.add.reduceat(mass[item], first)
-        away = np.maximum(0.0, 1.0 - there) / (n_lists[list_query] * size)
-        got += np.bincount(item, weights=away[listed], minlength=n_items)
-        mass = (1 - damping) / of_query[query] + damping * got
-    mass = np.round(mass, DIGITS)
+        away = np.maximum(0, ONE - there) // (n_lists[list_query] * size)
+        got = np.zeros(n_items, np.int64)
+        np.add.at(got, item, run[tie_last[tie_of]] - run[first[listed]] + away[listed])
+        mass = ONE // 1000 * (1000 - part) // of_query[query] + got // 1000 * part + got % 1000 * part // 1000
     order = np.lexsort((-mass, query))
     qs, ms = query[order], mass[order]
     start = np.flatnonzero(np.append(True, qs[1:] != qs[:-1]))
@@ -77,7 +81,7 @@ def _walk(pdf: pd.DataFrame, rounds: int, damping: float) -> pd.DataFrame:
         {
             "query_id": items.get_level_values(0),
             "chunk_id": items.get_level_values(1),
-            "stationarity": mass,
+            "stationarity": mass / ONE,
             "position": position,
             "n_lists": np.bincount(item, minlength=n_items),
             "query_lists": n_lists[query],
@@ -93,10 +97,10 @@ def _running(df: DataFrame, keys: list[str], by: str, value: str, bucket_rows: i
     """df, whose (keys, by) are distinct, with upto: the sum of value over the rows of the same keys with this by or a
     lower one. Rows are put into range buckets; only sums of buckets and the rows of one bucket meet in a window."""
     cuts = df.groupBy(keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(by, F.array(*[F.lit(i / 64) for i in range(1, 64)]), 10000).alias("__cuts"))
-    df = df.join(F.broadcast(cuts), keys).withColumn("__b", F.when(F.col("__n") <= bucket_rows, 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(by)))))
+    df = df.join(cuts, keys).withColumn("__b", F.when(F.col("__n") <= bucket_rows, 0).otherwise(F.size(F.filter("__cuts", lambda c: c < F.col(by)))))
     sums = df.groupBy(*keys, "__b").agg(F.sum(value).alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__before"))
+    sums = sums.select(*keys, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(*keys, "__b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("upto", F.sum(value).over(within)).join(sums, [*keys, "__b"]).withColumn("upto", F.col("upto") + F.col("__before")).drop("__b", "__n", "__cuts", "__before")
 
@@ -107,24 +111,27 @@ def _walk_large(lists: DataFrame, rounds: int, damping: float, bucket_rows: int)
     by_list = ["query_id", "list"]
     sizes = rows.groupBy(by_list).agg(F.count(F.lit(1)).alias("size"))
     per_query = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("query_lists"))
-    levels = _running(rows.groupBy(*by_list, "score").agg(F.count(F.lit(1)).cast("double").alias("n")), by_list, "score", "n", bucket_rows).join(sizes, by_list)
+    levels = _running(rows.groupBy(*by_list, "score").agg(F.count(F.lit(1)).alias("n")), by_list, "score", "n", bucket_rows).join(sizes, by_list)
     levels = levels.join(per_query, "query_id").select(*by_list, "score", "size", "query_lists", (F.col("size") - F.col("upto") + F.col("n")).alias("at_least"), (F.col("size") - F.col("upto")).alias("higher"))
     levels = written(levels)
-    items = written(rows.join(levels, [*by_list, "score"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_lists"), F.max("higher").cast("long").alias("worst_higher"), F.max("query_lists").alias("query_lists")))
+    items = written(rows.join(levels, [*by_list, "score"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_lists"), F.max("higher").alias("worst_higher"), F.max("query_lists").alias("query_lists")))
     total = items.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"))
-    mass = items.join(F.broadcast(total), "query_id").select("query_id", "chunk_id", (1.0 / F.col("items")).alias("mass"))
+    part = round(damping * 1000)
+    mass = items.join(total, "query_id").select("query_id", "chunk_id", F.expr(f"{ONE} div items").alias("mass"))
     for _ in range(rounds):
-        here = rows.join(mass, ["query_id", "chunk_id"]).groupBy(*by_list, "score").agg(F.sum("mass").alias("m"))
-        share = here.join(levels, [*by_list, "score"]).withColumn("share", F.col("m") / (F.col("query_lists") * F.col("at_least")))
-        present = share.groupBy(by_list).agg(F.greatest(F.lit(0.0), 1.0 - F.sum("m")).alias("absent"), F.first("size").alias("size_"), F.first("query_lists").alias("lists_"))
-        present = present.select(*by_list, (F.col("absent") / (F.col("lists_") * F.col("size_"))).alias("away"))
-        level = _running(share.select(*by_list, "score", "share"), by_list, "score", "share", bucket_rows).join(F.broadcast(present), by_list)
+        here = rows.join(mass, ["query_id", "chunk_id"]).withColumn("m", F.col("mass")).join(levels, [*by_list, "score"])
+        # each row's own division, as in memory, before anything is added up
+        share = here.groupBy(*by_list, "score").agg(F.sum(F.expr("m div (query_lists * at_least)")).alias("share"), F.sum("m").alias("m"), F.first("size").alias("size"), F.first("query_lists").alias("query_lists"))
+        present = share.groupBy(by_list).agg(F.greatest(F.lit(0), F.lit(ONE) - F.sum("m")).alias("absent"), F.first("size").alias("size"), F.first("query_lists").alias("query_lists"))
+        present = present.select(*by_list, F.expr("absent div (query_lists * size)").alias("away"))
+        level = _running(share.select(*by_list, "score", "share"), by_list, "score", "share", bucket_rows).join(present, by_list)
         got = rows.join(level, [*by_list, "score"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("upto") + F.col("away")).alias("got"))
-        mass = checkpoint(got.join(F.broadcast(total), "query_id").select("query_id", "chunk_id", ((1 - damping) / F.col("items") + damping * F.col("got")).alias("mass")))
-    mass = mass.withColumn("stationarity", F.round("mass", DIGITS))
-    ranks = _running(mass.groupBy("query_id", (-F.col("stationarity")).alias("down")).agg(F.count(F.lit(1)).cast("double").alias("n")), ["query_id"], "down", "n", bucket_rows)
-    ranks = ranks.select("query_id", (-F.col("down")).alias("stationarity"), (F.col("upto") - F.col("n") + 1).cast("long").alias("position"))
-    return mass.join(ranks, ["query_id", "stationarity"]).join(items, ["query_id", "chunk_id"]).select("query_id", "chunk_id", "stationarity", "position", "n_lists", "query_lists", "worst_higher")
+        stays = F.expr(f"{ONE // 1000 * (1000 - part)} div items + got div 1000 * {part} + got % 1000 * {part} div 1000")
+        mass = checkpoint(got.join(total, "query_id").select("query_id", "chunk_id", stays.alias("mass")))
+    ranks = _running(mass.groupBy("query_id", (-F.col("mass")).alias("down")).agg(F.count(F.lit(1)).alias("n")), ["query_id"], "down", "n", bucket_rows)
+    ranks = ranks.select("query_id", (-F.col("down")).alias("mass"), (F.col("upto") - F.col("n") + 1).alias("position"))
+    out = mass.join(ranks, ["query_id", "mass"]).join(items, ["query_id", "chunk_id"])
+    return out.select("query_id", "chunk_id", (F.col("mass") / ONE).alias("stationarity"), "position", "n_lists", "query_lists", "worst_higher")
 
 
 def rank_walk(lists: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, max_group: int = 200_000, batch: int = 20_000) -> DataFrame:
@@ -138,11 +145,12 @@ def rank_walk(lists: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING,
     schema = f"query_id {types['query_id']}, chunk_id {types['chunk_id']}, {_OUT}"
     lists = written(lists)
     sizes = lists.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > max_group).select("query_id")  # total / max_group queries at most
-    n_rows, any_large = lists.count(), not large.isEmpty()
-    small = lists.join(F.broadcast(large), "query_id", "left_anti") if any_large else lists
+    large = written(sizes.where(F.col("n") > max_group).select("query_id"))
+    n_rows, n_large = lists.count(), large.count()
+    near = F.broadcast(large) if n_large * 16 <= BROADCAST_BYTES else large
+    small = lists.join(near, "query_id", "left_anti") if n_large else lists
     groups = max(1, math.ceil(n_rows / batch))
     out = small.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: _walk(pdf, rounds, damping), schema)
-    if any_large:
-        out = out.unionByName(_walk_large(lists.join(F.broadcast(large), "query_id", "left_semi"), rounds, damping, batch))
+    if n_large:
+        out = out.unionByName(_walk_large(lists.join(near, "query_id", "left_semi"), rounds, damping, batch))
     return out
