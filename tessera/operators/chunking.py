@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.arrays import sums_before
 from tessera.spec import CHUNK_SIZE, MIN_TOKENS, OVERLAP
 
 # Extensions (case matters).
@@ -46,19 +47,20 @@ def sliding_window(files: DataFrame, size: int = CHUNK_SIZE, overlap: float = OV
     cores = F.regexp_extract_all("content", F.lit(rf"(?:[^{_B}]++[{_B}]*+){{1,{stride}}}+"), F.lit(0))
     lead = F.regexp_extract("content", rf"^[{_B}]*+", 0)
     df = files.select(*others, cores.alias("__c"), F.octet_length(lead).alias("__lead"), F.regexp_count(lead, F.lit("\n")).alias("__lines")).where(F.size("__c") > 0)
-    sums = F.transform("__c", lambda c: F.struct(F.octet_length(c).alias("b"), F.regexp_count(c, F.lit("\n")).alias("l")))
-    df = df.withColumn("__s", sums)
-    before = lambda i, f: F.aggregate(F.slice("__s", F.lit(1), i), F.lit(0), lambda n, x: n + x[f])
-    made = F.transform(
-        "__c",
-        lambda c, i: F.struct(
-            i.alias("ordinal"),
-            (F.col("__lead") + before(i, "b")).cast("bigint").alias("byte_offset"),
-            (F.col("__lines") + before(i, "l") + 1).cast("int").alias("line_number"),
-            F.rtrim(F.regexp_extract(F.array_join(F.slice("__c", i + 1, F.lit(span)), ""), rf"^(?:[^{_B}]++[{_B}]*+){{1,{size}}}+", 0), F.lit(T.ASCII_BLANKS)).alias("text"),
-        ),
+    texts = F.transform(
+        "__c", lambda c, i: F.rtrim(F.regexp_extract(F.array_join(F.slice("__c", i + 1, F.lit(span)), ""), rf"^(?:[^{_B}]++[{_B}]*+){{1,{size}}}+", 0), F.lit(T.ASCII_BLANKS))
     )
-    return df.select(*others, F.inline(made)).withColumn("token_count", F.regexp_count("text", F.lit(rf"[^{_B}]+")))
+    bytes_before = sums_before(F.transform("__c", lambda c: F.octet_length(c)))
+    lines_before = sums_before(F.transform("__c", lambda c: F.regexp_count(c, F.lit("\n"))))
+    windows = F.arrays_zip(texts.alias("text"), bytes_before.alias("bytes"), lines_before.alias("lines"))
+    df = df.select(*others, "__lead", "__lines", F.posexplode(windows).alias("ordinal", "__w"))
+    return df.select(
+        *others,
+        "ordinal",
+        (F.col("__lead") + F.col("__w.bytes")).cast("bigint").alias("byte_offset"),
+        (F.col("__lines") + F.col("__w.lines") + 1).cast("int").alias("line_number"),
+        F.col("__w.text").alias("text"),
+    ).withColumn("token_count", F.regexp_count("text", F.lit(rf"[^{_B}]+")))
 
 
 def _lines(content: str) -> list[str]:
