@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import sums_before
+
 #: The ASCII blanks that separate tokens.
 BLANKS = " \t\n\f\r"
 _B = r" \t\n\f\r"
@@ -74,29 +76,24 @@ def split_oversized(chunks: DataFrame, limit: int = 512, overlap: int = 102, kee
         F.regexp_extract_all("text", F.lit(core_pattern(limit, overlap, False)), F.lit(0))
     )
     df = df.withColumn("__cores", cores).where(F.size("__cores") > (0 if keep_small else 1))
-    made = F.transform(
-        "__cores",
-        lambda c, i: F.struct(
-            i.alias("piece"),
-            c.alias("core"),
-            F.get("__cores", i - 1).alias("before"),
-            F.aggregate(F.slice("__cores", F.lit(1), i), F.lit(0), lambda n, x: n + F.octet_length(x)).alias("start"),
-        ),
-    )
+    # pieces carry their core, the one before and where they begin; the text itself stays behind
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("__cores", F.lit(1), F.size("__cores") - 1))
+    starts = sums_before(F.transform("__cores", lambda c: F.octet_length(c)))
+    made = F.arrays_zip(F.col("__cores").alias("core"), before.alias("before"), starts.alias("start"))
+    prefix = F.octet_length(F.regexp_extract("text", r"^(\[[^\]\n]+\] )", 1)).alias("__prefix")
     others = [c for c in df.columns if c not in ("__cores", "text", "token_count", "byte_offset")]
     keep = [F.col(f"`{c}`") for c in others]
-    df = df.select(*keep, "text", "byte_offset", F.size("__cores").alias("n_pieces"), F.explode(made).alias("__p"))
-    tail = F.when(F.col("__p.piece") == 0, F.lit("")).otherwise(
+    df = df.select(*keep, prefix, "byte_offset", F.size("__cores").alias("n_pieces"), F.posexplode(made).alias("piece", "__p"))
+    tail = F.when(F.col("piece") == 0, F.lit("")).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(F.col("__p.before"), F.lit(rf"{_TOKEN}[{_B}]*+"), F.lit(0)), -overlap, overlap) if overlap else F.array().cast("array<string>"), "")
     )
     df = df.withColumn("__tail", tail).withColumn("__full", F.concat("__tail", F.col("__p.core")))
     lead = F.octet_length("__full") - F.octet_length(F.ltrim("__full", F.lit(BLANKS)))
-    prefix = F.octet_length(F.regexp_extract("text", r"^(\[[^\]\n]+\] )", 1))
     inside = F.col("__p.start") - F.octet_length("__tail") + lead
     return df.select(
         *keep,
-        F.col("__p.piece").alias("piece"),
+        "piece",
         "n_pieces",
-        (F.col("byte_offset") + F.greatest(inside - prefix, F.lit(0))).cast("bigint").alias("byte_offset"),
+        (F.col("byte_offset") + F.greatest(inside - F.col("__prefix"), F.lit(0))).cast("bigint").alias("byte_offset"),
         F.btrim("__full", F.lit(BLANKS)).alias("text"),
     ).withColumn("token_count", _count(F.col("text")))
