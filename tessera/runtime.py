@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in local tests, a temporary folder of this machine is set for the session.
+    Only in local mode, as in tests, a temporary folder of this machine is set where that is unset; on a cluster its
+    machines would not find each other's files there, so it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -46,9 +50,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_temporary: list[str] = []
+
+
+def _file_system(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when the session's JVM ends or by release."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, at)
+    fs.deleteOnExit(path)
+    _temporary.append(at)
+    return at
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables written so far; for callers who have their results. Returns how many there were."""
+    n = len(_temporary)
+    while _temporary:
+        fs, path = _file_system(spark, _temporary.pop())
+        fs.delete(path, True)
+    return n
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back; columns can be pruned then."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    at = temporary(spark, "tessera")
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)

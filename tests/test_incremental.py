@@ -62,7 +62,7 @@ def test_runs_survive_failures(spark, tmp_path):
     assert seen == [[("a", 2), ("b", 1)], [("b", 3), ("c", 1)]]
     assert rows(target.read(), "k", "v") == [("a", 2), ("b", 3), ("c", 1)] and rows(target.read(1), "k", "v") == [("a", 2), ("b", 1)]
     with pytest.raises(RuntimeError):
-        target.publish(src, 1)  # another run was first
+        target.publish(src, 1, ["k"])  # another run was first
     assert target.version() == 2
 
 
@@ -76,3 +76,40 @@ def test_stream(spark, tmp_path):
     assert rows(out.read(), "k", "v") == [("a", 2), ("b", 1)] and out.version() == 2
     upsert_stream(*args)
     assert out.version() == 2
+
+
+def test_parts(spark, tmp_path):
+    target = VersionedTarget(spark, str(tmp_path / "t"))
+    df = lambda *r: spark.createDataFrame(list(r), "k string, v int, body string")
+    first = df(*[(f"k{i}", 1, "x" * 50) for i in range(1000)])
+    run = lambda d: run_incremental(d, target, ["k"], "v", lambda x: x)
+    assert run(first) == 1 and run(df(("k1", 2, "y"), ("k2", 1, "late"), ("new", None, "n"))) == 2
+    assert rows(target.added(2), "k", "v") == [("k1", 2), ("new", None)]  # only the change is written
+    assert target.read().count() == 1001 and rows(target.read().where("k = 'k1'"), "v", "body") == [(2, "y")]
+    assert run(df(("new", None, "n"))) == 2 and run(df(("new", 1, "n"))) == 3
+    assert rows(target.read().where("k = 'new'"), "v") == [(1,)] and target.read(1).count() == 1000
+    assert target.compact() == 4 and target.read().count() == 1001
+    assert len(target.expire()) == 3 and target.versions() == [4] and target.read().count() == 1001
+
+
+def test_one_of_two_runs_wins(spark, tmp_path):
+    a, b = (VersionedTarget(spark, f"file://{tmp_path}/t") for _ in "ab")
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert a.publish(df, 0, ["k"]) == 1
+    with pytest.raises(RuntimeError, match="another run"):
+        b.publish(df, 0, ["k"])
+    assert b.read().count() == 1
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera import runtime
+
+    bare = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(bare("spark://host:7077"))
+    assert runtime.shared_dir(bare("local[4]")).startswith("file:")
+    runtime.release(spark)
+    runtime.written(spark.range(3))
+    assert runtime.release(spark) == 1
