@@ -86,7 +86,7 @@ def run_sync(argv: list[str]) -> int:
     if a.prune:
         issues.prune_markdown(made, a.output)
     state = sync.watermark(made).select("last_sync", F.lit(a.repo).alias("repo"), F.array(*map(F.lit, sync.kinds_of(a.include))).alias("include"), "item_count").first()
-    issues.write_manifest(sync.manifest(made, owner, repo, a.include), a.output)
+    issues.write_manifest(sync.manifest_header(made, owner, repo, a.include), sync.manifest_lines(made), a.output)
     issues.write_state(state, a.output)
     return 0
 

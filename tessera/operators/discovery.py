@@ -78,14 +78,15 @@ def cochanges(commits: DataFrame, paths: DataFrame, limit: int = COCHANGE_LIMIT,
     return counts.orderBy(F.desc("n"), "path").limit(limit).where(F.col("n") >= least)
 
 
-def discover(files: DataFrame, scored: DataFrame, query: str, commits: DataFrame | None = None, most: int = MAX_EXTRAS) -> DataFrame:
-    """Up to most further files (path, content), in path order: those whose stem a type or import of the best scored
-    files names, whose stem contains a synonym, or that often change with the best. files is (path, content)."""
+def related_paths(files: DataFrame, scored: DataFrame, query: str, commits: DataFrame | None = None, most: int = MAX_EXTRAS) -> list[str]:
+    """Up to most further paths, in order: those whose stem a type or import of the best scored files names, whose stem
+    contains a synonym, or that often change with the best. files is (path, length); scored bounds what it is compared
+    with, and has its contents."""
     top = scored.where(F.col("file_rank") < DISCOVERY_SOURCES)
     long = lambda df, n: df.where(F.octet_length("name") >= n).select(F.lower("name").alias("stem"))
     terms = long(type_names(top), 10).unionByName(long(imports(top), 8)).distinct()
-    rest = files.join(scored.select("path"), "path", "left_anti").withColumn("stem", F.lower(T.file_stem(F.col("path"))))
-    rest = rest.where((F.octet_length("stem") >= 4) & F.octet_length("content").between(1, MAX_FILE_BYTES))
+    rest = files.select("path", "length").join(scored.select("path"), "path", "left_anti").withColumn("stem", F.lower(T.file_stem(F.col("path"))))
+    rest = rest.where((F.octet_length("stem") >= 4) & F.col("length").between(1, MAX_FILE_BYTES))
     named = rest.join(terms.withColumn("named", F.lit(True)), "stem", "left")
     hit = F.col("named").isNotNull()
     for s in query_synonyms(query):
@@ -94,4 +95,10 @@ def discover(files: DataFrame, scored: DataFrame, query: str, commits: DataFrame
         best = scored.where(F.col("file_rank") < COCHANGE_SOURCES).select("path")
         for row in cochanges(commits, best).collect():  # COCHANGE_LIMIT rows at most
             hit = hit | F.endswith(F.replace("path", F.lit("\\"), F.lit("/")), F.lit(row["path"]))
-    return named.where(hit).select("path", "content").orderBy("path").limit(most)
+    return [r["path"] for r in named.where(hit).select("path").orderBy("path").limit(most).collect()]
+
+
+def discover(files: DataFrame, scored: DataFrame, query: str, commits: DataFrame | None = None, most: int = MAX_EXTRAS) -> DataFrame:
+    """The related files (path, content), in path order. files is (path, content)."""
+    found = related_paths(files.withColumn("length", F.octet_length("content").cast("bigint")), scored, query, commits, most)
+    return files.where(F.col("path").isin(found)).select("path", "content").orderBy("path")

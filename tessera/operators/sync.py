@@ -45,9 +45,9 @@ def effective_since(saved: str | None, given: str | None = None, force: bool = F
     return None if force else saved if given in (None, "last") else given
 
 
-def first_items(issues: DataFrame, limit: int | None) -> DataFrame:
+def first_items(issues: DataFrame, limit: int | None, key: list[str] = ["number"]) -> DataFrame:
     """The first in the order of updates."""
-    return issues if limit is None else issues.orderBy("updated_at", "number").limit(limit)
+    return issues if limit is None else issues.orderBy("updated_at", *key).limit(limit)
 
 
 def latest_items(issues: DataFrame, key: list[str] = ["number"], version: str = "updated_at", tie: str | None = None) -> DataFrame:
@@ -115,15 +115,18 @@ def rendered(issues: DataFrame, comments: DataFrame, key: list[str], mode: str =
     return df.select(*key, kind(F.col("pull_request")).alias("kind"), item_path().alias("path"), "updated_at", markdown().alias("markdown"))
 
 
-def manifest(items: DataFrame, owner: str, repo: str, include: str = "issues,prs") -> DataFrame:
-    """One row: what this run wrote. items is (number, kind, path, updated_at) of one repository."""
-    entry = F.struct("updated_at", "number", "kind", "path")
-    files = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["number"].alias("number"), x["kind"].alias("kind"), x["path"].alias("path"), x["updated_at"].alias("updated_at")))
-    return items.agg(F.max("updated_at").alias("synced_at"), files.alias("files")).select(
-        F.lit(1).alias("version"), F.lit("github").alias("source_type"), F.lit(owner).alias("owner"), F.lit(repo).alias("repo"), F.array(*map(F.lit, kinds_of(include))).alias("included_kinds"), "synced_at", "files"
+def manifest_header(items: DataFrame, owner: str, repo: str, include: str = "issues,prs") -> DataFrame:
+    """One row: what a manifest says of a run as a whole. items is (number, kind, path, updated_at) of one repository."""
+    return items.agg(F.max("updated_at").alias("synced_at")).select(
+        F.lit(1).alias("version"), F.lit("github").alias("source_type"), F.lit(owner).alias("owner"), F.lit(repo).alias("repo"), F.array(*map(F.lit, kinds_of(include))).alias("included_kinds"), "synced_at"
     )
 
 
+def manifest_lines(items: DataFrame) -> DataFrame:
+    """items with line, the JSON of each one's entry; in no order, so that no repository is gathered in one row."""
+    return items.withColumn("line", F.to_json(F.struct("number", "kind", "path", "updated_at"), {"ignoreNullFields": "false"}))
+
+
 def manifest_summary(items: DataFrame) -> DataFrame:
     """Per repository: entries, latest update and kinds; counts only, so no repository is gathered in one task."""
     return items.groupBy("repo").agg(

@@ -3,6 +3,7 @@
 from tessera.operators.discovery import SYNONYMS
 from tessera.operators.files import DENIED
 from tessera.queries import WORDS
+from tessera.spec import MIN_TOKENS
 
 WS = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 DOC = "select doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id || '.md' as path, strlen(text) as length, text as content from documents where text is not null"
@@ -70,6 +71,7 @@ _TWO = f"""{_bm25("select doc_id as chunk_id, text from documents where text is
 l as (select chunk_id, row_number() over (order by score desc, chunk_id) - 1 as rank from (select * from b order by score desc, chunk_id limit 100)),
 ns as (select vec_id as chunk_id, {_DOT} as score from embeddings order by score desc, chunk_id limit 100),
 """
+_NEAREST = """r as (select *, row_number() over (partition by query order by score desc, chunk_id) - 1 as rank from s) select query, chunk_id, rank, round(score, 4) as score from r where rank < 10"""
 _RRF = """v as (select chunk_id, score, row_number() over (order by score desc, chunk_id) - 1 as rank from ns),
 miss as (select (select count(*) from l) + (select count(*) from v) as m),
 f as (select coalesce(l.chunk_id, v.chunk_id) as chunk_id, coalesce(l.rank, m) as r1, coalesce(v.rank, m) as r2, l.rank as bm25_rank, v.rank as neural_rank
@@ -103,6 +105,39 @@ _EXT = lambda p: f"regexp_extract({p}, '[^/\\\\]\\.([^./\\\\]*)$', 1)"  # noqa:
 _SHORT = lambda p: f"""case when regexp_matches(replace({p}, '\\', '/'), 'sources/github/[^/]*/[^/]*/[^/]*/') then regexp_replace(regexp_replace(regexp_replace(replace({p}, '\\', '/'),
   '^.*?sources/github/([^/]*)/([^/]*)/prs/(.*)$', 'github:\\1/\\2 PR#\\3'), '^.*?sources/github/([^/]*)/([^/]*)/[^/]*/(.*)$', 'github:\\1/\\2#\\3'), '\\.md$', '') else {p} end"""
 
+_DUE = f"""
+with src as (select lower(repo) as k, min(repo) as repo, number, max({_millis('updated_at')}) as v from gh_issue where repo is not null and number is not null group by lower(repo), number),
+tgt as (select lower(repo) as k, number, max({_millis('updated_at')}) as v from manifest_entry where updated_at is not null group by lower(repo), number)
+"""
+#: Paragraphs of documents: a walk over the lines that carries the tokens gathered and the number of closed paragraphs.
+_PROSE = f"""
+with recursive docs as ({DOC}),
+split as (select path, content, string_split(content, chr(10)) as raw from docs),
+lines as (select path, unnest(range(1, len(raw) + 1)) as i, rtrim(unnest(raw), chr(13)) as line, len(raw) as n_lines, ends_with(content, chr(10)) as closed from split),
+kept as (select path, i, line, {_TRIM('line')} = '' as blank, starts_with(line, '#') as head, {COUNT('line')} as n from lines where not (closed and i = n_lines)),
+walk as (
+  select path, 0 as i, 0 as chunk, cast(null as integer) as part, cast(0 as bigint) as t, true as fresh from docs
+  union all
+  select path, i, case when t2 >= 512 then chunk2 + 1 else chunk2 end, case when skip then null else chunk2 end, case when t2 >= 512 then 0 else t2 end, t2 >= 512 or skip and fresh2 from (
+    select *, blank and fresh2 as skip, case when blank and fresh2 then t1 else t1 + n end as t2 from (
+      select k.path, k.i, k.blank, k.n, case when cut then w.chunk + 1 else w.chunk end as chunk2, case when cut then 0 else w.t end as t1, cut or w.fresh as fresh2
+      from (select w.*, k.i as ki, (k.head or k.blank) and w.t >= {MIN_TOKENS} as cut from walk w join kept k on k.path = w.path and k.i = w.i + 1) w join kept k on k.path = w.path and k.i = w.ki))
+),
+parts as (select w.path, w.part, {_TRIM("string_agg(k.line, chr(10) order by k.i)")} as text, sum(k.n) as n, min_by(k.line, k.i) as first_line from walk w join kept k using (path, i) where w.part is not null group by w.path, w.part),
+tops as (select *, row_number() over (partition by path order by part desc) = 1 as last, row_number() over (partition by path order by part) as part_no from parts where text <> ''),
+joined as (select *, last and n < {MIN_TOKENS} and part_no > 1 as tail, lead(case when last and n < {MIN_TOKENS} and part_no > 1 then text end) over w as more, lead(case when last and n < {MIN_TOKENS} and part_no > 1 then n end) over w as n_more from tops window w as (partition by path order by part)),
+placed as (select j.*, strpos(content, first_line) as pos, content from joined j join docs using (path) where not tail)
+select path, part_no - 1 as ordinal, strlen(content[1:pos - 1]) as byte_offset, len(string_split(content[1:pos - 1], chr(10))) as line_number,
+  case when more is null then text else text || chr(10) || more end as text, cast(n + coalesce(n_more, 0) as integer) as token_count from placed"""
+
+_HYBRID = f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)}, {_candidates(WORDS, 50)},
+{_bm25('select chunk_id, text from cand join numbered using (chunk_id)', 'chunk_id', WORDS, 'c')},
+l as (select chunk_id, row_number() over (order by score desc, chunk_id) - 1 as rank from c),
+ns as (select chunk_id, {_DOT} as score from cand join numbered using (chunk_id) join embeddings on vec_id = doc_id order by score desc, chunk_id limit 30),
+{_RRF.format(top=20)}, {_RESTORED},
+r as (select numbered.*, restored.score, restored.rank from restored join numbered using (chunk_id)), {_DEDUP.format(src='r')}
+select rank, round(score, 4) as score, chunk_id, file_path, byte_offset, line_number, text, token_count from kept order by rank limit 10"""
+
 ORACLE = {
     "file_scan_filter": f"""select chunk_id, file_path as path, strlen(text) as length from chunks
 where strlen(text) between 1 and 2000000 and lower({_EXT('file_path')}) not in ({', '.join(f"'{x}'" for x in DENIED)})""",
@@ -113,7 +148,7 @@ select '/data/sources/github/' || repo || '/' || path from manifest_entry where
     "line_numbers": f"""select doc_id, strlen(p) as byte_offset, len(string_split(p, chr(10))) as line from (
 select doc_id, substr(content, 1, strpos(content, 'cache') - 1) as p from ({DOC}) where contains(content, 'cache'))""",
     "run_statistics": f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)}, {_candidates(WORDS, 50)}
-select 'files' as what, count(*) as n from ({DOC}) union all select 'scored', count(*) from ({_scored(WORDS)}) union all select 'chunks', count(*) from numbered union all select 'embedded', count(*) from cand""",
+select 'seen' as what, count(*) as n from ({DOC}) union all select 'scored', count(*) from ({_scored(WORDS)}) union all select 'chunks', count(*) from numbered union all select 'embedded', count(*) from cand""",
     "comments_joined": f"""select i.repo, i.number, case when body is null or c.n is null then 0 else c.n end as n_comments, case when body is null then null else c.last end as last_comment
 from ({_LATEST}) i left join (select repo, number, count(*) as n, max(created_at) as last from gh_comment group by repo, number) c on i.repo = c.repo and i.number = c.number""",
     "titles_truncated": "select row_id, substr(title, 1, 50) as title from gh_issue",
@@ -128,6 +163,7 @@ from (select row_id, list_transform(list_filter(regexp_extract_all(title, '[{WOR
     "synonyms": f"""with t as ({_SYN}), q as (select row_id, lower(body) as q from gh_issue),
 hit as (select row_id, q, unnest(words) as synonym from q, t where len(list_filter(triggers, lambda x: contains(q, x))) > 0)
 select distinct row_id, synonym from hit where not contains(q, synonym)""",
+    "prose_chunks": _PROSE,
     "naive_chunks": f"select path, ordinal, byte_offset, line_number, text, token_count from ({_windows(DOC, 512, 410)})",
     "naive_chunks_small": f"select path, ordinal, byte_offset, line_number, token_count, md5(text) as text_md5 from ({_windows(DOC, 40, 8)})",
     "doc_length": f"select doc_id, {COUNT('content')} as dl from ({DOC})",
@@ -142,8 +178,11 @@ select n, {', '.join(f'df_{w}' for w in WORDS)}, {', '.join(f'round({IDF("n", f"
     "bm25_rerank": f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)}, {_candidates(WORDS, 50)},
 {_bm25('select chunk_id, text from cand join numbered using (chunk_id)', 'chunk_id', WORDS, 'c')} select chunk_id, round(score, 4) as score from c""",
     "cosine_topk": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_DOT} as score from embeddings order by score desc, chunk_id limit 20)",
-    "cosine_threshold": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_DOT} as score from embeddings order by score desc, chunk_id) where score >= 0.25 order by score desc, chunk_id limit 1000",
-    "sign_bits": "select vec_id as chunk_id, (len(embedding) + 63) // 64 as n_words, len(list_filter(embedding[1:64], lambda x: x > 0)) as n_set from embeddings",
+    "cosine_threshold": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_DOT} as score from embeddings) where score >= 0.25",
+    "cosine_query_set": f"with s as (select q.vec_id as query, e.vec_id as chunk_id, round(list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])), 12) as score from embeddings e, embeddings q where q.vec_id % 100 = 0), {_NEAREST}",
+    "hamming_query_set": f"with s as (select q.vec_id as query, e.vec_id as chunk_id, 1 - 2 * len(list_filter(range(1, 65), lambda i: (e.embedding[i] > 0) <> (q.embedding[i] > 0))) / 64.0 as score from embeddings e, embeddings q where q.vec_id % 100 = 0), {_NEAREST}",
+    "sign_bits": """select vec_id as chunk_id, (len(embedding) + 63) // 64 as n_words, cast(case when w >= 9223372036854775808 then w - 18446744073709551616 else w end as bigint) as word
+from (select vec_id, embedding, list_sum(list_transform(range(1, 65), lambda i: case when embedding[i] > 0 then cast(power(cast(2 as double), i - 1) as hugeint) else 0 end)) as w from embeddings)""",
     "hamming_topk": f"select chunk_id, round(score, 4) as score from (select vec_id as chunk_id, {_HAM} as score from embeddings, (select embedding as q from embeddings where vec_id = 0) order by score desc, chunk_id limit 20)",
     "l2_norm": "select vec_id as chunk_id, round(2 * sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))), 4) as norm, cast(1 as double) as unit from embeddings",
     "mean_pooling": """select vec_id as chunk_id, j - 1 as dim, round((e[8 + j] + e[24 + j] + e[40 + j] + e[56 + j]) / 4, 5) as v
@@ -153,13 +192,10 @@ from (select vec_id, cast(embedding as double[]) as e, unnest(range(1, 9)) as j
     "dedup_overlap": f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)},
 r as (select numbered.*, row_number() over (order by score desc, chunk_id) - 1 as rank from (select * from b order by score desc, chunk_id limit 300) join numbered using (chunk_id)),
 {_DEDUP.format(src='r')} select chunk_id, file_path, rank from kept""",
-    "hybrid_search": f"""with {_CHUNKS}, {_bm25('select chunk_id, text from numbered', 'chunk_id', WORDS)}, {_candidates(WORDS, 50)},
-{_bm25('select chunk_id, text from cand join numbered using (chunk_id)', 'chunk_id', WORDS, 'c')},
-l as (select chunk_id, row_number() over (order by score desc, chunk_id) - 1 as rank from c),
-ns as (select chunk_id, {_DOT} as score from cand join numbered using (chunk_id) join embeddings on vec_id = doc_id order by score desc, chunk_id limit 30),
-{_RRF.format(top=20)}, {_RESTORED},
-r as (select numbered.*, restored.score, restored.rank from restored join numbered using (chunk_id)), {_DEDUP.format(src='r')}
-select rank, round(score, 4) as score, chunk_id, file_path, byte_offset, line_number, text, token_count from kept order by rank limit 10""",
+    "hybrid_search": _HYBRID,
+    "json_output": f"""with shown as ({_HYBRID}) select '[ ' || string_agg('{{' || chr(10) || array_to_string(['  "' || f[1] || '" : ' || f[2] for f in [
+  ['score', cast(score as varchar)], ['file_path', cast(to_json(file_path) as varchar)], ['byte_offset', cast(byte_offset as varchar)], ['line_number', cast(line_number as varchar)], ['text', cast(to_json(text) as varchar)], ['token_count', cast(token_count as varchar)]] if f[2] is not null], ',' || chr(10)) || chr(10) || '}}', ', ' order by rank) || ' ]' as json
+from shown having count(*) > 0""",
     "discovery_union": rf"""with every as (select 'f/' || doc_id || '/' || coalesce(nullif(regexp_extract(text, '[A-Z][a-z]+[A-Z][a-z]+'), ''), 'none') || '.md' as path, strlen(text) as length, text as content from documents where text is not null),
 scored as (select *, row_number() over (order by score desc, path) - 1 as file_rank from (select * from (select *, {_score('content', ['cache', 'limit'])} as score from every) where score > 0 order by score desc, path limit 200)),
 names as (select unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+')) as name from scored where file_rank < 30),
@@ -198,6 +234,8 @@ select path, n from n where n >= 2""",
 from ({_LATEST}) i left join ({_COMMENTS}) c on i.repo = c.repo and i.number = c.number""",
     "render_without_comments": f"select repo, number, md5({_MARKDOWN}) as md5 from ({_LATEST})",
     "manifest": "select repo, count(*) as n_files, max(updated_at) as synced_at, count(*) filter (where kind = 'prs') as n_prs, count(*) filter (where kind = 'issues') as n_issues from manifest_entry group by repo",
+    "manifest_lines": r"""select repo, '{"number":' || number || ',"kind":' || coalesce(to_json(kind), 'null') || ',"path":' || coalesce(to_json(path), 'null') || ',"updated_at":' || coalesce(to_json(updated_at), 'null') || '}' as line from manifest_entry""",
+    "manifest_header": "select 1 as version, 'github' as source_type, 'o' as owner, 'r' as repo, 'prs,issues' as included_kinds, max(updated_at) as synced_at from manifest_entry",
     "shorten_path": f"""select distinct p as full_path, {_SHORT('p')} as shown from (select case when number % 2 = 0 then '/home/u/sources/github/' else 'C:\\u\\sources\\github\\' end || repo || '/' || path as p from manifest_entry)""",
     "parse_repo_url": f"""select row_id, url, nullif(regexp_extract(r, '^([^/]+)/(.+)$', 1), '') as owner, nullif(regexp_extract(r, '^([^/]+)/(.+)$', 2), '') as name from (
 select row_id, url, rtrim(regexp_replace(regexp_extract(url, '^(git@github\\.com:|https?://github\\.com/|ssh://git@github\\.com/)(.*)$', 2), '(\\.git)+$', ''), '/') as r from (select row_id, {_URL} as url from gh_issue))""",
@@ -205,16 +243,15 @@ select row_id, url, rtrim(regexp_replace(regexp_extract(url, '^(git@github\\.com
     "preview": r"""with l as (select chunk_id, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') as l from chunks)
 select chunk_id, array_to_string(list_transform(l[1:3], lambda x: case when strlen(x) > 120 then substr(x, 1, 117) || '...' else x end)
   || case when len(l) > 3 then ['... (' || (len(l) - 3) || ' more lines)'] else [] end, chr(10)) as shown from l""",
-    "result_lines": f"select distinct query_id, engine, chunk_id, printf('%.4f', cast(score as double)) || '  ' || {_SHORT('file_path')} || ':' || line_number as shown from display_result where text is not null",
-    "p6_found": f"""
-with src as (select lower(repo) as k, min(repo) as repo, number, max({_millis('updated_at')}) as v from gh_issue where repo is not null and number is not null group by lower(repo), number),
-tgt as (select lower(repo) as k, number, max({_millis('updated_at')}) as v from manifest_entry where updated_at is not null group by lower(repo), number)
-select src.repo, src.number from src left join tgt on src.k = tgt.k and src.number = tgt.number where tgt.v is null or src.v > tgt.v""",
-    "p6_pending": f"""
-with src as (select lower(repo) as k, min(repo) as repo, number, max({_millis('updated_at')}) as v from gh_issue where repo is not null and number is not null group by lower(repo), number),
-tgt as (select lower(repo) as k, number, max({_millis('updated_at')}) as v from manifest_entry where updated_at is not null group by lower(repo), number)
-select src.repo, src.number, src.v as version_ms, tgt.v as rendered_ms, case when tgt.v is null then 'new' else 'changed' end as reason
+    "result_lines": rf"""with l as (select *, string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n') as l from display_result where text is not null)
+select distinct query_id || '/' || coalesce(engine || '/', '') || chunk_id || '/' || cast(score as double) as rank, printf('%.4f', cast(score as double)) || '  ' || {_SHORT('file_path')} || ':' || line_number || chr(10)
+  || array_to_string(list_transform(list_transform(l[1:3], lambda x: case when strlen(x) > 120 then substr(x, 1, 117) || '...' else x end)
+  || case when len(l) > 3 then ['... (' || (len(l) - 3) || ' more lines)'] else [] end, lambda x: '  ' || x), chr(10)) as shown from l""",
+    "p6_found": _DUE + "select src.repo, src.number from src left join tgt on src.k = tgt.k and src.number = tgt.number where tgt.v is null or src.v > tgt.v",
+    "p6_pending": _DUE
+    + """select src.repo, src.number, src.v as version_ms, tgt.v as rendered_ms, case when tgt.v is null then 'new' else 'changed' end as reason
 from src left join tgt on src.k = tgt.k and src.number = tgt.number where tgt.v is null or src.v > tgt.v""",
+    "p6_published": _DUE + "select 1 as run, src.repo, src.number, src.v as version_ms from src left join tgt on src.k = tgt.k and src.number = tgt.number where tgt.v is null or src.v > tgt.v",
     "p6_watermarks": f"""
 with s as (select lower(repo) as repo, {_millis('last_sync')} as ms, saved_at from sync_state where regexp_matches(last_sync, '^[0-9]{{4}}-') and repo is not null)
 select repo, max_by(ms, (saved_at, ms)) as last_sync_ms from s group by repo""",

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, discovery, files, fusion, lexical, sync, vector
-from tessera.operators.incremental import pending_items, saved_watermarks
+from tessera.operators.incremental import VersionedTarget, item_versions, pending_items, rendered_versions, run_incremental, saved_watermarks
 from tessera.plans.search import SearchEngine, number_chunks, rank_chunks
-from tessera.runtime import table
+from tessera.runtime import table, temporary
 from tessera.schemas import GH_ISSUE
 from tessera.sources import results
 from tessera.sources.files import with_synced
 from tessera.spec import SearchSpec
+from tessera.spec import candidate_budget as spec_budget
 
 QUERIES: dict = {}
 WORDS = ["cache", "limit", "window"]
@@ -103,13 +104,12 @@ def line_numbers(spark, d):
 
 @query
 def run_statistics(spark, d):
-    """What a search reports: files seen, files scored, chunks made and chunks let through."""
-    seen = _files(spark, d)
-    scored = files.score_files(seen, WORDS)
-    chunks = _doc_chunks(spark, d)
-    found = lexical.candidates(chunks, WORDS, WORDS, 50)
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
-    return one(seen, "files").unionByName(one(scored, "scored")).unionByName(one(chunks, "chunks")).unionByName(one(found, "embedded"))
+    """What a search reports of itself: files seen, files scored, chunks made and chunks let through. The files bear the
+    extension of no language, so that the sliding window cuts them."""
+    seen = _files(spark, d).select(F.regexp_replace("path", r"\.md$", ".log").alias("path"), "length", "content")
+    engine = SearchEngine(spark)
+    engine.search(seen, SearchSpec("cache limit window", chunk_size=64, top=10))
+    return spark.createDataFrame([(k, int(engine.stats[k])) for k in ("seen", "scored", "chunks", "embedded")], "what string, n bigint")
 
 
 # queries
@@ -123,7 +123,7 @@ def query_terms(spark, d):
 @query
 def candidate_budget(spark, d):
     n = F.size(T.words(F.col("title")))
-    budget = F.least(F.when(n <= 2, 3).when(n <= 4, 5).otherwise(8) * 10, F.lit(150))
+    budget = F.get(F.array(*[F.lit(spec_budget(i, 10)) for i in range(6)]), F.least(n, F.lit(5)))  # from five terms on it is the same
     return table(spark, d, "gh_issue").where(F.col("title").isNotNull()).select("row_id", n.alias("n_terms"), budget.alias("budget"))
 
 
@@ -182,10 +182,9 @@ def term_freq(spark, d):
 
 @query
 def doc_freq(spark, d):
-    hits = [F.count_if(T.term_frequency(F.col("content"), w) > 0).alias(f"df_{w}") for w in WORDS]
-    counted = _files(spark, d).agg(F.count(F.lit(1)).alias("n"), *hits)
-    idf = lambda w: F.when(F.col(f"df_{w}") == 0, 0.0).otherwise(F.log((F.col("n") - F.col(f"df_{w}") + 0.5) / (F.col(f"df_{w}") + 0.5) + 1))
-    return counted.select("n", *[f"df_{w}" for w in WORDS], *[F.round(idf(w), 6).alias(f"idf_{w}") for w in WORDS])
+    stats = lexical.corpus_stats(_files(spark, d).select(F.col("content").alias("text")), WORDS)
+    row = (stats.n, *[stats.df[w] for w in WORDS], *[round(stats.idf(w), 6) for w in WORDS])
+    return spark.createDataFrame([row], ", ".join(["n bigint", *[f"df_{w} bigint" for w in WORDS], *[f"idf_{w} double" for w in WORDS]]))
 
 
 @query
@@ -203,7 +202,7 @@ def bm25_repeated_terms(spark, d):
 def _doc_chunks(spark, d, size=64):
     """Sliding windows of the best files by keyword, numbered."""
     scored = files.score_files(_files(spark, d), WORDS)
-    return number_chunks(chunking.sliding_window(scored, size))
+    return number_chunks(chunking.sliding_window(scored, size))[0]
 
 
 @query
@@ -233,13 +232,28 @@ def cosine_topk(spark, d):
 
 @query
 def cosine_threshold(spark, d):
-    return vector.cosine_topk(_vectors(spark, d), _vector(spark, d), 1000, 0.25).select("chunk_id", F.round("score", 4).alias("score"))
+    return vector.cosine_topk(_vectors(spark, d), _vector(spark, d), None, 0.25).select("chunk_id", F.round("score", 4).alias("score"))
+
+
+@query
+def cosine_query_set(spark, d):
+    """Every vector whose id is divisible by 100 against all vectors."""
+    v = _vectors(spark, d)
+    found = vector.query_set_topk(v, v.where(F.col("chunk_id") % 100 == 0), 10)
+    return found.select("query", F.col("key").alias("chunk_id"), "rank", F.round("score", 4).alias("score"))
+
+
+@query
+def hamming_query_set(spark, d):
+    v = _vectors(spark, d)
+    found = vector.query_set_topk(v, v.where(F.col("chunk_id") % 100 == 0), 10, signs=True)
+    return found.select("query", F.col("key").alias("chunk_id"), "rank", F.round("score", 4).alias("score"))
 
 
 @query
 def sign_bits(spark, d):
     words = V.sign_words(F.col("embedding"))
-    return _vectors(spark, d).select("chunk_id", F.size(words).alias("n_words"), F.bit_count(F.get(words, 0)).alias("n_set"))
+    return _vectors(spark, d).select("chunk_id", F.size(words).alias("n_words"), F.get(words, 0).alias("word"))
 
 
 @query
@@ -344,7 +358,8 @@ def discovery_union(spark, d):
     name = F.regexp_extract("content", "[A-Z][a-z]+[A-Z][a-z]+", 0)
     every = _files(spark, d).select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), F.lit("/"), F.when(name == "", F.lit("none")).otherwise(name), F.lit(".md")).alias("path"), "length", "content")
     scored = files.score_files(every, ["cache", "limit"])
-    return scored.select("path").unionByName(discovery.discover(every.select("path", "content"), scored, "caching of the walker").select("path"))
+    related = discovery.related_paths(every, scored, "caching of the walker")
+    return scored.select("path").unionByName(spark.createDataFrame([(p,) for p in related], "path string"))
 
 
 # items
@@ -373,7 +388,7 @@ def issues_filtered(spark, d):
 
 @query
 def issues_limited(spark, d):
-    return _latest(spark, d).where(F.col("updated_at").isNotNull()).orderBy("updated_at", "repo", "number").limit(100).select("repo", "number", "updated_at")
+    return sync.first_items(_latest(spark, d).where(F.col("updated_at").isNotNull()), 100, ["repo", "number"]).select("repo", "number", "updated_at")
 
 
 @query
@@ -428,6 +443,18 @@ def manifest(spark, d):
     return sync.manifest_summary(table(spark, d, "manifest_entry"))
 
 
+@query
+def manifest_lines(spark, d):
+    """The entries of the manifest file."""
+    return sync.manifest_lines(table(spark, d, "manifest_entry")).select("repo", "line")
+
+
+@query
+def manifest_header(spark, d):
+    head = sync.manifest_header(table(spark, d, "manifest_entry"), "o", "r", "prs, issues")
+    return head.withColumn("included_kinds", F.array_join("included_kinds", ","))
+
+
 @query
 def shorten_path(spark, d):
     root = F.when(F.col("number") % 2 == 0, "/home/u/sources/github/").otherwise("C:\\u\\sources\\github\\")
@@ -463,8 +490,9 @@ def preview(spark, d):
 
 @query
 def result_lines(spark, d):
-    shown = table(spark, d, "display_result").where(F.col("text").isNotNull()).select("query_id", "engine", "chunk_id", "score", "file_path", "line_number", "text", F.col("chunk_id").alias("rank"))
-    return shown.select("query_id", "engine", "chunk_id", F.concat(T.format_score(F.col("score")), F.lit("  "), T.shorten_path(F.col("file_path")), F.lit(":"), F.col("line_number").cast("string")).alias("shown")).distinct()
+    """The printed form of results; each stands for itself, under a rank of its own."""
+    shown = table(spark, d, "display_result").where(F.col("text").isNotNull())
+    return results.as_lines(shown.withColumn("rank", F.concat_ws("/", "query_id", "engine", "chunk_id", F.col("score").cast("double")))).select("rank", "shown").distinct()
 
 
 @query
@@ -491,15 +519,29 @@ def p6_watermarks(spark, d):
     return saved_watermarks(table(spark, d, "sync_state")).select("repo", "last_sync_ms")
 
 
+@query
+def p6_published(spark, d):
+    """Two runs over the same source into a published target that holds what the manifest says earlier runs wrote: the
+    items that each run did. The first does those that are due, the second none."""
+    target = VersionedTarget(spark, temporary(spark, "target"))
+    have = rendered_versions(table(spark, d, "manifest_entry")).withColumnRenamed("rendered_ms", "version_ms")
+    at = target.publish(have, 0, ["k", "number"])
+    source = item_versions(table(spark, d, "gh_issue"))
+    done = None
+    for run in (1, 2):
+        before, at = at, run_incremental(source, target, ["k", "number"], "version_ms", lambda items: items)
+        if at > before:
+            did = target.added(at).select(F.lit(run).alias("run"), "repo", "number", "version_ms")
+            done = did if done is None else done.unionByName(did)
+    return done if done is not None else spark.createDataFrame([], "run int, repo string, number bigint, version_ms bigint")
+
+
 @query
 def sync_stream(spark, d):
     """The issues as a stream of files, merged into a target in micro-batches: the latest version of each item."""
-    import uuid
-
-    from tessera.runtime import shared_dir
     from tessera.streaming.sync import upsert_stream
 
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = temporary(spark, "stream")
     issues = table(spark, d, "gh_issue").select("repo", "number", "updated_at", "row_id").withColumn("version", F.struct("updated_at", "row_id").cast("struct<updated_at: string, row_id: bigint>"))
     issues.where(F.col("updated_at").isNotNull()).write.parquet(f"{at}/source")
     target = upsert_stream(spark, f"{at}/source", spark.read.parquet(f"{at}/source").schema, f"{at}/target", f"{at}/checkpoint", ["repo", "number"], "version", fmt="parquet", files_per_batch=4)

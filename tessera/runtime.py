@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: A side is broadcast by hint only below this many bytes, estimated from a count of its rows.
 BROADCAST_BYTES = 8 << 20
@@ -82,3 +84,18 @@ def written(df: DataFrame) -> DataFrame:
     at = temporary(spark, "tessera")
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def observed(seen: Observation) -> int:
+    """The count that passed. A plan that is known to be empty passes nothing, and reports nothing."""
+    try:
+        return seen.get["n"]
+    except Py4JError:
+        return 0
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """written, and how many rows there were, counted as they passed."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, observed(seen)

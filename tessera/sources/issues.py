@@ -37,19 +37,31 @@ def write_markdown(rendered: DataFrame, root: str) -> None:
     rendered.select("path", "markdown").foreachPartition(write)
 
 
-def prune_markdown(rendered: DataFrame, root: str) -> list[str]:
-    """Remove the files of items that a new title has moved; returns them. Only for items in rendered."""
-    current = {r["path"] for r in rendered.select("path").toLocalIterator()}
-    numbers = {p.split("/")[0] + "/" + p.split("/")[1].split("-")[0] for p in current}
-    gone = []
+def prune_markdown(rendered: DataFrame, root: str, at_once: int = 10_000) -> list[str]:
+    """Remove the files of items that a new title has moved; returns them. Only for items in rendered, which are compared
+    with the names in the folder where they are, so many names at once."""
+    spark = rendered.sparkSession
+    current = rendered.select("path", F.split("path", "/")[0].alias("kind"), F.regexp_extract("path", r"/(\d+)-", 1).alias("number"))
+    items = current.select("kind", "number").distinct()
+    gone: list[str] = []
+
+    def compare(names: list[str]) -> None:
+        have = spark.createDataFrame([(n,) for n in names], "path string").select("path", F.split("path", "/")[0].alias("kind"), F.regexp_extract("path", r"/(\d+)-", 1).alias("number"))
+        for r in have.join(items, ["kind", "number"], "left_semi").join(current.select("path"), "path", "left_anti").select("path").collect():  # at_once rows at most
+            os.remove(os.path.join(root, r["path"]))
+            gone.append(r["path"])
+
     for kind in ("issues", "prs"):
-        folder = os.path.join(root, kind)
-        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-            p = f"{kind}/{name}"
-            if name.endswith(".md") and p not in current and f"{kind}/{name.split('-')[0]}" in numbers:
-                os.remove(os.path.join(root, p))
-                gone.append(p)
-    return gone
+        folder, names = os.path.join(root, kind), []
+        for e in os.scandir(folder) if os.path.isdir(folder) else []:
+            if e.name.endswith(".md"):
+                names.append(f"{kind}/{e.name}")
+            if len(names) == at_once:
+                compare(names)
+                names = []
+        if names:
+            compare(names)
+    return sorted(gone)
 
 
 def _write_json(value: dict, at: str) -> None:
@@ -74,5 +86,15 @@ def read_state(root: str) -> dict | None:
         return None
 
 
-def write_manifest(manifest: DataFrame, root: str) -> None:
-    _write_json(manifest.first().asDict(recursive=True), os.path.join(root, "manifest.json"))
+def write_manifest(header: DataFrame, lines: DataFrame, root: str) -> None:
+    """The manifest of a run as one JSON file, its entries (column line, in the order of updated_at and number) streamed
+    to it partition by partition."""
+    os.makedirs(root, exist_ok=True)
+    at = os.path.join(root, "manifest.json")
+    draft = f"{at}.{os.getpid()}.part"
+    with open(draft, "w", encoding="utf-8") as f:
+        f.write(json.dumps(header.first().asDict(recursive=True), indent=2, ensure_ascii=False)[:-2] + ',\n  "files": [')
+        for i, r in enumerate(lines.orderBy("updated_at", "number").select("line").toLocalIterator()):
+            f.write(("," if i else "") + "\n    " + r["line"])
+        f.write("\n  ]\n}")
+    os.replace(draft, at)
