@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import sync
+from tessera.operators import embed, sync
 from tessera.plans.search import SearchEngine
 from tessera.sources import files, git, issues, results
 from tessera.spec import SearchSpec, valid_query
@@ -34,25 +34,41 @@ def search(argv: list[str]) -> int:
     p.add_argument("--literal", action="append", default=[])
     p.add_argument("--fast", action="store_true")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--model", help="name of a model in ./models or in the data folder")
     p.add_argument("--model-dir")
+    p.add_argument("--data-dir", default=files.data_folder(), help="folder with models and synced items")
     a = p.parse_args(argv)
     if not valid_query(a.query):
-        print("the query needs a word of at least two characters", file=sys.stderr)
-        return 0
+        return _nothing("the query needs a word of at least two characters")
     for path in a.paths:
         if not os.path.exists(path):
             print(f"no such path: {path}", file=sys.stderr)
             return 1
+    model = embed.resolve_model(a.model, a.model_dir, a.data_dir)
     spark = _session()
     found = files.read_files(spark, a.paths, a.hidden, not a.no_gitignore, a.glob)
+    of = git.repository(".")
+    synced = files.synced_files(spark, *of, a.data_dir) if of else None
+    if synced is not None:
+        found = files.with_synced(found, synced, a.paths, a.glob)
     spec = SearchSpec(a.query, a.top, a.threshold, a.context, None, a.chunk_size, a.overlap, literals=tuple(a.literal), fast=a.fast)
-    engine = SearchEngine(spark, a.model_dir)
+    engine = SearchEngine(spark, model)
     shown = engine.search(found, spec, git.commits(spark, "."))
     print(engine.stats, file=sys.stderr)
-    if a.json:
-        print("".join(r["json"] for r in results.as_json(shown).collect()))
-    else:
-        print(results.as_text(shown, a.context))
+    if not engine.stats["seen"]:
+        return _nothing("no files found")
+    if not engine.stats["chunks"]:
+        return _nothing(f"no chunks produced from {engine.stats['scored']} files")
+    out = "".join(r["json"] for r in results.as_json(shown).collect()) if a.json else results.as_text(shown, a.context)
+    if not out:
+        return _nothing("no results" + (" above the threshold" if a.threshold is not None else ""))
+    print(out)
+    return 0
+
+
+def _nothing(why: str) -> int:
+    """Says on stderr why there is nothing on stdout, which is no failure."""
+    print(why, file=sys.stderr)
     return 0
 
 

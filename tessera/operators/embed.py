@@ -6,6 +6,7 @@ The hashed vectors are lexical: texts are near if they share words, not if they
 from __future__ import annotations
 
 import re
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,22 @@ class OnnxEmbedder:
 _loaded: dict[str, OnnxEmbedder] = {}
 
 
+DEFAULT_MODEL = "minilm-l6-v2"
+
+
+def resolve_model(model: str | None, model_dir: str | None, data: str) -> str | None:
+    """The folder of a model: the one given, else models/<model> here, else in the data folder. None, which stands for
+    hashed vectors, only if no model was asked for by name."""
+    if model_dir:
+        return model_dir
+    for folder in (os.path.join("models", model or DEFAULT_MODEL), os.path.join(data, "models", model or DEFAULT_MODEL)):
+        if os.path.exists(os.path.join(folder, "tokenizer.json")):
+            return folder
+    if model:
+        raise FileNotFoundError(f"model {model} is neither in ./models nor in {data}/models; give its folder with --model-dir")
+    return None
+
+
 def embedder(model_dir: str | None):
     if model_dir is None:
         return hashed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,24 +63,30 @@ class IgnoreRules:
 
 
 def list_files(root: str, hidden: bool = False, gitignore: bool = True, own_ignore: str = ".searchignore") -> list[str]:
-    """Regular files below root in path order. Dot names are skipped unless hidden; .gitignore and .git/info/exclude hold
-    unless gitignore is off; .ignore and own_ignore always hold. Links are not followed; unreadable folders are skipped."""
+    """Regular files below root in path order. Dot names are skipped unless hidden; .gitignore, .git/info/exclude and the
+    user's global ignore file hold unless gitignore is off; .ignore and own_ignore always hold. Rules of the folders
+    above root hold too, those of .gitignore up to the top of the repository. The nearest rule decides. Links are not
+    followed; unreadable folders are skipped."""
     if not os.path.exists(root):
         raise FileNotFoundError(root)
     if os.path.isfile(root):
         return [root]
     found: list[str] = []
 
-    def rules_in(folder: str) -> list[IgnoreRules]:
-        names = ([".git/info/exclude", ".gitignore"] if gitignore else []) + [".ignore", own_ignore]
-        texts = []
-        for n in names:
-            try:
-                with open(os.path.join(folder, n), encoding="utf-8", errors="replace") as f:
-                    texts.append(IgnoreRules(f.read()))
-            except OSError:
-                pass
-        return texts
+    def rules_in(folder: str, with_git: bool = gitignore) -> list[IgnoreRules]:
+        names = ([".git/info/exclude", ".gitignore"] if with_git else []) + [".ignore", own_ignore]
+        return [r for n in names if (r := _rules(os.path.join(folder, n)))]
+
+    def above() -> list[tuple[str, IgnoreRules]]:
+        folders = []
+        at = os.path.abspath(root)
+        while (up := os.path.dirname(at)) != at:
+            folders.append(up)
+            at = up
+        top = next((i for i, f in enumerate([os.path.abspath(root), *folders]) if os.path.exists(os.path.join(f, ".git"))), -1)
+        chain = [(f, r) for i, f in reversed(list(enumerate(folders))) for r in rules_in(f, gitignore and i < top)]
+        everywhere = _rules(_global_ignore_file()) if gitignore else None
+        return ([(([os.path.abspath(root), *folders])[max(top, 0)], everywhere)] if everywhere else []) + chain
 
     def visit(folder: str, chain: list[tuple[str, IgnoreRules]]) -> None:
         chain = chain + [(folder, r) for r in rules_in(folder)]
@@ -93,7 +100,7 @@ def list_files(root: str, hidden: bool = False, gitignore: bool = True, own_igno
             is_dir = e.is_dir(follow_symlinks=False)
             verdict = None
             for base, rules in chain:
-                v = rules.verdict(os.path.relpath(e.path, base).replace(os.sep, "/"), is_dir)
+                v = rules.verdict(os.path.relpath(os.path.abspath(e.path), os.path.abspath(base)).replace(os.sep, "/"), is_dir)
                 verdict = v if v is not None else verdict
             if verdict:
                 continue
@@ -102,10 +109,29 @@ def list_files(root: str, hidden: bool = False, gitignore: bool = True, own_igno
             elif e.is_file(follow_symlinks=False):
                 found.append(e.path)
 
-    visit(root, [])
+    visit(root, above())
     return sorted(found)
 
 
+def _rules(path: str) -> IgnoreRules | None:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return IgnoreRules(f.read())
+    except OSError:
+        return None
+
+
+def _global_ignore_file() -> str:
+    """What the user's version control ignores everywhere: core.excludesFile, else the file of that name by default."""
+    try:
+        run = subprocess.run(["git", "config", "--get", "--path", "core.excludesFile"], capture_output=True, text=True, timeout=10)
+        if run.returncode == 0 and run.stdout.strip():
+            return run.stdout.strip()
+    except (OSError, subprocess.TimeoutExpired):
+        pass
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
 def read_files(spark: SparkSession, roots: list[str], hidden: bool = False, gitignore: bool = True, glob: str | None = None) -> DataFrame:
     """(path, length, content) of the text files below the roots, each once though roots overlap. Denied extensions, empty
     and large files are dropped before any content is read, files that are not UTF-8 after."""
@@ -133,3 +159,14 @@ def with_synced(files: DataFrame, synced: DataFrame, roots: list[str], glob: str
     if glob or any("sources/github" in r.replace("\\", "/") for r in roots):
         return files
     return files.unionByName(synced.where(F.col("path").rlike(r"/(?:issues|prs)/[^/]*\.md$")))
+
+
+def data_folder() -> str:
+    """Where models and synced items of this user are kept."""
+    return os.path.join(os.environ.get("XDG_DATA_HOME") or os.path.expanduser("~/.local/share"), "tessera")
+
+
+def synced_files(spark: SparkSession, owner: str, repo: str, data: str | None = None) -> DataFrame | None:
+    """(path, length, content) of the Markdown synced for a repository, none if there is no such folder."""
+    root = os.path.join(data or data_folder(), "sources", "github", owner, repo)
+    return read_tree(spark, root, "*.md").withColumn("path", F.regexp_replace("path", r"^file:/+", "/")) if os.path.isdir(root) else None

@@ -56,6 +56,15 @@ def remote_of(listing: str) -> tuple[str, str] | None:
     return None
 
 
+def repository(folder: str) -> tuple[str, str] | None:
+    """Owner and repo of the folder's remote on the forge; none if there is none."""
+    try:
+        run = subprocess.run(["git", "-C", folder, "remote", "-v"], capture_output=True, text=True, errors="replace", timeout=10)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return remote_of(run.stdout) if run.returncode == 0 else None
+
+
 def repo_argument(text: str) -> tuple[str, str]:
     owner, _, repo = text.partition("/")
     if not owner or not repo:

@@ -120,3 +120,60 @@ def test_synced_files_are_included(spark):
     mine, synced = spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("/d/sources/github/o/r/issues/1-x.md",), ("/d/sources/github/o/r/issues/sub/2.md",)], "path string")
     assert rows(files.with_synced(mine, synced, ["."]), "path") == [("/d/sources/github/o/r/issues/1-x.md",), ("a",)]
     assert files.with_synced(mine, synced, ["."], glob="*.md").count() == 1 == files.with_synced(mine, synced, ["/d/sources/github/o/r"]).count()
+
+
+def test_rules_from_above(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", "/dev/null")
+    (tmp_path / "config" / "git").mkdir(parents=True)
+    (tmp_path / "config" / "git" / "ignore").write_text("*.tmp\n")
+    repo = tmp_path / "outer" / "repo"
+    (repo / ".git").mkdir(parents=True)
+    (repo / "src" / "deep").mkdir(parents=True)
+    (tmp_path / "outer" / ".gitignore").write_text("*.py\n")  # above the repository: not its rules
+    (tmp_path / "outer" / ".ignore").write_text("*.bak\n")
+    (repo / ".gitignore").write_text("/src/gone.txt\n")
+    for n in ("a.py", "b.tmp", "c.bak", "gone.txt", "deep/gone.txt"):
+        (repo / "src" / n).write_text("x")
+    names = lambda **k: [os.path.relpath(p, repo / "src") for p in files.list_files(str(repo / "src"), **k)]
+    assert names() == ["a.py", "deep/gone.txt"]
+    assert names(gitignore=False) == ["a.py", "b.tmp", "deep/gone.txt", "gone.txt"]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from tessera import cli
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.md").write_text("# Cache\n\nThe cache holds a limit of many entries.\n")
+    item = tmp_path / "data" / "sources" / "github" / "o" / "r" / "issues"
+    item.mkdir(parents=True)
+    (item / "7-cache.md").write_text("# Issue #7: cache\n\nThe cache is too small for this, and the limit is hit.\n")
+    (item / "note.txt").write_text("cache cache cache")
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    monkeypatch.setattr(cli.git, "repository", lambda _: ("o", "r"))
+    run = lambda *a: (cli.main([*a, "--data-dir", str(tmp_path / "data")]), *capsys.readouterr())
+    code, out, err = run("cache limit", str(src))
+    assert code == 0 and "a.md:1" in out and "github:o/r#7-cache" in out and "note.txt" not in out
+    assert "github:" not in run("cache limit", str(src), "-g", "*.md")[1]
+    assert run("x", str(src))[1] == "" and run("zzzzzz", str(src), "--json")[1] == ""
+    (tmp_path / "none").mkdir()
+    code, out, err = run("cache", str(tmp_path / "none"), "-g", "*.rs")
+    assert code == 0 and out == "" and "no files found" in err
+    assert run("cache", str(tmp_path / "missing"))[0] == 1
+    with pytest.raises(FileNotFoundError):
+        run("cache", str(src), "--model", "other")
+
+
+def test_model_folder(tmp_path, monkeypatch):
+    from tessera.operators.embed import resolve_model
+
+    monkeypatch.chdir(tmp_path)
+    assert resolve_model(None, None, "data") is None and resolve_model(None, "d", "data") == "d"
+    at = tmp_path / "data" / "models" / "m"
+    at.mkdir(parents=True)
+    (at / "tokenizer.json").write_text("{}")
+    assert resolve_model("m", None, "data") == os.path.join("data", "models", "m")
+    (tmp_path / "models" / "m").mkdir(parents=True)
+    (tmp_path / "models" / "m" / "tokenizer.json").write_text("{}")
+    assert resolve_model("m", None, "data") == os.path.join("models", "m")
