@@ -111,31 +111,36 @@ def prose_rows(content: str, least: int = MIN_TOKENS, most: int = CHUNK_SIZE, ex
     return [tuple(r) for r in rows]
 
 
-# What begins a definition at the start of a statement, by language: the node kinds of the usual grammars.
+# What begins a definition at the start of a statement, by language: the node kinds of the usual grammars. What stands
+# before such a node and is none of it (template heads, typedef, storage classes before a struct) is skipped.
 _HEADS = {
     "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:default\s+)?(?:async\s+|unsafe\s+|const\s+|extern\s+\"[^\"]*\"\s+)*(?:fn|impl|struct|enum|trait|mod)\b|macro_rules!",
-    "javascript": r"export\b|(?:async\s+)?function\b|class\b",
-    "typescript": r"export\b|(?:declare\s+)?(?:abstract\s+)?class\b|(?:declare\s+)?(?:async\s+)?function\b|interface\b|(?:declare\s+)?(?:const\s+)?enum\b",
+    "javascript": r"export\b|(?:async\s+)?function\b(?!\s*\*)|class\b",
+    "typescript": r"export\b|(?:async\s+)?function\b(?!\s*\*)|class\b|interface\s+\w|(?:const\s+)?enum\s+\w",
     "go": r"func\b|type\b",
-    "c": r"(?:typedef\s+)?struct\s+\w+\s*\{|(?!(?:if|for|while|switch|return|else|do|typedef|using|extern\s+\")\b)[A-Za-z_][\w\s*]*?[\s*]\w+\s*\([^;{}]*\)\s*\{",
-    "cpp": r"(?:template\s*<[^{;]*>\s*)?(?:struct|class)\s+\w+[^;{()]*\{|namespace\b[^;{]*\{|(?!(?:if|for|while|switch|return|else|do|typedef|using|extern\s+\")\b)[A-Za-z_~][\w\s*&:<>,~]*?[\s*&:]~?\w+\s*\([^;{}]*\)[^;{}]*\{",
-    "java": r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record|@interface)\b",
+    "c": r"struct\b\s*\w*\s*\{|(?!(?:if|for|while|switch|return|else|do|typedef|using|extern\s+\")\b)[A-Za-z_][\w\s*]*?[\s*]\w+\s*\([^;{}]*\)\s*\{",
+    "cpp": r"(?:struct|class)\b\s*\w*[^;{()=]*\{|namespace\b[^;{=]*\{|(?!(?:if|for|while|switch|return|else|do|typedef|using|template|extern\s+\")\b)[A-Za-z_~][\w\s*&:<>,~]*?[\s*&:]~?\w+\s*\([^;{}]*\)[^;{}]*\{",
+    "java": r"(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum|record)\b",
     "csharp": r"(?:\[[^\]]*\]\s*)*(?:(?:public|protected|private|internal|static|sealed|abstract|partial|readonly|ref|unsafe)\s+)*(?:namespace|class|interface|enum|record|struct)\b",
 }
-_ARROW = re.compile(r"(?:const|let|var)\s+\w+\s*(?::[^=\n]+)?=\s*((?:async\s*)?(?:\([^()]*\)|\w+)\s*(?::[^=\n]+)?=>)")
+_BEFORE = {"cpp": re.compile(r"template\s*(?=<)|(?:typedef|static|const|extern|inline|constexpr|volatile)\s+"), "c": re.compile(r"(?:typedef|static|const|extern|inline|volatile)\s+")}
 _MARKS = re.compile(r"[{}()\[\];\n]")
 _HEAD_RE = {k: re.compile(v) for k, v in _HEADS.items()}
 _MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|'(?:\\.|[^'\\\n])'|'(?:\\.|[^'\\\n])*'", re.DOTALL)
+_SCRIPT_MASKED = re.compile(_MASKED.pattern + r"|(?<=[=(,:\[!&|?{};\n ])/(?![*/ =])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*(?=\s*[),;.\]}\n])", re.DOTALL)
 _RUST_MASKED = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r#*\".*?\"#*|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^']*|[^'\\\n])'", re.DOTALL)
+_SCRIPTS = ("javascript", "typescript")
 
 
 def _definitions(content: str, lang: str) -> list[tuple[int, int]]:
     """Spans of the outermost definitions."""
     if lang == "python":
         return _python_definitions(content)
-    pattern = _RUST_MASKED if lang == "rust" else _MASKED
+    pattern = _RUST_MASKED if lang == "rust" else _SCRIPT_MASKED if lang in _SCRIPTS else _MASKED
     masked = pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group(0)), content)
-    head = _HEAD_RE[lang]
+    if lang in _SCRIPTS:
+        return _script_definitions(masked, lang)
+    head, before = _HEAD_RE[lang], _BEFORE.get(lang)
     spans: list[tuple[int, int]] = []
     at, n = 0, len(masked)
     fresh = True
@@ -148,15 +153,14 @@ def _definitions(content: str, lang: str) -> list[tuple[int, int]]:
             m = head.match(masked, at)
             if m:
                 end = _end(masked, at, lang)
-                spans.append((at, end))
+                if not _signature(masked, at, end, lang):
+                    spans.append((at, end))
                 at = end
                 continue
-            if lang in ("javascript", "typescript") and (m := _ARROW.match(masked, at)):
-                end = _end(masked, m.end(1), lang)
-                spans.append((m.start(1), end - (masked[end - 1 : end] == ";")))
-                at = end
+            if before and (m := before.match(masked, at)):
+                at = _angles(masked, m.end()) if m.group(0).startswith("template") else m.end()
                 continue
-            if c in "#@" and lang not in ("java", "csharp", "typescript", "javascript"):  # attributes, preprocessor lines
+            if c in "#@" and lang not in ("java", "csharp"):  # attributes, preprocessor lines
                 stop = masked.find("\n", at)
                 at = n if stop < 0 else stop + 1
                 continue
@@ -166,11 +170,126 @@ def _definitions(content: str, lang: str) -> list[tuple[int, int]]:
                 at += 1
         else:
             at += 1
-        if c == "]" or at < n and masked[at] == "\n" and lang in ("go", "javascript", "typescript", "rust", "c", "cpp"):
+        if c == "]" or at < n and masked[at] == "\n" and lang in ("go", "rust", "c", "cpp"):
             fresh = True
     return spans
 
 
+_SIGNATURES = {"rust": re.compile(r"[^;{]*?\bfn\b[^{]*;"), "typescript": re.compile(r"(?:async\s+)?function\b[^{]*;")}
+
+
+def _signature(masked: str, at: int, end: int, lang: str) -> bool:
+    """A function without a body is no definition."""
+    return lang in _SIGNATURES and _SIGNATURES[lang].fullmatch(masked, at, end) is not None
+
+
+def _angles(masked: str, at: int) -> int:
+    """Behind the angle brackets that open at at."""
+    depth = 0
+    for m in re.compile(r"[<>;{]").finditer(masked, at):
+        c = m.group(0)
+        depth += (c == "<") - (c == ">")
+        if c in ";{" or depth == 0:
+            return m.end() if c == ">" else m.start()
+    return len(masked)
+
+
+_ARROW_ONE = re.compile(r"(?:async\s+)?[A-Za-z_$][\w$]*\s*=>")
+_ARROW_MANY = re.compile(r"(?:async\s*)?(?:<[^<>()]*>\s*)?(?=\()")
+_TO_ARROW = re.compile(r"\s*(?::\s*[^=;{}]*?)?=>")
+_METHOD = re.compile(r"(?:(?:static|async|get|set|public|private|protected|readonly|override)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*|\[[^\]\n]*\])\s*(?:<[^<>()]*>\s*)?(?=\()")
+_METHOD_BODY = re.compile(r"\s*(?::\s*[^;{}=]+)?(?=\{)")
+_NO_METHOD = frozenset("if for while switch catch with function return await typeof new super import else do try".split())
+_ANNOTATED = re.compile(r"(?:const|let|var)\s+[\w$]+\s*:\s*$")
+_TYPE_ALIAS = re.compile(r"(?:declare\s+)?type\s+[\w$]+[^=;\n]*=")
+
+
+def _script_definitions(masked: str, lang: str) -> list[tuple[int, int]]:
+    """Declarations at the start of statements, and wherever they stand outside of others, functions with an arrow and
+    methods of object literals, class expressions and abstract classes."""
+    head = _HEAD_RE[lang]
+    close: dict[int, int] = {}
+    stack: list[int] = []
+    for m in re.finditer(r"[(){}\[\]]", masked):
+        if m.group(0) in "({[":
+            stack.append(m.start())
+        elif stack:
+            close[stack.pop()] = m.start()
+    spans: list[tuple[int, int]] = []
+    n, at, last = len(masked), 0, ";"  # last is the sign before, a line feed between them counting as an end
+    while at < n:
+        c = masked[at]
+        if c.isspace():
+            if c == "\n" and last not in "=(,:?&|+-*/<>.[!~^%":
+                last = ";"
+            at += 1
+            continue
+        fresh = last in ";{}"
+        if fresh and (m := head.match(masked, at)):
+            end = _end(masked, at, lang)
+            if not _signature(masked, at, end, lang):
+                spans.append((at, end))
+            at, last = end, "}"
+            continue
+        if fresh and lang == "typescript" and (m := _TYPE_ALIAS.match(masked, at)):
+            at, last = _expression_end(masked, m.end(), close), ";"
+            continue
+        if fresh and lang == "typescript" and masked.startswith("declare ", at):
+            at += 8
+            continue
+        word = c.isalnum() or c in "_$#"
+        if word or c in "(<[*":
+            end = None
+            if c in "(<" or masked.startswith("async", at):
+                m = _ARROW_MANY.match(masked, at)
+                if m and (b := close.get(m.end())) and (x := _TO_ARROW.match(masked, b + 1)) and not (last == ":" and _ANNOTATED.search(masked[max(0, at - 80) : at])):
+                    end = _arrow_end(masked, x.end(), close)
+            if end is None and word and (m := _ARROW_ONE.match(masked, at)):
+                end = _arrow_end(masked, m.end(), close)
+            if end is None and last in ";{},":
+                m = _METHOD.match(masked, at)
+                if m and m.group(1) not in _NO_METHOD and (b := close.get(m.end())) and (x := _METHOD_BODY.match(masked, b + 1)) and (e := close.get(x.end())):
+                    end = e + 1
+            if end is not None:
+                spans.append((at, end))
+                at, last = end, "x"
+                continue
+        if word:
+            while at < n and (masked[at].isalnum() or masked[at] in "_$#"):
+                at += 1
+            last = "x"
+        else:
+            at += 1
+            last = c
+    return spans
+
+
+def _arrow_end(masked: str, at: int, close: dict[int, int]) -> int:
+    while at < len(masked) and masked[at].isspace():
+        at += 1
+    return close[at] + 1 if masked[at : at + 1] == "{" and at in close else _expression_end(masked, at, close)
+
+
+def _expression_end(masked: str, at: int, close: dict[int, int]) -> int:
+    """Where the expression that begins at at ends: before a comma, semicolon or bracket of what is around, or at the
+    end of a line after which it does not go on."""
+    n, end = len(masked), at
+    while at < n:
+        c = masked[at]
+        if c in ",;)]}":
+            break
+        if c == "\n" and masked[end - 1 : end] not in ("=", "(", ",", "?", ":", "&", "|", "+", "-", "*", "/", "<", ">", ".", "["):
+            m = re.compile(r"\s*").match(masked, at)
+            if masked[m.end() : m.end() + 1] not in ".?:+-*/&|=<>":
+                break
+        if c in "({[" and at in close:
+            at = close[at]
+        at += 1
+        if not masked[at - 1].isspace():
+            end = at
+    return end
+
+
 def _end(masked: str, at: int, lang: str) -> int:
     """End of the definition that begins at at: its last brace, or the semicolon (line end in Go) before any."""
     depth = 0
@@ -220,6 +339,9 @@ def _python_definitions(content: str) -> list[tuple[int, int]]:
     return found
 
 
+_EXPORTED = re.compile(r"export\s+(?:default\s+)?(?=(?:async\s+)?function\b(?!\s*\*)|class\b|interface\s|(?:const\s+)?enum\s)")
+
+
 def code_rows(path: str, content: str, least: int = MIN_TOKENS, most: int = CHUNK_SIZE) -> list[tuple[int, int, str, int]]:
     """One row per outermost definition of at least least tokens, prefixed with "[path] "; larger ones than most by
     blocks between blank lines, short blocks dropped. A file without any is one row without prefix. Unknown languages
@@ -238,17 +360,23 @@ def code_rows(path: str, content: str, least: int = MIN_TOKENS, most: int = CHUN
         if count <= most:
             rows.append((offset, line, prefix + text, _n(prefix + text)))
             continue
-        block: list[str] = []
+        if lang in _SCRIPTS and (inner := _EXPORTED.match(text)):  # the declaration that is exported, if it is one
+            s += inner.end()
+            text, offset = text[inner.end() :], offset + len(text[: inner.end()].encode())
+            line = content.count("\n", 0, s) + 1
+            if _n(text) <= most:
+                rows.append((offset, line, prefix + text, _n(prefix + text)))
+                continue
+        block = ""
         first = 0
         for i, x in enumerate([*_lines(text), ""]):
-            if x.strip():
+            if not x.strip() and block.strip():
+                if _n(block) >= least:
+                    rows.append((offset, line + first, prefix + block, _n(prefix + block)))
+                block = ""
+            else:  # blank lines before a block belong to it
                 first = i if not block else first
-                block.append(x)
-            elif block:
-                joined = "\n".join(block)
-                if _n(joined) >= least:
-                    rows.append((offset, line + first, prefix + joined, _n(prefix + joined)))
-                block = []
+                block += x + "\n"
     if not rows and content.strip():
         rows.append((0, 1, content, _n(content)))
     return rows

@@ -85,3 +85,47 @@ def test_dispatch_keeps_columns(spark):
     got = C.chunk_files(df)
     assert rows(got, "path", "tag", "ordinal") == [("a.py", 1, 0), ("a.py", 1, 1), ("b.md", 2, 0), ("c.zzz", 3, 0)]
     assert C.chunk_files(df.where("false")).collect() == []
+
+
+#: Sources and the definitions that the grammars give for them, derived by hand from the node kinds.
+GRAMMARS = {
+    "javascript": (
+        "const a = 1;\napp.get('/', (req, res) => { res.send(1); });\nfunction* g() { yield x => x + 1; }\nmodule.exports = { foo(a) { return a; }, bar: function() {}, async baz() { if (x) { y(); } } };\n"
+        "const C = class { m() { return 1; } };\nexport default class D { n() {} }\nasync function q() {}\nlet z = async x => await x\nitems.map(i => i * 2, 3);\nconst s = t.replace(/[{\"']/g, '');\nclass E { }\n",
+        ["(req, res) => { res.send(1); }", "x => x + 1", "foo(a) { return a; }", "async baz() { if (x) { y(); } }", "m() { return 1; }", "export default class D { n() {} }", "async function q() {}", "async x => await x", "i => i * 2", "class E { }"],
+    ),
+    "typescript": (
+        "declare class A { m(): void; }\nabstract class B { abstract x(): void; run(a: number): string { return ''; } }\nexport abstract class E {}\ntype F = (a: string) => void;\nconst f: (a: number) => void = (a) => { g(a); };\n"
+        "interface I { a: string }\nconst enum K { A, B }\nnamespace N { function inner(): void { } }\ndeclare function d(): void;\nconst r = (a: string): Promise<void> => { go(); };\n",
+        ["class A { m(): void; }", "run(a: number): string { return ''; }", "export abstract class E {}", "(a) => { g(a); }", "interface I { a: string }", "const enum K { A, B }", "function inner(): void { }", "(a: string): Promise<void> => { go(); }"],
+    ),
+    "cpp": (
+        "template <typename T, class U = std::vector<int>> class Box { T x; };\ntemplate<class T> T add(T a, T b) { return a + b; }\nnamespace a { int x; }\nextern \"C\" { int f(int a) { return a; } }\n"
+        "static struct P { int a; } p;\nusing X = int;\nint main() { return 0; }\n",
+        ["class Box { T x; }", "T add(T a, T b) { return a + b; }", "namespace a { int x; }", "int f(int a) { return a; }", "struct P { int a; }", "int main() { return 0; }"],
+    ),
+    "c": (
+        "typedef struct { int a; } T;\ntypedef struct node { struct node *n; } Node;\nstatic inline int f(int a) { return a; }\nstruct x y = {1};\nint (*fp)(int);\n#define A(x) 1\nint main(void)\n{\n return 0;\n}\n",
+        ["struct { int a; }", "struct node { struct node *n; }", "static inline int f(int a) { return a; }", "int main(void)\n{\n return 0;\n}"],
+    ),
+    "java": ("package a;\n@interface An { String v(); }\n@Deprecated\npublic final class A { void m() {} }\nrecord P(int a) { }\ninterface I {}\n", ["@Deprecated\npublic final class A { void m() {} }", "record P(int a) { }", "interface I {}"]),
+    "rust": (
+        "#[derive(A)]\npub struct S;\nunion U { a: u8 }\nimpl<T> X for Y<T> { fn a(&self) {} }\nmacro_rules! m { () => {} }\nextern \"C\" { fn q(); }\nconst fn z() -> u8 { b'{' }\n",
+        ["pub struct S;", "impl<T> X for Y<T> { fn a(&self) {} }", "macro_rules! m { () => {} }", "const fn z() -> u8 { b'{' }"],
+    ),
+    "go": ("package x\n\ntype (\n\tA int\n\tB struct{ c int }\n)\n\nvar v = 1\n\nfunc (t *T) M() error {\n\treturn nil\n}\n", ["type (\n\tA int\n\tB struct{ c int }\n)", "func (t *T) M() error {\n\treturn nil\n}"]),
+    "csharp": ("using A;\nnamespace N;\n[Serializable]\npublic sealed class C { void M() {} }\ninternal record R(int A);\n", ["namespace N;", "[Serializable]\npublic sealed class C { void M() {} }", "internal record R(int A);"]),
+    "python": ("import os\n@wraps(f)\nasync def a():\n    pass\nif x:\n    class B:\n        def m(self):\n            pass\n", ["async def a():\n    pass", "class B:\n        def m(self):\n            pass"]),
+}
+
+
+@pytest.mark.parametrize("lang", GRAMMARS)
+def test_definitions(lang):
+    source, want = GRAMMARS[lang]
+    assert [source[a:b] for a, b in C._definitions(source, lang)] == want
+
+
+def test_blocks_keep_line_ends_and_blank_lines_before():
+    body = "export class A {\n  a = b + c + d;\n\n\n  e = f + g + h;\n}\n"
+    got = C.code_rows("a.js", body, 3, 6)
+    assert [(r[0], r[1], r[2]) for r in got] == [(7, 1, "[a.js] class A {\n  a = b + c + d;\n"), (7, 4, "[a.js] \n  e = f + g + h;\n}\n")]
