@@ -193,10 +193,10 @@ _AFTER = re.compile(
 #: Contact data: what was found before, or what looks like it.
 _DATA = re.compile(r"[ \t]*(?:(?:,|on|at|under|unter|au|al|:|-|–|\(|<)?[ \t]*[<(]?\x00|(?:on|at)[ ](?:\+|\(|\d{3})|<[^<>\s]+@|\n[ \t]*(?:\x00|--))", re.I)
 _FIELD = re.compile(r"[ \t]*[;|\t]")
-#: Two to four words, the first two perhaps on two lines; family name first; initials first; a family name behind a title.
-_RUN = re.compile(rf"(?<![\w@.-]){_TOK}(?:[ \n](?:(?:{_PARTICLES})[ ]){{0,2}}(?:[{_U}]\.[ ]?){{0,2}}{_TOK})+(?![\w@-]|\.\w)")
-_TURNED = re.compile(rf"(?<![\w@.-])(?P<sur>{_TOK}),[ ](?P<given>{_TOK})(?:[ ][{_U}]\.)?(?![\w@-]|\.\w)")
-_INITIAL = re.compile(rf"(?<![\w@.-])(?:[{_U}]\.[ ]?){{1,3}}(?<=[ ])(?P<sur>{_TOK})(?![\w@-]|\.\w)")
+#: A capitalised word or an initial; what may stand between those of one name; what may not stand behind one.
+_CAPITAL = re.compile(rf"(?<![\w@.-])(?:({_TOK})|([{_U}]\.(?:[{_U}]\.)*))")
+_BETWEEN = re.compile(rf"[ \n](?:(?:{_PARTICLES})[ ]){{0,2}}|[ ]?")
+_NOT_BEHIND = re.compile(r"[\w@-]|\.\w")
 _SURNAME = re.compile(rf"{_TOK}(?![\w@-]|\.\w)")
 #: The same in small letters, which only words around can show.
 _SMALL = re.compile(rf"(?P<given>{_ANY})(?:[ ][^\W\d_]\.)?[ ](?P<sur>{_ANY})(?![\w@-]|\.\w)|(?P<sur2>{_ANY}),[ ](?P<given2>{_ANY})(?:[ ][^\W\d_]\.)?(?![\w@-]|\.\w)|[^\W\d_]\.[ ](?P<sur3>{_ANY})(?![\w@-]|\.\w)")
@@ -232,8 +232,8 @@ def _near(text: str, pattern: re.Pattern, areas: list[tuple[int, int]]) -> Itera
 
 
 _ADDRESS_WORDS = [
-    None,
-    ("street", "road", "rd", "ave", "drive", "lane", "ln", "boulevard", "blvd", "st.", "crescent", "parkway", "pkwy", "highway", "hwy"),
+    tuple(" " + x.lower() for x in "Street St Road Rd Avenue Ave Drive Dr Lane Ln Boulevard Blvd Crescent Parkway Pkwy Highway Hwy Court Ct Way Place Pl Square Sq Terrace Close Row Hill Gardens Mews Walk".split()),
+    (" street", " st.", " road", " rd", " ave", " drive", " lane", " ln", " boulevard", " blvd", " crescent", " parkway", " pkwy", " highway", " hwy"),
     ("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz", "ring ", "damm", "ufer", "steig", "pfad"),
     ("straße", "strasse", "str.", "weg ", "gasse", "allee", "platz"),
     ("rue", "avenue", "boulevard", "bd", "place", "chemin", "impasse", "allée", "quai", "route", "cours", "square"),
@@ -322,16 +322,17 @@ def _address_words():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in {w for words in _ADDRESS_WORDS for w in words or ()}:
-        a.add_word(w, {i for i, words in enumerate(_ADDRESS_WORDS) if w in (words or ())})
+    for w in {w for words in _ADDRESS_WORDS for w in words}:
+        a.add_word(w, ({i for i, words in enumerate(_ADDRESS_WORDS) if w in words}, len(w)))
     a.make_automaton()
     return a
 
 
 def _addresses(text: str):
-    worth = {0}
-    for _, which in _address_words().iter(text.lower()):
-        worth |= which
+    low, worth = text.lower(), set()
+    for end, (which, size) in _address_words().iter(low):
+        if which != {0} or text[end - size + 2 : end - size + 3].isupper() or len(low) != len(text):  # the words of the first pattern begin with a capital
+            worth |= which
     for p in (_ADDRESSES[i] for i in sorted(worth)):
         for m in p.finditer(text):
             s = m.start()
@@ -391,51 +392,79 @@ class _Around:
         return before, behind
 
 
+@lru_cache(maxsize=1 << 16)
+def _given(word: str) -> bool:
+    w = word.lower() if word.isascii() else folded(word)
+    return w in GIVEN or "-" in w and w.split("-")[0] in GIVEN
+
+
 def _judged(parts: list[str], around: _Around, before: float, behind: float, known: frozenset[str], small: bool = False) -> float:
-    given = any(folded(p) in GIVEN or folded(p.split("-")[0]) in GIVEN for p in parts)
+    given = any(_given(p) for p in parts)
     if not given and not before and not behind:
         return 0.35  # at most
     odd = not any(_ordinary(p, known, set() if small else around.small) for p in parts if len(p) > 2)
     return round(0.1 + (0.5 if given else 0.25 if odd else -0.2) + before + behind - 0.15 * small, 2)
 
 
+def _in_run(text: str, run: list, ends: list[bool], blocked: list[bool], around: _Around, known: frozenset[str], taken: list):
+    """The names in a run of capitalised words and initials. Words of the sentence around, titles and greetings are cut
+    off at both ends; so is what stands before a cue."""
+    first = next((i for i in range(len(run) - 1, 0, -1) if run[i][0] in around.places and len(run) - i > 1), 0)
+    while first < len(run) and blocked[first]:
+        first += 1
+    last = next((i for i in range(first, len(run)) if blocked[i] and (i < first + 2 or run[i][1] - run[i][0] > 2)), len(run))
+    for i in range(first + 1, last):  # a line ends within a name only between its first words, and not if the line began with it
+        if "\n" in text[run[i - 1][1] : run[i][0]] and (i > first + 1 or run[first][0] == 0 or text[run[first][0] - 1] == "\n"):
+            last = i
+            break
+    while last > first and (run[last - 1][2] or not ends[last - 1]):
+        last -= 1
+    name = run[first:last]
+    parts = [text[a:b] for a, b, initial in name if not initial]
+    if not parts or len(parts) > 5:
+        return
+    s, e = name[0][0], name[-1][1]
+    before, behind = around.score(s, e)
+    score = _judged(parts, around, before, behind, known)
+    if len(parts) == 1:  # one word less to judge by, and an initial before it
+        if name[0][2]:
+            yield s, e, score - (0.25 if before + behind == 0 else 0)
+        return
+    if score >= THRESHOLD:
+        taken.append((s, e))
+    yield s, e, score
+
+
 def _people(text: str, known: frozenset[str]):
     around = _Around(text)
     taken: list[tuple[int, int]] = []
-    for m in _RUN.finditer(text):
-        words = [(w.start() + m.start(), w.end() + m.start()) for w in re.finditer(r"\S+", m.group(0))]
-        # words of the sentence around, titles and greetings are cut off at both ends
-        cue = next((i for i in range(len(words) - 2, 0, -1) if words[i][0] in around.places), 0)
-        words = words[cue:]
-        while words and text[words[0][0] : words[0][1]].lower().rstrip(".") in _NOT_NAMES:
-            words.pop(0)
-        stop = next((i for i, (a, b) in enumerate(words) if text[a:b].lower() in _NOT_NAMES and text[a:b][:1].isupper() and (i < 2 or b - a > 2)), len(words))
-        words = words[:stop]
-        for i in range(1, len(words)):  # a line ends within a name only between its first words, and not if the line began with it
-            if "\n" in text[words[i - 1][1] : words[i][0]] and (i > 1 or words[0][0] == 0 or text[words[0][0] - 1] == "\n"):
-                words = words[:i]
-                break
-        parts = [text[a:b] for a, b in words if b - a > 2 or text[b - 1] != "."]
-        if not 2 <= len(parts) <= 5:
-            continue
-        s, e = words[0][0], words[-1][1]
-        before, behind = around.score(s, e)
-        score = _judged([p for p in parts if p[:1].isupper()], around, before, behind, known)
-        if score >= THRESHOLD:
-            taken.append((s, e))
-        yield s, e, score
-    for pattern in (_TURNED, _INITIAL):
-        for m in pattern.finditer(text):
-            parts = [x for x in m.groupdict().values()]
-            if any(p.lower() in _NOT_NAMES for p in parts):
-                continue
-            before, behind = around.score(m.start(), m.end())
-            if pattern is _INITIAL:  # one word less to judge by
-                yield m.start(), m.end(), _judged(parts, around, before, behind, known) - (0.25 if before + behind == 0 else 0)
-            elif before >= 0.35 or behind:
-                yield m.start(), m.end(), _judged(parts, around, before, behind, known)
-            else:
-                yield m.start(), m.end(), _judged(parts, around, before, 0.0, known) - 0.1
+    tokens = [(*m.span(), m.lastindex == 2) for m in _CAPITAL.finditer(text)]
+    # those near others; the rest can be no name
+    near = [b[0] - a[1] <= 16 for a, b in zip(tokens, tokens[1:])]
+    tokens = [t for t, x, y in zip(tokens, [False, *near], [*near, False]) if x or y]
+    # a place where a word may end a name: nothing of an identifier, address or host follows
+    ends = [not _NOT_BEHIND.match(text, e) for _, e, _ in tokens]
+    word = lambda t: text[t[0] : t[1]]
+    blocked = [not t[2] and word(t).lower() in _NOT_NAMES for t in tokens]
+    n, i = len(tokens), 0
+    while i < n:
+        j = i
+        while j + 1 < n and tokens[j + 1][0] - tokens[j][1] <= 16 and _BETWEEN.fullmatch(text, tokens[j][1], tokens[j + 1][0]) and (tokens[j][2] or tokens[j + 1][0] > tokens[j][1]):
+            j += 1
+        run = tokens[i : j + 1]
+        if j > i:
+            yield from _in_run(text, run, ends[i : j + 1], blocked[i : j + 1], around, known, taken)
+        # family name first: the last word of this run and the first of the next, with a comma between
+        if j + 1 < n and text[tokens[j][1] : tokens[j + 1][0]] == ", " and not tokens[j][2] and not tokens[j + 1][2] and not blocked[j] and not blocked[j + 1]:
+            k = j + 1
+            if k + 1 < n and tokens[k + 1][2] and text[tokens[k][1] : tokens[k + 1][0]] == " ":
+                k += 1
+            if ends[k] or ends[j + 1]:
+                s, e = tokens[j][0], tokens[k if ends[k] else j + 1][1]
+                before, behind = around.score(s, e)
+                cued = before >= 0.35 or behind
+                yield s, e, _judged([word(tokens[j]), word(tokens[j + 1])], around, before, behind if cued else 0.0, known) - (0.0 if cued else 0.1)
+        i = j + 1
     if any(x in text for x in ("さん", "様", "先生", "女士", "小姐", "氏")):
         for m in _EASTERN.finditer(text):
             yield m.start(), m.end(), 0.7
@@ -520,7 +549,8 @@ def _batches(batches: Iterator[pa.RecordBatch], threshold: float, with_text: boo
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pii_type", pa.string()), ("score", pa.float64())]))
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        found = [find_pii(t, threshold, tokenizers) for t in texts]
+        spans = {t: find_pii(t, threshold, tokenizers) for t in set(texts)}  # repeated texts once
+        found = [spans[t] for t in texts]
         made = [pa.array([[dict(zip(("start", "end", "pii_type", "score"), x)) for x in f] for f in found], span)]
         if with_text:
             made.append(pa.array([redact(t, f) for t, f in zip(texts, found)], pa.string()))

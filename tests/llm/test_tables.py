@@ -261,3 +261,62 @@ def test_budgets(spark, mixed):
     s = {r["source"]: r for r in shares.collect()}
     assert all(s[n]["tokens"] == s[n]["available_tokens"] * r for n, r in (("big", 1), ("mid", 2), ("small_one", 4)))
     assert mixture(docs.where("false"), targets)[0].collect() == [] == mixture(docs, targets.where("false"))[0].collect()
+
+
+def test_leaks_count_words_of_all_runs(spark, monkeypatch):
+    from tessera.llm import leaks
+
+    run = lambda a, n: [f"t{a}x{i}" for i in range(n)]
+    one, two = run(1, 20), run(2, 13)
+    items = spark.createDataFrame([(1, " ".join([*one, "and", *two])), (2, "same " * 40), (3, " ".join(run(3, 30)))], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [
+            (1, " ".join(["a", "b", *one, "other", *two, "c"])),  # two runs of one item
+            (2, " ".join([*two[:12], "no"])),  # too short
+            (3, "same " * 5000),  # hits in proportion to the text
+            (4, " ".join([*one, *one])),
+            (4, " ".join(two)),  # another text under the same id has fewer
+        ],
+        "doc_id bigint, text string",
+    )
+    want = [(1, 1, 33, 2), (3, 2, 5000, 0), (4, 1, 40, 0)]
+    assert rows(leaked_passages(docs, items), "doc_id", "item_id", "n_words", "first_word") == want
+    monkeypatch.setattr(leaks, "BROADCAST_BYTES", 0)  # the item side is shuffled
+    monkeypatch.setattr(leaks, "FILTER_BITS", 10)  # and the filter lets much through
+    assert rows(leaked_passages(docs, items), "doc_id", "item_id", "n_words", "first_word") == want
+
+
+def test_texts_of_documents_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "x " * 50)], "doc_id bigint, text string")
+    plan = leaked_passages(docs, docs.selectExpr("doc_id as item_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Join" not in below[below.rindex("MapInArrow") :]
+
+
+@pytest.mark.parametrize("heavy", [1, 3, 10**6])
+def test_frequent_terms_are_as_rare_ones(spark, monkeypatch, heavy):
+    from tessera.llm import distinctive
+
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()[: 2 + i % 6]) for _ in range(12))) for i in range(30)], "chunk_id bigint, text string")
+    columns = ("chunk_id", "term", "tf", "df", "cf")
+    monkeypatch.setattr(distinctive, "HEAVY", 10)
+    want = {tuple(r[c] for c in columns): r["score"] for r in distinctive_terms(df, min_length=1).collect()}
+    few = rows(distinctive_terms(df, min_length=1, min_df=2, max_df=20, min_count=2), *columns)
+    monkeypatch.setattr(distinctive, "HEAVY", heavy)
+    got = {tuple(r[c] for c in columns): r["score"] for r in distinctive_terms(df, min_length=1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert rows(distinctive_terms(df, min_length=1, min_df=2, max_df=20, min_count=2), *columns) == few and few
+
+
+@pytest.mark.parametrize("heavy", [1, 10**6])
+def test_copies_by_few_fingerprints(spark, monkeypatch, heavy):
+    from tessera.llm import handwritten
+
+    monkeypatch.setattr(handwritten, "HEAVY", heavy)
+    small = "a = b + c; d = e(f, g); h = i; j = k; l = m; n = o; p = q; r = s"
+    local = " ".join(f"own{i} = {i}" for i in range(30))  # often, but in one repository
+    data = [*((f"r{i}/s.py", small) for i in range(3)), *((f"r1/l{i}.py", local) for i in range(9)), ("r2/x.py", "a = 1")]
+    df = spark.createDataFrame(data, "file_path string, text string")
+    want = {r["file_path"] for r in not_handwritten(df).collect()}
+    assert want == {f"r{i}/s.py" for i in range(3)}
