@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -112,3 +113,23 @@ def test_whole_search(spark):
     none = SearchEngine(spark).search(df, SearchSpec("zzzzzz"))
     assert none.collect() == [] and results.as_json(none).collect() == []
     assert SearchEngine(spark).search(df.where("false"), SearchSpec("cache")).collect() == []
+
+
+@pytest.mark.parametrize("signs", [False, True])
+def test_query_set(spark, signs, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 70)).round(1)
+    v[7] = v[3]  # a tie
+    df = spark.createDataFrame([*((i, [float(x) for x in row], "other") for i, row in enumerate(v)), (60, None, "x"), (None, [0.5] * 70, "y")], "chunk_id bigint, embedding array<float>, query string")
+    v = v.astype(np.float32).astype(np.float64)
+
+    def nearest(q):
+        s = 1 - 2 * ((v > 0) != (v[q] > 0)).sum(1) / 128 if signs else np.round(v @ v[q], 12)
+        return sorted(range(60), key=lambda i: (-s[i], i))[:4]
+
+    asked = df.where("chunk_id % 10 = 3")
+    want = sorted((q, i, r) for q in range(3, 60, 10) for r, i in enumerate(nearest(q)))
+    assert rows(vector.query_set_topk(df, asked, 4, signs), "query", "key", "rank") == sorted(want, key=repr)
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", 2000)  # more than one block
+    assert rows(vector.query_set_topk(df, asked, 4, signs), "query", "key", "rank") == sorted(want, key=repr)
+    assert vector.query_set_topk(df, df.where("false"), 4, signs).collect() == [] and vector.query_set_topk(df.where("false"), asked, 4, signs).collect() == []
