@@ -120,19 +120,32 @@ def kgrams(h: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def winnow(g: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the least hash in each window of w; any run of w k-grams of one row has one of them.
-
-    Windows that reach over the end of a row take part, so that a row with fewer than w k-grams keeps its least.
-    """
+    """Positions of the least hash in each window of w k-grams of one row, the leftmost if several are least; of a row
+    with fewer than w k-grams, the place of its least. What a row yields depends on no other row."""
     if not len(g):
         return np.zeros(0, np.int64)
-    padded = np.concatenate([np.full(w - 1, NONE), g, np.full(w - 1, NONE)])
-    n = len(padded) - w + 1
-    best, at = padded[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, w):
-        less = padded[j : j + n] < best
-        best[less] = padded[j : j + n][less]
-        at[less] = j
-    picked = np.unique(np.arange(n) + at) - (w - 1)
-    picked = picked[(picked >= 0) & (picked < len(g))]
-    return picked[g[picked] != NONE]
+    edge = np.diff(np.concatenate([[0], (g != NONE).astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    picked = []
+    short = ends - starts < w
+    if short.any():
+        s, size = starts[short], (ends - starts)[short]
+        first = np.append(0, np.cumsum(size)[:-1])
+        at = np.repeat(s - first, size) + np.arange(size.sum())
+        least = np.minimum.reduceat(g[at], first)
+        hit = np.flatnonzero(g[at] == np.repeat(least, size))
+        row = np.repeat(np.arange(len(s)), size)[hit]
+        picked.append(at[hit[np.append(True, row[1:] != row[:-1])]])
+    n = len(g) - w + 1
+    if n > 0 and not short.all():
+        best, at = g[:n].copy(), np.zeros(n, np.int64)
+        for j in range(1, w):
+            less = g[j : j + n] < best
+            best[less] = g[j : j + n][less]
+            at[less] = j
+        whole = np.zeros(len(g) + 1, np.int64)  # windows that lie within one row
+        whole[starts[~short]] += 1
+        whole[ends[~short] - w + 1] -= 1
+        on = np.cumsum(whole)[:n] > 0
+        picked.append((np.arange(n) + at)[on])
+    return np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)

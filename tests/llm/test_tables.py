@@ -320,3 +320,18 @@ def test_copies_by_few_fingerprints(spark, monkeypatch, heavy):
     df = spark.createDataFrame(data, "file_path string, text string")
     want = {r["file_path"] for r in not_handwritten(df).collect()}
     assert want == {f"r{i}/s.py" for i in range(3)}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=14), min_size=1, max_size=5), st.integers(2, 3), st.integers(1, 6))
+def test_winnowing_knows_no_neighbours(texts, k, w):
+    h = lambda x: H.mix(np.array(x, np.uint64))
+    rows_ = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    g = H.kgrams(h([x for t in texts for x in t]), rows_, k)
+    first = np.cumsum([0, *map(len, texts)])
+    want = []
+    for i, t in enumerate(texts):
+        one = H.kgrams(h(t), np.zeros(len(t), np.int64), k).tolist()
+        spans = [(0, len(one))] if 0 < len(one) < w else [(a, a + w) for a in range(len(one) - w + 1)]
+        want += sorted({int(first[i]) + min(range(a, b), key=lambda j: (one[j], j)) for a, b in spans})
+    assert H.winnow(g, w).tolist() == want
