@@ -142,10 +142,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator
 def copied_files(chunks: DataFrame, k: int = K, w: int = WINDOW, min_repos: int = REPOS, part: float = PART) -> DataFrame:
     """(file_path hash, share): files of whose fingerprints at least part recur in min_repos or more repositories. Rows
     are one per fingerprint and file; those of a frequent fingerprint are spread, whether it is common to repositories
-    or not. A file of fewer than k tokens a chunk has no fingerprint."""
+    or not. A file of fewer than k tokens a chunk has no fingerprint; prose, which quotes, is left out."""
     path = F.col("file_path")
     prefix = F.concat(F.lit("["), path, F.lit("] "))
-    rows = chunks.where(path.isNotNull()).select(
+    rows = chunks.where(path.isNotNull() & is_source(path)).select(
         F.xxhash64(path).alias("file"),
         F.xxhash64(F.regexp_extract(path, r"^\.?/*([^/]+)/", 1)).alias("repo"),
         "text",
@@ -172,7 +172,7 @@ def not_handwritten(chunks: DataFrame, **winnowing) -> DataFrame:
     """Files nobody wrote by hand: (file_path, kinds array<string>), one row per file.
 
     A file is listed as soon as its path or any of its chunks shows it. Null paths are left out, null and empty texts
-    show nothing; repeated chunks change nothing; prose files are judged by path and copies only.
+    show nothing; repeated chunks change nothing; prose files are judged by path only.
     """
     path = F.col("file_path")
     # a filter on kinds would be pushed below the steps and have each of them evaluated again
