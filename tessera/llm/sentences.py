@@ -69,6 +69,7 @@ _WORD_BEFORE = re.compile(r"(?:(?<=^)|(?<=[\s(\[{«“„\"'’,;:/–—-]))((?
 _NEXT = re.compile(r"[\"'“‘«‹„‚「『(\[{（¿¡\s]*([^\W_][\w’'-]*)")
 _NAME = re.compile(r"[A-Z][A-Za-z0-9]*|[ァ-ヺー]+")
 _RUN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+|[฀-๿]+")
+_KANA = re.compile(r"[぀-ヿ]")
 _LATIN = re.compile(r"[A-Za-z0-9_.-]+[^\S\n]?")
 #: Function words that the dictionary must hold.
 _ALSO = tuple(sorted({*FINAL_PARTICLES, *JA_BOUND, *JA_CONTINUES, *ZH_SAYING, *ZH_NOUNS, *TH_GOES_ON} | {a + b for a in "说說写寫问問答" for b in "道"}))
@@ -109,6 +110,11 @@ class _Block:
         got = self._run(i - 1) if i > self.a else None
         return self.text[got[0][got[1]] : i] if got else ""
 
+    def japanese(self, i: int) -> bool:
+        """Whether the run that ends at i holds kana."""
+        got = self._run(i - 1) if i > self.a else None
+        return got is not None and _KANA.search(self.text, got[0][0], got[0][-1]) is not None
+
     def after(self, k: int) -> list[str]:
         """The words of the run from k on."""
         got = self._run(k) if k < self.b else None
@@ -183,7 +189,7 @@ def _goes_on(block: _Block, i: int, k: int) -> bool:
     """Whether a sentence goes on behind a quotation that text[i:k] ends: a quotative particle in Japanese; in Chinese a
     comma, or a verb of saying in the clause that begins there."""
     text, after = block.text, block.after(k)
-    if re.match(r"[぀-ヿ]", text[k]) or re.search(r"[぀-ヿ]", text[max(block.a, i - 12) : i]):
+    if "぀" <= text[k] <= "ヿ" or block.japanese(i):
         return bool(after) and (after[0] in JA_CONTINUES or any(after[0] == x[: len(after[0])] and text.startswith(x, k) for x in JA_CONTINUES))
     if text[k] in "，、,：:；;":
         return True
