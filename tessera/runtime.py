@@ -60,12 +60,19 @@ def _file_system(spark: SparkSession, at: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def temporary(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, deleted when the session's JVM ends or by release."""
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _passing(spark: SparkSession, at: str) -> None:
+    """Have at, which exists, deleted when the session's JVM ends or by release."""
     fs, path = _file_system(spark, at)
     fs.deleteOnExit(path)
     _temporary.append(at)
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends or by release."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, at)
+    fs.mkdirs(path)
+    _passing(spark, at)
     return at
 
 
@@ -81,8 +88,11 @@ def release(spark: SparkSession) -> int:
 def written(df: DataFrame) -> DataFrame:
     """Write df as a compressed table in the shared folder and read it back; columns can be pruned then."""
     spark = df.sparkSession
-    at = temporary(spark, "tessera")
-    df.write.option("compression", "zstd").parquet(at)
+    at = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        _passing(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
