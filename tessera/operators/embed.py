@@ -5,8 +5,8 @@ The hashed vectors are lexical: texts are near if they share words, not if they
 
 from __future__ import annotations
 
-import re
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np

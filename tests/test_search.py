@@ -133,3 +133,45 @@ def test_query_set(spark, signs, monkeypatch):
     monkeypatch.setattr(vector, "BROADCAST_BYTES", 2000)  # more than one block
     assert rows(vector.query_set_topk(df, asked, 4, signs), "query", "key", "rank") == sorted(want, key=repr)
     assert vector.query_set_topk(df, df.where("false"), 4, signs).collect() == [] and vector.query_set_topk(df.where("false"), asked, 4, signs).collect() == []
+
+
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(tag, value):
+    """A field of a protocol buffer: a number, or bytes or text by length."""
+    if isinstance(value, int):
+        return _varint(tag << 3) + _varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return _varint(tag << 3 | 2) + _varint(len(value)) + value
+
+
+def _lookup_model(table):
+    """The bytes of an ONNX model that looks input_ids up in a table: last_hidden_state (batch, tokens, dimension)."""
+    named = lambda name, kind, dims: _field(1, name) + _field(2, _field(1, _field(1, kind) + _field(2, b"".join(_field(1, _field(2, d)) for d in dims))))
+    node = _field(1, "table") + _field(1, "input_ids") + _field(2, "last_hidden_state") + _field(4, "Gather")
+    tensor = b"".join(_field(1, d) for d in table.shape) + _field(2, 1) + _field(8, "table") + _field(9, table.astype("<f4").tobytes())
+    graph = _field(1, node) + _field(2, "g") + _field(5, tensor) + _field(11, named("input_ids", 7, ("b", "t"))) + _field(12, named("last_hidden_state", 1, ("b", "t", "d")))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+def test_model_of_a_folder(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = ["[PAD]", "[UNK]", "red", "blue", "green"]
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, "[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "tokenizer.json"))
+    table = np.array([[9, 9, 9], [0, 0, 1], [1, 0, 0], [0, 2, 0], [3, 4, 0]], np.float32)
+    (tmp_path / "model.onnx").write_bytes(_lookup_model(table))
+    df = spark.createDataFrame([(1, "red"), (2, "red blue"), (3, "green what"), (4, None), (5, "")], "id int, text string")
+    got = {r["id"]: r["embedding"] for r in embed.embed(df, model_dir=str(tmp_path)).collect()}
+    unit = lambda v: [float(x) for x in np.array(v) / np.linalg.norm(v)]
+    assert np.allclose(got[1], unit([1, 0, 0])) and np.allclose(got[2], unit([1, 2, 0])) and np.allclose(got[3], unit([3, 4, 1]), atol=1e-6)
+    assert got[4] == got[5] == [0.0, 0.0, 0.0]
+    assert np.allclose(embed.embed_query("red blue", str(tmp_path)), got[2])
