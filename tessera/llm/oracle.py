@@ -1,5 +1,8 @@
 """DuckDB SQL of the queries that SQL can express, over whole tables."""
 
+from tessera.llm.rankwalk import DAMPING, ONE, ROUNDS
+
+_PART = round(DAMPING * 1000)
 _LISTS = """
 with rows_ as (
   select query_id, 'search:' || coalesce(scorer, '') as list, scorer is null as nameless, chunk_id, score from search_result
@@ -24,6 +27,18 @@ ORACLE = {
     "p3_found": _LISTS
     + """select r.query_id, r.chunk_id from ranked r join n using (query_id)
 group by r.query_id, r.chunk_id, n.lists having count(*) = n.lists and max(r.higher) < 5""",
+    "p3_ranking": _LISTS.replace("with rows_", "with recursive rows_", 1)
+    + f""", listed as (
+  select b.*, l.lists, count(*) over (partition by query_id, list, nameless) as size, count(*) over (partition by query_id, list, nameless order by score desc) as at_least from best b join n l using (query_id)
+), items as (select query_id, chunk_id, count(*) over (partition by query_id) as items from (select distinct query_id, chunk_id from best)),
+walk as (
+  select query_id, chunk_id, {ONE} // items as mass, 0 as i from items
+  union all
+  select query_id, chunk_id, cast({ONE // 1000 * (1000 - _PART)} // any_value(items) + sum(got) // 1000 * {_PART} + sum(got) % 1000 * {_PART} // 1000 as bigint), any_value(i) + 1 from (
+    select query_id, chunk_id, items, i, cast(sum(mass // (lists * at_least)) over (partition by query_id, list, nameless order by score) + greatest(0, {ONE} - sum(mass) over (partition by query_id, list, nameless)) // (lists * size) as hugeint) as got
+    from walk join listed using (query_id, chunk_id) join items using (query_id, chunk_id) where i < {ROUNDS}) group by query_id, chunk_id
+)
+select query_id, chunk_id, rank() over (partition by query_id order by mass desc) as position, mass / {float(ONE)} as stationarity from walk where i = {ROUNDS}""",
     "p4_found": """
 with terms as (
   select rid, chunk_id, translate(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
