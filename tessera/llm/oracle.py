@@ -59,7 +59,7 @@ tails as (
 ), ps as (select *, least(0, list_max(logs) + ln(list_sum(list_transform(logs, lambda y: exp(y - list_max(logs)))))) as log_p from tails),
 ranked as (select *, log_p + ln(count(*) over (partition by rid) / cast(row_number() over (partition by rid order by log_p, term) as double)) as q from ps),
 adjusted as (select *, least(0, min(q) over (partition by rid order by log_p desc, term desc rows unbounded preceding)) as log_q from ranked)
-select chunk_id, term, tf, df, round(-log_q / ln(10), 2) + 0.0 as score from adjusted""",
+select chunk_id, term, tf, df, round(-log_q / ln(10), 4) + 0.0 as score from adjusted""",
     "p8_found": _GRAMS + "select distinct doc_id, item_id from dg join ig using (g)",
     "p8_items": _GRAMS
     + """, hits as (select distinct doc_id, item_id, k from dg join ig using (g)),
